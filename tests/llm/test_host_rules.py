@@ -21,7 +21,7 @@ def test_repeat_words_against_brute_force():
 
 def test_metrics_of_odd_texts():
     assert host_rules.text_metrics(None) == host_rules.text_metrics(b"") == (0, 0, 0, 0, 0)
-    assert host_rules.text_metrics("é\x0b#a\n\n \n#a\né\n#a ".encode()) == (5, 8, 3, 1, 0)
+    assert host_rules.text_metrics("é\x0b#a\n\n \n#a\né\n#a".encode()) == (5, 8, 3, 1, 0)
 
 
 def test_bad_host_takes_its_documents_along(spark):

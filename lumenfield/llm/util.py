@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -78,3 +79,17 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         before = tuple(state)
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+
+
+def save(df: DataFrame) -> DataFrame:
+    """As cut(), but as a compressed Parquet table in the shared folder, read back as a scan.
+
+    For wide intermediate rows. The table stays in the checkpoint folder, which is scratch space.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        conf = df.sparkSession.conf.get("spark.checkpoint.dir", "")
+        sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="lumenfield-checkpoint-"))
+    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, host_rules, line_dedup, merge_dropout, mixing, ngram_lm, pii, simhash, token_counts
+from . import cotrain, hnsw, host_rules, line_dedup, merge_dropout, mixing, ngram_lm, pii, simhash, token_counts
 from .util import table
 
 #: Folder with the public tokenizers' vocabulary files.
@@ -20,6 +20,10 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
 

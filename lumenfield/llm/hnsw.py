@@ -191,7 +191,7 @@ def shard_links(g: Graph, queries: np.ndarray, threshold: float, beam: int, samp
     while True:
         found_q, found_v, left, width = [], [], np.arange(len(queries)), beam
         while len(left):
-            if width >= len(g.vecs) // 4:  # the beam would hold most of the shard: compare with all of it
+            if width > 4 * beam or width >= len(g.vecs) // 4:  # a dense neighbourhood: one pass over the shard costs less than wider beams
                 q, v = exact_links(g.vecs, queries[left], bound)
                 found_q.append(left[q])
                 found_v.append(v)

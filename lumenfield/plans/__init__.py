@@ -1 +1 @@
-"""plans of the cube engine."""
+"""Viewer plans and the registered queries."""

@@ -63,8 +63,19 @@ def actionable(message: Column, noise: tuple[str, ...] = NOISE) -> Column:
     return ok
 
 
+def fixed(v: Column, digits: int) -> Column:
+    """v with so many decimals. The binary value is rounded, not its shortest decimal form; halves go up."""
+    size = F.abs(v.cast("double"))
+    whole = F.floor(size)
+    part = ((size - whole) * float(1 << 62)).cast("long").cast("decimal(20,0)")
+    steps = F.call_function("div", part * F.lit(10**digits) + F.lit(1 << 61), F.lit(1 << 62).cast("decimal(20,0)"))
+    shown = ((whole * F.lit(10**digits) + steps).cast("decimal(24,0)") / F.lit(10**digits)).cast(f"decimal(24,{digits})").cast("string")
+    exact = F.when(size < 1e12, F.concat(F.when(v < 0, "-").otherwise(""), shown))
+    return exact.otherwise(F.format_string(f"%.{digits}f", v.cast("double")))
+
+
 def format_number(v: Column, digits: int = 4) -> Column:
-    return F.when(is_finite(v), F.format_string(f"%.{digits}f", v.cast("double"))).otherwise("--")
+    return F.when(is_finite(v), fixed(v, digits)).otherwise("--")
 
 
 def format_bytes(n: Column) -> Column:
@@ -72,12 +83,12 @@ def format_bytes(n: Column) -> Column:
     n = n.cast("double")
     step = F.when(n < 1024, 0).when(n < 1024**2, 1).when(n < 1024**3, 2).otherwise(3)
     v = n / F.pow(F.lit(1024.0), step)
-    shown = F.when(v >= 100, F.format_string("%.0f", v)).otherwise(F.format_string("%.1f", v))
+    shown = F.when(v >= 100, fixed(v, 0)).otherwise(fixed(v, 1))
     return F.when(is_finite(n) & (n > 0), F.concat_ws(" ", shown, F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB"))), step + 1))).otherwise("--")
 
 
 def format_ms(v: Column) -> Column:
-    return F.when(is_finite(v), F.format_string("%.1f ms", v.cast("double"))).otherwise("--")
+    return F.when(is_finite(v), F.concat(fixed(v, 1), F.lit(" ms"))).otherwise("--")
 
 
 def clamp_unit(v: Column, otherwise: float = 0.0) -> Column:
@@ -129,7 +140,7 @@ def wavelength_summary(wavelength: Column, units: Column) -> Column:
     w = F.filter(wavelength, is_finite)
     low, high = F.array_min(w), F.array_max(w)
     unit = F.coalesce(unit_label(units), F.when(high > 100, "nm").otherwise("um"))
-    shown = lambda v: F.when(high > 100, F.format_string("%.0f", v)).otherwise(F.format_string("%.2f", v))
+    shown = lambda v: F.when(high > 100, fixed(v, 0)).otherwise(fixed(v, 2))
     return F.when(F.coalesce(F.size(w), F.lit(0)) > 0, F.concat(shown(low), F.lit(" - "), shown(high), F.lit(" "), unit, F.lit(" ("), F.size(w).cast("string"), F.lit(" bands)"))).otherwise("--")
 
 

@@ -10,6 +10,7 @@ from ..operators import caching
 from ..sources import catalog
 from ..streaming import messages as ms
 from ..streaming import requests, telemetry
+from ..streaming.telemetry import micros
 from . import viewing
 from .registry import query
 from .standin import MSG, TEL, messages, table
@@ -114,7 +115,7 @@ def j08(spark, d):
     a = actions(spark, d)
     asked = a.where("action = 'track'").groupBy("source_id", "request_id").agg(F.min("ts").alias("ts"))
     got = requests.answered(asked, a.where("action = 'release'"))
-    return got.select("source_id", "request_id", (F.unix_micros("answered_at") - F.unix_micros("ts")).alias("waited"))
+    return got.select("source_id", "request_id", (micros("answered_at") - micros("ts")).alias("waited"))
 
 
 @query("m06_not_cancelled", f"WITH {ACTIONS}, c AS (SELECT source_id, request_id, min(seq) AS cancelled FROM a WHERE action = 'release' GROUP BY ALL) SELECT source_id, request_id, seq FROM a LEFT JOIN c USING (source_id, request_id) WHERE action = 'track' AND (cancelled IS NULL OR cancelled > seq)")
@@ -260,7 +261,7 @@ def a09(spark, d):
 @query("a10_f44_switch_time", f"WITH {TEL}, w AS (SELECT source_id, seq, ts, lag(ts) OVER (PARTITION BY source_id ORDER BY seq) AS before FROM tel) SELECT source_id, seq, (epoch_us(ts) - epoch_us(before)) / 1000 AS ms FROM w WHERE before IS NOT NULL")
 def a10(spark, d):
     before = F.lag("ts").over(Window.partitionBy("source_id").orderBy("seq"))
-    return tel(spark, d).withColumn("before", before).where("before is not null").select("source_id", "seq", ((F.unix_micros("ts") - F.unix_micros("before")) / 1000).alias("ms"))
+    return tel(spark, d).withColumn("before", before).where("before is not null").select("source_id", "seq", ((micros("ts") - micros("before")) / 1000).alias("ms"))
 
 
 @query("a12_first_metric", f"WITH {TEL} SELECT source_id, event_type AS name, arg_min(cpu, seq) AS value FROM tel GROUP BY ALL")
@@ -312,7 +313,7 @@ def f33(spark, d):
     return table(spark, d, "nation").select(n.alias("id"), shown.alias("status"), text.first_language(m).alias("line"))
 
 
-@query("f23_formats", """SELECT event_id, printf('%.4f', value) AS number, printf('%.1f ms', value) AS ms, greatest(0, least(1, value / 100)) AS unit,
+@query("f23_formats", """SELECT event_id, printf('%.4f', value) AS number, printf('%.1f ms', value + CASE WHEN value % 1 IN (0.25, 0.75) THEN 1e-6 ELSE 0 END) AS ms, greatest(0, least(1, value / 100)) AS unit,
 CASE WHEN b < 1024 THEN CASE WHEN b >= 100 THEN printf('%.0f B', b) ELSE printf('%.1f B', b) END WHEN b < 1048576 THEN CASE WHEN b / 1024 >= 100 THEN printf('%.0f KB', b / 1024) ELSE printf('%.1f KB', b / 1024) END ELSE CASE WHEN b / 1048576 >= 100 THEN printf('%.0f MB', b / 1048576) ELSE printf('%.1f MB', b / 1048576) END END AS size
 FROM (SELECT event_id, value, (event_id * 997 % 99991 * 37 + 1)::DOUBLE + 0.3 AS b FROM events)""")
 def f23(spark, d):

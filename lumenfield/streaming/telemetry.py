@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the idle rule: CPU percent, and the number of samples after which a baseline is forced.
 IDLE, FORCED = 20.0, 41
 
 
+def micros(ts: str) -> Column:
+    """Microseconds of a timestamp column with or without a time zone."""
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
 def baseline(samples: DataFrame) -> DataFrame:
     """Per source the first sample with low CPU while the viewer rests, or the 41st, whichever comes first."""
     n = F.row_number().over(Window.partitionBy("source_id").orderBy("seq"))
@@ -43,7 +48,7 @@ def initial_view(tiles: DataFrame, done: DataFrame, started: DataFrame) -> DataF
     """Milliseconds from a source's start until all tiles first visible were complete; no row while one is missing."""
     first = done.groupBy("source_id", "tile").agg(F.min("ts").alias("ts"))
     j = tiles.join(first, ["source_id", "tile"], "left").groupBy("source_id").agg(F.count_if(F.col("ts").isNull()).alias("missing"), F.max("ts").alias("done"))
-    took = (F.unix_micros("done") - F.unix_micros("started")) / 1000
+    took = (micros("done") - micros("started")) / 1000
     return j.where("missing = 0").join(started, "source_id").select("source_id", took.alias("value"))
 
 
@@ -53,8 +58,9 @@ def first_metric(metrics: DataFrame) -> DataFrame:
 
 def windowed(events: DataFrame, length: str = "1 hour", late: str = "30 minutes") -> DataFrame:
     """Counts and sums by event type in tumbling windows, for batches and, with late data dropped, for streams."""
-    e = events.withWatermark("ts", late) if events.isStreaming else events
-    return e.groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    kind = dict(events.dtypes)["ts"]
+    e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+    return e.groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").cast(kind).alias("start"), "event_type", "n", "total")
 
 
 def band_changes(selections: DataFrame) -> DataFrame:

@@ -4,14 +4,14 @@ Distinct lines are cut into distance + 1 even segments. Two lines within the edi
 whole segment of the shorter one, at a place of the longer one that the length difference and the
 segment's number confine to a few offsets. So each line is indexed by (length, segment number,
 segment) and probes, for every length from its own down to its own less the distance, the
-substrings at those offsets. Candidates must also agree in four letter counts up to the distance;
+substrings at those offsets. Candidates must also agree in ten letter counts but for twice the distance;
 then the banded edit distance is computed. Links are closed to classes, and the class's first
 occurrence stays.
 
 "First" is by document id, then text hash, then position; a null id comes first. Lines shorter than
 min_chars are left alone. Null texts have no lines and stay null. Rows equal in id and text are
 treated alike. An empty table gives an empty result. Verification uses Spark's levenshtein with a
-threshold, which computes only a band of the matrix; it has no bit-parallel form.
+threshold, which computes only a band of the matrix; Spark has no bit-parallel form of it.
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .util import components, cut, save
 
-#: Letter groups whose counts an edit changes by at most one each.
-GROUPS = ("aeiouéèAEIOU", "thrTHR", "nsdNSD", " .,!$%&*#|")
+#: Letters whose counts a line's signature holds.
+LETTERS = "etaoinshrd"
+#: So many ids of candidate lines are broadcast at most (8 bytes each); beyond it they are joined by a shuffle.
+MOST_SENT = 500_000
 
 
 def segment(i: int, chars: Column, distance: int) -> tuple[Column, Column]:
@@ -54,20 +56,26 @@ def probe_keys(distance: int) -> Column:
     return F.array(*keys)
 
 
-def letter_counts(line: Column) -> Column:
-    """Four counts modulo 2^16 in one long."""
-    packed = F.lit(0).cast("long")
-    for g in GROUPS:
-        packed = F.shiftleft(packed, 16).bitwiseOR((F.length(line) - F.length(F.translate(line, g, ""))).cast("long").bitwiseAND(F.lit(0xFFFF)))
+def signature(line: Column) -> Column:
+    """The length modulo 16 and the counts of ten letters modulo 64, in one long."""
+    packed = (F.length(line) % 16).cast("long")
+    for letter in LETTERS:
+        count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
+        packed = F.shiftleft(packed, 6).bitwiseOR(count.cast("long").bitwiseAND(F.lit(63)))
     return packed
 
 
-def counts_agree(a: Column, b: Column, distance: int) -> Column:
-    ok = F.lit(True)
-    for g in range(len(GROUPS)):
-        field = lambda c: F.shiftrightunsigned(c, 16 * g).bitwiseAND(F.lit(0xFFFF))  # noqa: B023, E731
-        ok &= (field(a) - field(b) + distance).bitwiseAND(F.lit(0xFFFF)) <= 2 * distance
-    return ok
+def may_be_near(a: Column, b: Column, distance: int) -> Column:
+    """Whether signatures allow the edit distance, the line of b being as long as that of a or longer.
+
+    An edit changes the counts by two at most, taken together.
+    """
+    ok = (F.shiftrightunsigned(b, 60) - F.shiftrightunsigned(a, 60)).bitwiseAND(F.lit(15)) <= distance
+    changed = F.lit(0).cast("long")
+    for g in range(len(LETTERS)):
+        field = lambda c: F.shiftrightunsigned(c, 6 * g).bitwiseAND(F.lit(63))  # noqa: B023, E731
+        changed += F.least((field(a) - field(b)).bitwiseAND(F.lit(63)), (field(b) - field(a)).bitwiseAND(F.lit(63)))
+    return ok & (changed <= 2 * distance)
 
 
 def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -77,24 +85,25 @@ def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def near_lines(lines: DataFrame, distance: int) -> DataFrame:
-    """Links (a, b) between the ids of lines (id, line, n) within the edit distance of each other."""
-    base = lines.select("id", "line", "n", letter_counts(F.col("line")).alias("counts"))
-    index = base.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"), F.explode(index_keys(distance)).alias("key"))
-    probe = base.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"), F.explode(F.array_compact(probe_keys(distance))).alias("key"))
-    ordered = (F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))
-    pairs = index.join(probe, "key").where(ordered & (F.col("nb") - F.col("na") <= distance) & counts_agree(F.col("ca"), F.col("cb"), distance))
-    pairs = cut(pairs.select("a", "b").distinct())
-    pairs = pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(lines.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
+    """Links (a, b) between the ids of lines (id, line, n, sig) within the edit distance of each other."""
+    index = lines.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.explode(index_keys(distance)).alias("key"))
+    probe = lines.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.explode(F.array_compact(probe_keys(distance))).alias("key"))
+    ordered = (F.shiftrightunsigned("sa", 60) != F.shiftrightunsigned("sb", 60)) | (F.col("a") < F.col("b"))
+    pairs = cut(index.join(probe, "key").where(ordered & (F.col("a") != F.col("b")) & may_be_near(F.col("sa"), F.col("sb"), distance)).select("a", "b").distinct())
+    asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    few = asked.count() <= MOST_SENT
+    texts = cut(lines.select("id", "line").join(F.broadcast(asked) if few else asked, "id"))
+    pairs = pairs.join(texts.toDF("a", "la"), "a").join(texts.toDF("b", "lb"), "b")
     return pairs.where(F.levenshtein("la", "lb", distance) >= 0).select("a", "b")
 
 
 def repeated_lines(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> DataFrame:
     """doc_id, text_hash and dropped, the sorted positions (from 0) of the lines that repeat an earlier one; documents with any."""
-    if min_chars <= distance:
-        raise ValueError("min_chars must exceed distance")
+    if not 0 <= distance < min(min_chars, 16):
+        raise ValueError("distance must be below min_chars and 16")
     found = occurrences(docs, min_chars)
     lines = found.groupBy("line").agg(F.min(F.struct("doc_id", "text_hash", "pos")).alias("first"), F.count(F.lit(1)).alias("times"))
-    lines = save(lines.select(F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("n"), "first", "times"))
+    lines = save(lines.select(F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("n"), signature(F.col("line")).alias("sig"), "first", "times"))
     roots = cut(components(near_lines(lines, distance), "a", "b"))
     narrow = lines.select("id", "first", "times", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     classed = narrow.join(roots, narrow.id == roots.node, "left").drop("node")

@@ -133,19 +133,20 @@ def near_links(fps: DataFrame, distance: int = 4, blocks: int = 6, max_group: in
 
 
 def simhash_groups(docs: DataFrame, width: int = 4, distance: int = 4, blocks: int = 6) -> DataFrame:
-    """doc_id, text_hash, fp and component_id (smallest doc_id reachable by links) of every row of docs."""
+    """doc_id, text_hash, fp, root (the smallest fp reachable by links) and component_id (the smallest doc_id) of every row of docs."""
     rows = cut(fingerprints(docs, width))
     reps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     roots = components(near_links(reps.select("fp"), distance, blocks), "a", "b")
     named = reps.join(roots, reps.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return rows.join(named.join(least, "root").select("fp", "component_id"), "fp")
+    return rows.join(named.join(least, "root").select("fp", "root", "component_id"), "fp")
 
 
 def simhash_dedup(docs: DataFrame, width: int = 5, distance: int = 4, blocks: int = 6) -> DataFrame:
-    """One row of each group of docs, all columns: the smallest doc_id, then the smallest text hash; equal rows are one."""
+    """One row of each group of docs, all columns: the smallest doc_id (null last), then the smallest text hash; equal rows are one."""
     groups = simhash_groups(docs, width, distance, blocks)
-    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("__lf_first"))
+    # by root: an id may be null or stand in several components
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("__lf_first"))
     first = first.select("__lf_first.doc_id", "__lf_first.text_hash").toDF("__lf_id", "__lf_hash")
     hashed = docs.withColumn("__lf_text", F.xxhash64(F.col("text").cast("string")))
     kept = hashed.join(first, F.col("doc_id").eqNullSafe(F.col("__lf_id")) & (F.col("__lf_text") == F.col("__lf_hash")), "left_semi")

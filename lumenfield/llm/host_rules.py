@@ -2,8 +2,8 @@
 
 Each text gets word, symbol, duplicate-line and repeated-window counts and a base verdict. Failures
 are then summed by host, the hosts' failure rates are shrunk towards the corpus rate by a beta
-prior fitted to the spread of the hosts' rates, and a host whose shrunk rate is above max_rate
-fails with all its documents.
+prior fitted by beta-binomial moments (the spread of the hosts' rates beyond what chance alone
+gives), and a host whose shrunk rate is above max_rate fails with all its documents.
 
 Null or empty texts have no words and fail (fewer than min_words). A null host is a host of its own.
 Repeated rows count each time. An empty table gives an empty result.
@@ -70,14 +70,22 @@ def text_metrics(raw: bytes | None, window: int = 8) -> tuple[int, int, int, int
 def host_rates(metrics: DataFrame) -> DataFrame:
     """One row per host: n, failed, and rate, the posterior mean of its failure rate.
 
-    With m the corpus rate and v the spread of the hosts' rates around it (weighted by documents),
-    the beta prior has the weight m(1-m)/v - 1, held between 1 and a million documents.
+    The beta prior's weight comes from beta-binomial moments. With m the corpus rate, k hosts, N
+    documents and s the sum of n (rate - m)^2 over the hosts, s / (m (1 - m)) is k - 1 for hosts
+    that differ by chance alone, and r (N - sum n^2 / N - (k - 1)) more for hosts whose own rates
+    correlate their documents by r. The weight is 1 / r - 1, held between 1 and a million.
     """
-    hosts = metrics.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
-    n, failed, squares = hosts.agg(F.sum("n"), F.sum("failed"), F.sum(F.col("failed") * F.col("failed") / F.col("n"))).first()
-    m = (failed or 0) / (n or 1)
-    v = max((squares or 0) / (n or 1) - m * m, 0.0)
-    weight = min(max(m * (1 - m) / v - 1, 1.0), 1e6) if v > 0 else 1e6
+    return with_rates(metrics.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed")))
+
+
+def with_rates(hosts: DataFrame) -> DataFrame:
+    n, f = F.col("n").cast("double"), F.col("failed").cast("double")
+    k, total, failed, squares, sizes = hosts.agg(F.count(F.lit(1)), F.sum(n), F.sum(f), F.sum(f * f / n), F.sum(n * n)).first()
+    m = (failed or 0.0) / (total or 1.0)
+    chance = k - 1
+    room = (total or 0.0) - (sizes or 0.0) / (total or 1.0) - chance
+    spread = ((squares or 0.0) - m * m * (total or 0.0)) / (m * (1 - m)) - chance if 0 < m < 1 else 0.0
+    weight = min(max(room / spread - 1, 1.0), 1e6) if spread > 0 and room > 0 else 1e6
     return hosts.withColumn("rate", (F.col("failed") + F.lit(m * weight)) / (F.col("n") + F.lit(weight)))
 
 
@@ -108,9 +116,10 @@ m AS (SELECT doc_id, source, len(words)::BIGINT AS n_words, length(array_to_stri
         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
       FROM w LEFT JOIN u USING (r) LEFT JOIN q USING (r)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
-h AS (SELECT source, count(*) AS n, sum(base_failed::INT)::DOUBLE AS f FROM b GROUP BY source),
-t AS (SELECT sum(f) / sum(n) AS m, sum(f * f / n) / sum(n) AS s FROM h),
-k AS (SELECT m, CASE WHEN s - m * m > 0 THEN least(greatest(m * (1 - m) / (s - m * m) - 1, 1), 1e6) ELSE 1e6 END AS weight FROM t),
+h AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS f FROM b GROUP BY source),
+t AS (SELECT sum(f) / sum(n) AS m, sum(f * f / n) AS s, sum(n) AS total, count(*) - 1 AS chance, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS room FROM h),
+e AS (SELECT *, CASE WHEN m > 0 AND m < 1 THEN (s - m * m * total) / (m * (1 - m)) - chance ELSE 0 END AS spread FROM t),
+k AS (SELECT m, CASE WHEN spread > 0 AND room > 0 THEN least(greatest(room / spread - 1, 1), 1e6) ELSE 1e6 END AS weight FROM e),
 v AS (SELECT source, (f + m * weight) / (n + weight) AS rate FROM h, k)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept
 FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source

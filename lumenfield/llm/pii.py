@@ -1,9 +1,15 @@
 """Personal data by anchor expansion.
 
 An Aho-Corasick automaton finds the anchors: at-signs, plus signs, digits, "://" and cue words of
-account identifiers. A small parser per kind expands each anchor to the left and right and checks
-what it finds. Per kind, matches are leftmost and don't overlap; a match that fails its check is
-passed over whole.
+identifiers, in any case. A small parser per kind expands each anchor to the left and right and
+checks what it finds. Per kind, matches are leftmost and don't overlap; a match that fails its check
+is passed over whole.
+
+The kinds beside the contract's four: a url has a host that is a name with a dot, localhost or an
+address. An account follows a cue word: an IBAN passes its check digits, in groups or not; a social
+security number has an area, group and serial that are given out; an account or passport number has
+four digits or more; a password, secret or token follows ":" or "=" and may be of any length and any
+marks, or is 16 characters or more with letters and digits.
 
 Null texts count as empty and give no spans. Repeated rows each give their own row. An empty table
 gives an empty result. Work and memory per text are in proportion to its length.
@@ -24,10 +30,16 @@ from .util import map_columns
 #: Base kinds in the order of the contract, then the kinds that the anchors add.
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 BASE = 4
-#: Words that announce an account number or a secret.
-CUES = ("iban", "account", "acct", "ssn", "passport", "token", "password", "passwd", "secret", "api_key", "apikey", "api-key")
+#: Words that announce an identifier, by what follows them. "-", "_", " " and nothing may stand for one another.
+CUES = {
+    "iban": ("iban",),
+    "ssn": ("ssn", "social security number"),
+    "number": ("account", "acct", "passport", "customer id", "tax id"),
+    "secret": ("token", "password", "passwd", "passphrase", "secret", "api key", "access key", "private key", "bearer", "credential"),
+}
 
 DIGITS = frozenset("0123456789")
+LOWER = {c: c + 32 for c in range(65, 91)}
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 DOMAIN_AT = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
@@ -35,16 +47,25 @@ IP_AT = re.compile(r"[0-9]+(?:\.[0-9]+){3}").match
 CARD_AT = re.compile(r"[0-9](?:[ -]?[0-9])+").match
 PHONE_AT = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").match
 URL_AT = re.compile(r"[^\s<>\"'`{}|\\^\[\]]+").match
-VALUE_AT = re.compile(r"[ \t]{0,4}(?:(?:no|nr|number|id)\b\.?[ \t]{0,4})?[:=#]?[ \t]{0,4}[\"']?([A-Za-z0-9][A-Za-z0-9_-]{5,63})(?![A-Za-z0-9_-])").match
+HOST_AT = re.compile(r"(?:[^\s/?#@]*@)?(localhost|\[[0-9A-Fa-f:.]+\]|[^\s/?#@:.\[\]]+(?:\.[^\s/?#@:.\[\]]+)+)\.?(?=[/?#:]|$)").match
+#: What may stand between a cue and its value: an ending of the cue, words for "number", a sign.
+NAMED = r"s?(?:[ \t]{1,4}(?:no|nr|num|number|id|key|value|code)\b\.?)?"
+SIGN = r"[\"']?[ \t]{0,4}[:=#][ \t]{0,4}"
+IBAN_AT = re.compile(NAMED + r"(?:" + SIGN + r"|[ \t]{1,4})[\"']?([A-Za-z]{2}[0-9]{2}(?:[ ]?[A-Za-z0-9]){11,30})").match
+SSN_AT = re.compile(NAMED + r"(?:" + SIGN + r"|[ \t]{1,4})[\"']?(([0-9]{3})([ -]?)([0-9]{2})\3([0-9]{4}))(?![0-9])").match
+NUMBER_AT = re.compile(NAMED + r"(?:" + SIGN + r"|[ \t]{1,4})[\"']?((?=[A-Za-z_-]*[0-9])[A-Za-z0-9](?:[-_]?[A-Za-z0-9])+(?: [0-9][0-9-]*)*)").match
+SIGNED_AT = re.compile(NAMED + SIGN + r"(?:\"([^\"\n]+)\"|'([^'\n]+)'|([^\s\"'<>,;]+))").match
+BARE_AT = re.compile(NAMED + r"[ \t]{1,4}[\"']?([A-Za-z0-9_+/=.-]+)").match
 TRAILING = ".,;:!?)*#$%&"
 
 
 @lru_cache(1)
 def anchors() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            found.add_word(form, ("account", len(cue)))
+    for kind, cues in CUES.items():
+        for cue in cues:
+            for form in {cue.replace(" ", x) for x in ("", " ", "-", "_")}:
+                found.add_word(form, (kind, len(form)))
     for d in DIGITS:
         found.add_word(d, ("digit", 1))
     found.add_word("@", ("email", 1))
@@ -62,13 +83,52 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban(text: str, start: int, end: int) -> int:
+    """The end of the longest IBAN in text[start:end], or -1: groups are taken off the right until the check digits agree."""
+    while end > start:
+        packed = text[start:end].replace(" ", "").upper()
+        if len(packed) < 15:
+            return -1
+        if int("".join(str(int(c, 36)) for c in packed[4:] + packed[:4])) % 97 == 1:
+            return end
+        end = text.rfind(" ", start, end)
+    return -1
+
+
+def identifier(kind: str, text: str, at: int) -> tuple[int, int] | None:
+    """The identifier that follows a cue of the kind that ends at `at`, as (start, end)."""
+    if kind == "iban":
+        m = IBAN_AT(text, at)
+        end = iban(text, m.start(1), m.end(1)) if m else -1
+        return (m.start(1), end) if end > 0 else None
+    if kind == "ssn":
+        m = SSN_AT(text, at)
+        given = m and m[2] not in ("000", "666") and m[2] < "900" and m[4] != "00" and m[5] != "0000"
+        return m.span(1) if given else None
+    if kind == "number":
+        if (got := identifier("iban", text, at)) is not None:
+            return got
+        m = NUMBER_AT(text, at)
+        return m.span(1) if m and len(m[1]) >= 6 and sum(c in DIGITS for c in m[1]) >= 4 else None
+    if m := SIGNED_AT(text, at):
+        start, end = m.span(m.lastindex)
+        if m.lastindex == 3:
+            end = start + len(m[3].rstrip(TRAILING))
+        return (start, end) if end - start >= 6 else None
+    if m := BARE_AT(text, at):
+        value = m[1].rstrip("=.")
+        if len(value) >= 16 and any(c in DIGITS for c in value) and any(c.isalpha() for c in value):
+            return m.start(1), m.start(1) + len(value)
+    return None
+
+
 def find_spans(text: str | None) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of all spans, in order; offsets in code points, end exclusive."""
     if not text:
         return []
     out = []
     after = dict.fromkeys(KINDS, 0)
-    for last, (cue, width) in anchors().iter(text):
+    for last, (cue, width) in anchors().iter(text.translate(LOWER)):
         at = last - width + 1
         if cue == "digit":
             if at and text[at - 1] in DIGITS:
@@ -102,13 +162,12 @@ def find_spans(text: str | None) -> list[tuple[int, int, int]]:
                 start += 1
             if start < at and (m := URL_AT(text, at + 3)):
                 end = at + 3 + len(m[0].rstrip(TRAILING))
-                if end > at + 3:
+                if HOST_AT(text[at + 3 : end]):
                     after["url"] = end
                     out.append((start, 4, end))
-        elif at >= after["account"] and not (at and text[at - 1].isalnum()) and (m := VALUE_AT(text, last + 1)) and m.start(1) > last + 1:
-            if sum(c in DIGITS for c in m[1]) >= 4:
-                after["account"] = m.end(1)
-                out.append((m.start(1), 5, m.end(1)))
+        elif at >= after["account"] and not (at and text[at - 1].isalpha() and text[at - 1].islower() == text[at].islower()) and (got := identifier(cue, text, last + 1)):
+            after["account"] = got[1]
+            out.append((got[0], 5, got[1]))
     return sorted(out)
 
 

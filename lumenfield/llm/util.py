@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,16 +16,28 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the session's checkpoint folder and go on from the written rows.
+def scratch(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share.
 
-    The lineage ends there, so a lost executor costs no recomputation of what stands before. The
-    folder is the one in spark.checkpoint.dir; a temporary one is set only where that is unset.
+    It is the one in spark.checkpoint.dir. Where that is unset, a local session gets a temporary
+    folder; a cluster, whose executors couldn't see one, gets an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        conf = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="lumenfield-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lumenfield-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and go on from the written rows.
+
+    The lineage ends there, so a lost executor costs no recomputation of what stands before. Spark
+    removes the files with the frame where spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
+    scratch(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -86,10 +99,16 @@ def save(df: DataFrame) -> DataFrame:
 
     For wide intermediate rows. The table stays in the checkpoint folder, which is scratch space.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        conf = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="lumenfield-checkpoint-"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{scratch(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, ways: int = 8) -> DataFrame:
+    """left join right on key (both not null), a key's left rows dealt over `ways` tasks by spread_by.
+
+    For a left side with hot keys and a right side with one narrow row a key, which is repeated.
+    """
+    left = left.withColumn("__lf_way", F.pmod(F.xxhash64(spread_by), F.lit(ways)).cast("int"))
+    right = right.withColumn("__lf_way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    return left.join(right, [key, "__lf_way"]).drop("__lf_way")

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumenfield.llm import host_rules
 
@@ -34,3 +35,26 @@ def test_bad_host_takes_its_documents_along(spark):
     assert all(got[200 + i].kept for i in range(200)) and got[999].kept and not got[None].kept
     assert got[0].host_rate == pytest.approx(0.9, abs=0.05)
     assert host_rules.host_rules(df.limit(0)).count() == 0
+
+
+def test_prior_is_beta_binomial(spark):
+    """Hosts that differ by chance alone are shrunk to the corpus rate; the rate at the limit is kept; repeated rows count."""
+    good, bad = " ".join(f"w{i}" for i in range(30)), "too short"
+    rows = [(h * 100 + i, f"h{h}", bad if (i + h) % 5 == 0 else good) for h in range(40) for i in range(5)] * 2
+    got = host_rules.host_rules(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert len(got) == 400 and all(r.host_rate == pytest.approx(0.2, abs=1e-4) for r in got)
+    half = spark.createDataFrame([(i, "only", bad if i % 2 else good) for i in range(10)], "doc_id long, source string, text string")
+    assert {(r.host_rate, r.kept) for r in host_rules.host_rules(half).collect()} == {(0.5, True), (0.5, False)}
+
+
+def test_failures_of_a_very_large_host_do_not_overflow(spark):
+    counts = spark.range(4).selectExpr("if(id < 2, 'a', 'b') as source", "id % 2 = 0 as base_failed").withColumn("n_words", F.lit(1))
+    rates = host_rules.host_rates(counts).collect()
+    assert {r.source: r.rate for r in rates} == {"a": 0.5, "b": 0.5}
+    many = counts.groupBy("source").agg(F.lit(8_000_000_000).alias("n"), F.lit(4_000_000_000).alias("failed"))
+    assert host_rules.with_rates(many).first().rate == pytest.approx(0.5)
+
+
+def test_a_very_long_text():
+    words = b" ".join(b"w%d" % (i % 50_000) for i in range(300_000))
+    assert host_rules.text_metrics(words)[::4] == (300_000, 300_000)

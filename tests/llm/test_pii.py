@@ -42,6 +42,39 @@ def test_digest_rows(spark):
     assert pii.pii_digest(df.limit(0)).count() == 0
 
 
+ACCOUNTS = {
+    "IBAN: DE89 3704 0044 0532 0130 00 is": "DE89 3704 0044 0532 0130 00",
+    "iban GB82WEST12345698765432.": "GB82WEST12345698765432",
+    "IBAN: DE88 3704 0044 0532 0130 00 is": None,
+    "SSN 536-90-4399": "536-90-4399",
+    "ssn: 666-12-3456": None,
+    "SSN 123-45-0000": None,
+    "account number 12-3456789 and": "12-3456789",
+    "accounts of 1999": None,
+    "apiKey = " + "a1" * 40 + ";": "a1" * 40,
+    "API_KEY='x y z 12'": "x y z 12",
+    "secret garden": None,
+    "a secret: hunter2!x": "hunter2!x",
+    "mytoken=abcdef": None,
+    "myToken=abcdef": "abcdef",
+    "Bearer eyJhbGciOiJIUzI1NiJ9": "eyJhbGciOiJIUzI1NiJ9",
+    "bearer of bad news": None,
+}
+
+
+def test_accounts_are_validated():
+    for t, want in ACCOUNTS.items():
+        got = [t[a:b] for a, k, b in pii.find_spans(t) if pii.KINDS[k] == "account"]
+        assert got == ([] if want is None else [want]), t
+    long = "password=" + "p4" * 50_000
+    assert [(a, b) for a, k, b in pii.find_spans(long) if k == 5] == [(9, len(long))]
+
+
+def test_hosts_of_urls():
+    for t, want in {"x http://a b": [], "http://a.b/c.": ["http://a.b/c"], "ftp://u:p@localhost:80": ["ftp://u:p@localhost:80"], "see://": [], "http://[::1]/x": []}.items():
+        assert [t[a:b] for a, k, b in pii.find_spans(t) if k == 4] == want, t
+
+
 def test_added_kinds_and_redaction(spark):
     t = 'see https://a.example/x?y=1, token = "24be64439e3e49cf" and account no. DE44500105175407'
     assert pii.render([s for s in pii.find_spans(t) if s[1] >= pii.BASE]) == "url:4:27,account:38:54,account:72:88"

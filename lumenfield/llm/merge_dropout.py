@@ -1,15 +1,18 @@
 """SentencePiece encoding and decoding with seeded merge-dropout.
 
 A merge-type vocabulary joins adjacent symbols whose concatenation is a piece, best score first,
-leftmost first. With dropout, a candidate merge is passed over when a keyed hash of the seed, the
-word and its variant, the candidate's start and its piece falls below the rate; so the same seed
-gives the same segmentation and the rate 0 gives the plain one. Each occurrence of a word takes one
-of `variants` variants, by a keyed hash of the document id and the word's place. Characters outside
-the vocabulary become byte pieces, so every text decodes to itself.
-
-Words go through the merges in step, as rows of arrays: each step merges one candidate in every
-row. Long words use an agenda (a heap) instead; both give the same pieces. Distinct words of a
-batch are merged once per variant, and memory is bounded by the batch.
+leftmost first. With dropout, a candidate merge is passed over when a keyed hash falls below the
+rate. The key is the seed, the document id, the word's place in the text, the candidate's start and
+its piece, so every occurrence of a word is segmented on its own, the same seed gives the same
+segmentation, and the rate 0 gives the plain one. Characters outside the vocabulary become byte
+pieces, so every text decodes to itself.
+
+How an occurrence is segmented depends only on which of its word's possible candidates (the pieces
+that stand in it, at most 63) are dropped. So the hashes are worked out for all candidates of all
+occurrences of a batch at once, as a bit mask an occurrence; each distinct pair of word and mask is
+merged once, and merged pairs are remembered, up to a bounded number a task. Words go through the
+merges in step, as rows of arrays: each step merges one candidate in every row. Words that are long
+or have more candidates use an agenda (a heap), occurrence by occurrence; both give the same pieces.
 
 Null texts count as empty; an empty text has no pieces. A null id hashes as zero. Repeated rows get
 equal pieces. An empty table gives an empty result.
@@ -25,7 +28,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def windows(codes: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit number for every run of so many characters."""
+    n = len(codes) - size + 1
+    h = np.zeros(max(n, 0), np.uint64)
+    for i in range(size if n > 0 else 0):
+        h = (h ^ codes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
 class Pieces:
     """The tables of a merge-type model file."""
 
@@ -62,6 +74,16 @@ class Pieces:
                 self.bytes[i] = bytes([b])
         ids = {s: i for i, s in text.items()}
         self.char_id = {s: i for s, i in ids.items() if len(s) == 1}
+        self.long_id = {s: i for s, i in ids.items() if len(s) > 1}
+        self.longest = max(map(len, ids))
+        self.by_length = {}
+        for size in range(2, self.longest + 1):
+            own = [s for s in self.long_id if len(s) == size]
+            codes = np.array([[ord(c) for c in s] for s in own], np.uint64).reshape(-1, size)
+            h = windows(codes.ravel(), size)[::size] if own else np.zeros(0, np.uint64)
+            at = np.argsort(h)
+            self.by_length[size] = h[at], np.array([self.long_id[s] for s in own], np.int64)[at]
+        self.forget()
         if any(re.search(r"[^ ] ", s) for s in ids):
             raise ValueError("pieces that go on after a space are not supported")
         self.lone_newline = not any("\n" in s and len(s) > 1 for s in ids)
@@ -89,21 +111,67 @@ class Pieces:
         at = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
         return np.where(self.key[at] == want, self.merged[at], self.size)
 
+    @staticmethod
+    def spot(start: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        return mix((np.asarray(start, np.uint64) << np.uint64(32)) ^ np.asarray(piece, np.uint64))
+
+    @staticmethod
+    def limit(rate: float) -> np.uint64:
+        return np.uint64(min(int(rate * 2.0**64), 2**64 - 1))
+
     def dropped(self, key: np.ndarray, start: np.ndarray, piece: np.ndarray, rate: float) -> np.ndarray:
-        at = (start.astype(np.uint64) << np.uint64(32)) ^ piece.astype(np.uint64)
-        return mix(key ^ mix(at)) < np.uint64(min(int(rate * 2.0**64), 2**64 - 1))
+        return mix(key ^ self.spot(start, piece)) < self.limit(rate)
+
+    def candidates(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+        """(start, piece) of every piece of two characters or more that stands in the word."""
+        ids, n = self.long_id, len(word)
+        found = [(i, p) for i in range(n) for j in range(i + 2, min(n, i + self.longest) + 1) if (p := ids.get(word[i:j])) is not None]
+        starts, pieces = zip(*found, strict=True) if found else ((), ())
+        return np.array(starts, np.int64), np.array(pieces, np.int64)
+
+    def all_candidates(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """spot() of every candidate of all words, word by word, and each word's number of them.
+
+        Characters are compared by 64-bit numbers; a false candidate would only take a bit of a mask.
+        """
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.uint64)
+        owner = np.repeat(np.arange(len(words)), n)
+        start = np.arange(len(codes)) - np.repeat(np.cumsum(n) - n, n)
+        left = np.repeat(n, n) - start
+        who, where, what = [], [], []
+        for size, (keys, ids) in self.by_length.items():
+            at = np.flatnonzero(left >= size)
+            if not len(at):
+                break
+            if len(keys):
+                h = windows(codes, size)[at]
+                spot = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = keys[spot] == h
+                who.append(owner[at[hit]])
+                where.append(start[at[hit]])
+                what.append(ids[spot[hit]])
+        if not who:
+            return np.zeros(0, np.uint64), np.zeros(len(words), np.int64)
+        who, where, what = map(np.concatenate, (who, where, what))
+        order = np.argsort(who, kind="stable")
+        return self.spot(where[order], what[order]), np.bincount(who, minlength=len(words))
 
     def agenda(self, word: str, key: int, rate: float) -> list[int]:
         """Merge one word with a heap of candidates."""
+        out = set()
+        if rate:
+            start, piece = self.candidates(word)
+            lost = self.dropped(np.full(len(start), key, np.uint64), start, piece, rate)
+            out = set(zip(start[lost].tolist(), piece[lost].tolist(), strict=True))
         sym = self.symbols(word)
         nxt, prev = [*range(1, len(sym)), -1], [-1, *range(len(sym) - 1)]
         heap = []
 
         def propose(i: int) -> None:
             j = nxt[i] if i >= 0 else -1
-            if i >= 0 and j >= 0 and (piece := self.pairs.get(sym[i] << 32 | sym[j])) is not None:
-                if not rate or not self.dropped(np.array([key], np.uint64), np.array([i]), np.array([piece]), rate)[0]:
-                    heapq.heappush(heap, (int(self.rank[piece]), i, j, sym[i], sym[j], piece))
+            if i >= 0 and j >= 0 and (piece := self.pairs.get(sym[i] << 32 | sym[j])) is not None and (i, piece) not in out:
+                heapq.heappush(heap, (int(self.rank[piece]), i, j, sym[i], sym[j], piece))
 
         for i in range(len(sym)):
             propose(i)
@@ -163,9 +231,11 @@ class Pieces:
                 rank[r, c], piece[r, c] = candidates(r, c)
         return sym, n
 
-    def encode_words(self, words: list[str], keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces of all words, one after another, and each word's number of pieces."""
+    def encode_words(self, words: list[str], keys: np.ndarray, rate: float, alone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of all words, one after another, and each word's number of pieces. Long ones and those marked alone go by the agenda."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
+        if alone is not None:
+            lengths[alone] = LONG + 1
         counts = np.zeros(len(words), np.int64)
         parts: list[tuple[np.ndarray, np.ndarray]] = []  # (word of each piece, piece)
         at = 0
@@ -198,32 +268,105 @@ class Pieces:
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode()[1:]
 
-    def encode(self, texts: list[str | None], doc_keys: np.ndarray, rate: float, seed: int, variants: int) -> list[np.ndarray]:
+    def forget(self) -> None:
+        """Empty the tables of words and of merged words."""
+        self.number: dict[str, int] = {}
+        self.names: list[str] = []
+        self.masked = Rows(bool)  # whose size says whether a word's drops fit a mask
+        self.spots = Rows(np.uint64)  # each word's candidates, hashed
+        self.known: dict[tuple[int, int], int] = {}
+        self.merged_words = Rows(np.int32)
+
+    def numbered(self, words: list[str]) -> np.ndarray:
+        """Numbers of words; new ones get their candidates."""
+        number = self.number
+        new = [w for w in dict.fromkeys(words) if w not in number]
+        for w in new:
+            number[w] = len(number)
+        self.names += new
+        for at in range(0, len(new), 20_000):
+            some = [w if len(w) <= LONG else "" for w in new[at : at + 20_000]]
+            spots, n = self.all_candidates(some)
+            ok = (n < 64) & (np.fromiter(map(len, some), np.int64, len(some)) > 0)
+            self.spots.extend(spots[np.repeat(ok, n)], np.where(ok, n, 0))
+            self.masked.extend(np.zeros(0, bool), ok.astype(np.int64))
+        return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+
+    def masks(self, words: np.ndarray, keys: np.ndarray, rate: float) -> np.ndarray:
+        """Which candidates each occurrence drops, a bit each."""
+        out = np.zeros(len(words), np.uint64)
+        if not rate:
+            return out
+        flat, n = self.spots.take(words)
+        lost = mix(np.repeat(keys, n) ^ flat) < self.limit(rate)
+        upto = np.cumsum(n)
+        place = np.arange(len(flat)) - np.repeat(upto - n, n)
+        some = np.flatnonzero(n)
+        if len(some):
+            out[some] = np.bitwise_or.reduceat(lost.astype(np.uint64) << place.astype(np.uint64), (upto - n)[some])
+        return out
+
+    def encode(self, texts: list[str | None], doc_keys: np.ndarray, rate: float, seed: int, remembered: int = 300_000) -> list[np.ndarray]:
         """The pieces of each text."""
+        if len(self.known) > remembered or len(self.number) > remembered:
+            self.forget()
         found = [self.words.findall(f" {t}") if t else [] for t in texts]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        number: dict[str, int] = {}
-        word = np.array([number.setdefault(w, len(number)) for ws in found for w in ws], np.int64)
+        word = self.numbered([w for ws in found for w in ws])
         if not len(word):
             return [np.zeros(0, np.int32)] * len(texts)
         first = np.cumsum(sizes) - sizes
         place = (np.arange(len(word)) - np.repeat(first, sizes)).astype(np.uint64)
-        base = np.uint64(seed % 2**64)
-        variant = mix(mix(np.repeat(doc_keys, sizes) ^ base) + place) % np.uint64(variants) if rate else np.zeros(len(word), np.uint64)
-        chosen, back = np.unique(word * variants + variant.astype(np.int64), return_inverse=True)
-        names = list(number)
-        words = [names[i] for i in (chosen // variants).tolist()]
-        digest = np.array([xxhash.xxh64_intdigest(w, seed % 2**64) for w in words], np.uint64)
-        keys = mix(digest + (chosen % variants).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        pieces, counts = self.encode_words(words, keys, rate)
-        starts = np.cumsum(counts) - counts
-        n = counts[back]
-        upto = np.cumsum(n)
-        flat = pieces[np.repeat(starts[back] - (upto - n), n) + np.arange(upto[-1])].astype(np.int32)
-        ends = np.concatenate([[0], upto])[np.concatenate([first, [len(word)]])]
+        keys = mix(mix(np.repeat(doc_keys, sizes) ^ np.uint64(seed % 2**64)) + place)
+        mask = self.masks(word, keys, rate)
+        # words without a mask are told apart by their key, if at all
+        bare = self.masked.sizes[word] == 0 if rate else np.zeros(len(word), bool)
+        mask[bare] = keys[bare]
+        order = np.lexsort((mask, word))
+        new = np.concatenate([[True], (word[order][1:] != word[order][:-1]) | (mask[order][1:] != mask[order][:-1])])
+        back = np.empty(len(word), np.int64)
+        back[order] = np.cumsum(new) - 1
+        one = order[new]  # an occurrence of each distinct pair
+        at = np.empty(len(one), np.int64)
+        pairs = list(zip(word[one].tolist(), mask[one].tolist(), strict=True))
+        missing = [i for i, pair in enumerate(pairs) if pair not in self.known]
+        if missing:
+            lacking = one[missing]
+            pieces, counts = self.encode_words([self.names[i] for i in word[lacking].tolist()], keys[lacking], rate, bare[lacking])
+            self.known.update(zip([pairs[i] for i in missing], self.merged_words.extend(pieces, counts), strict=True))
+        at[:] = [self.known[pair] for pair in pairs]
+        flat, n = self.merged_words.take(at[back])
+        for i in np.flatnonzero(bare[one]).tolist():  # of no use to another batch
+            del self.known[pairs[i]]
+        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([first, [len(word)]])]
         return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
+class Rows:
+    """Rows of different lengths in one array that grows."""
+
+    def __init__(self, dtype: type) -> None:
+        self.flat, self.used, self.starts, self.sizes, self.n = np.zeros(1024, dtype), 0, np.zeros(256, np.int64), np.zeros(256, np.int64), 0
+
+    def extend(self, values: np.ndarray, sizes: np.ndarray) -> range:
+        """Add rows that stand one after another in values; their numbers."""
+        while self.used + len(values) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.n + len(sizes) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        self.flat[self.used : self.used + len(values)] = values
+        self.starts[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.n : self.n + len(sizes)] = sizes
+        self.used, self.n = self.used + len(values), self.n + len(sizes)
+        return range(self.n - len(sizes), self.n)
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows one after another, and their sizes."""
+        n = self.sizes[rows]
+        upto = np.cumsum(n)
+        return self.flat[np.repeat(self.starts[rows] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)], n
+
+
 @lru_cache(2)
 def load(path: str) -> Pieces:
     return Pieces(path)
@@ -233,7 +376,7 @@ def doc_keys(ids: list[int | None]) -> np.ndarray:
     return mix(np.array([(i or 0) % 2**64 for i in ids], np.uint64) + np.uint64(1))
 
 
-def batches_encoded(model: str, rate: float, seed: int, variants: int, rows: int = 1000):
+def batches_encoded(model: str, rate: float, seed: int, rows: int = 1000):
     """mapInArrow helper: slices of each batch (id column first, text column second) with their pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -242,16 +385,16 @@ def batches_encoded(model: str, rate: float, seed: int, variants: int, rows: int
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                yield pieces, part, texts, pieces.encode(texts, doc_keys(ids), rate, seed, variants)
+                yield pieces, part, texts, pieces.encode(texts, doc_keys(ids), rate, seed)
 
     return run
 
 
-def encode_docs(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 1, variants: int = 4) -> DataFrame:
+def encode_docs(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 1) -> DataFrame:
     """doc_id, pieces (array of ids) and n_pieces of every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, part, _, got in batches_encoded(model, rate, seed, variants)(batches):
+        for _, part, _, got in batches_encoded(model, rate, seed)(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.list_(pa.int32())), pa.array([len(g) for g in got], pa.int64())], names=["doc_id", "pieces", "n_pieces"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, pieces array<int>, n_pieces long")
@@ -268,11 +411,11 @@ def decode_docs(encoded: DataFrame, model: str) -> DataFrame:
     return encoded.select("doc_id", "pieces").mapInArrow(run, "doc_id long, text string")
 
 
-def encode_digest(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 1, variants: int = 4) -> DataFrame:
+def encode_digest(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 1) -> DataFrame:
     """doc_id, n_pieces, pieces_sha256 (little-endian 32-bit ids) and lossless (they decode to the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pieces, part, texts, got in batches_encoded(model, rate, seed, variants)(batches):
+        for pieces, part, texts, got in batches_encoded(model, rate, seed)(batches):
             sha = [hashlib.sha256(g.astype("<i4").tobytes()).hexdigest() for g in got]
             same = [pieces.decode(g) == (t or "") for g, t in zip(got, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(g) for g in got], pa.int64()), pa.array(sha), pa.array(same)], names=["doc_id", "n_pieces", "pieces_sha256", "lossless"])

@@ -1,6 +1,7 @@
 """Language model, classifier and piece encoder against plain versions."""
 
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -130,18 +131,50 @@ def test_no_dropout_gives_the_models_own_pieces(spark, sf_dir):
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
     texts = [t for t in texts if t and model.decode(model.encode(t)) == t][:150]
     pieces = merge_dropout.load(MODEL)
-    got = pieces.encode(texts, merge_dropout.doc_keys(list(range(len(texts)))), 0.0, 1, 4)
+    got = pieces.encode(texts, merge_dropout.doc_keys(list(range(len(texts)))), 0.0, 1)
     assert len(texts) > 50 and [g.tolist() for g in got] == model.encode(texts)
 
 
-def test_agenda_and_steps_agree():
-    pieces = merge_dropout.load(MODEL)
-    words = [" interpolation", " weights", "\n", " aaaaaaaaaaaa", " é漢x", " www.example.org"]
-    keys = np.arange(len(words), dtype=np.uint64) * np.uint64(77)
-    for rate in (0.0, 0.3):
-        flat, counts = pieces.encode_words(words, keys, rate)
-        split = np.split(flat, np.cumsum(counts)[:-1])
-        for w, k, got in zip(words, keys.tolist(), split, strict=True):
-            want = pieces.agenda(w, k, rate)
-            assert b"".join(pieces.bytes[i] for i in got.tolist()) == w.encode()
-            assert max(want) >= pieces.size or want == got.tolist()  # characters outside the vocabulary become bytes only later
+def plain_mix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def brute_pieces(model, text, doc_id, rate, seed):
+    """Merge-dropout in plain Python: of all adjacent symbols that make a piece and aren't dropped, the best score, leftmost, again and again."""
+    score = {model.id_to_piece(i).replace("▁", " "): (-model.get_score(i), i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
+    out = []
+    for place, word in enumerate(re.findall(r"\n| *[^ \n]+| +", f" {text}") if text else []):
+        key = plain_mix((plain_mix(plain_mix(doc_id + 1) ^ seed) + place) % 2**64)
+        sym = [(i, c) for i, c in enumerate(word)]
+        while True:
+            best = None
+            for k, ((at, a), (_, b)) in enumerate(zip(sym, sym[1:])):
+                if (got := score.get(a + b)) and not plain_mix(key ^ plain_mix(at << 32 ^ got[1])) < int(rate * 2**64) and (best is None or got < best[0]):
+                    best = got, k
+            if best is None:
+                break
+            k = best[1]
+            sym[k : k + 2] = [(sym[k][0], sym[k][1] + sym[k + 1][1])]
+        for _, s in sym:
+            out += [score[s][1]] if s in score else [model.piece_to_id(f"<0x{b:02X}>") for b in s.encode()]
+    return out
+
+
+def test_dropout_equals_plain_merging(spark, sf_dir):
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = [*ODD[:10], "the same word the same word the same word", "interpolation " * 40, "w" * 60 + " " + "abcdefghij" * 8, "漢é" * 30]
+    texts += [r.text[:600] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(12).collect() if r.text]
+    pieces = merge_dropout.Pieces(MODEL)
+    for rate in (0.1, 0.4):
+        got = pieces.encode(texts, merge_dropout.doc_keys(list(range(len(texts)))), rate, 5)
+        assert [g.tolist() for g in got] == [brute_pieces(model, t, i, rate, 5) for i, t in enumerate(texts)]
+        again = pieces.encode(texts[::-1], merge_dropout.doc_keys(list(range(len(texts)))[::-1]), rate, 5, remembered=0)
+        assert [g.tolist() for g in again[::-1]] == [g.tolist() for g in got]
+
+
+def test_a_word_has_many_segmentations():
+    pieces = merge_dropout.Pieces(MODEL)
+    got = pieces.encode(["interpolation"] * 500, merge_dropout.doc_keys(list(range(500))), 0.1, 1)
+    assert len({tuple(g.tolist()) for g in got}) > 8

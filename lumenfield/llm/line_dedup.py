@@ -4,14 +4,20 @@ Distinct lines are cut into distance + 1 even segments. Two lines within the edi
 whole segment of the shorter one, at a place of the longer one that the length difference and the
 segment's number confine to a few offsets. So each line is indexed by (length, segment number,
 segment) and probes, for every length from its own down to its own less the distance, the
-substrings at those offsets. Candidates must also agree in ten letter counts but for twice the distance;
-then the banded edit distance is computed. Links are closed to classes, and the class's first
+substrings at those offsets. Candidates must also agree in ten letter counts but for twice the
+distance; then a banded bit-parallel edit distance is computed: the vertical differences of a band
+of 2 * distance + 1 cells stand in the bits of two numbers, and each character of the longer line is
+one step of additions, shifts and masks. Links are closed to classes, and the class's first
 occurrence stays.
 
-"First" is by document id, then text hash, then position; a null id comes first. Lines shorter than
-min_chars are left alone. Null texts have no lines and stay null. Rows equal in id and text are
-treated alike. An empty table gives an empty result. Verification uses Spark's levenshtein with a
-threshold, which computes only a band of the matrix; Spark has no bit-parallel form of it.
+A key under which more than max_key lines are indexed is refined: the shared segment is taken out of
+both lines, what is left is within the distance too, and is cut into segments and probed again,
+under the old key. Keys that are still crowded after `levels` refinements are dealt in slices of the
+indexed lines over tasks.
+
+Lines shorter than min_chars are compared for equality only. Lines without a word stay. "First" is
+by document id, then text hash, then position; a null id comes first. Null texts have no lines and
+stay null. Rows equal in id and text are treated alike. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,26 +40,40 @@ def segment(i: int, chars: Column, distance: int) -> tuple[Column, Column]:
     return 1 + i * base + F.greatest(F.lit(0), i - short), base + (short <= i).cast("int")
 
 
-def index_keys(distance: int) -> Column:
-    keys = []
+def places(distance: int) -> list[tuple[int, int, int]]:
+    """(length difference, segment number, offset) of every place where a segment of the shorter line may stand in the longer one."""
+    return [
+        (less, i, o)
+        for less in range(distance + 1)
+        for i in range(distance + 1)
+        for o in range(max(-i, less - distance + i), min(i, less + distance - i) + 1)
+    ]
+
+
+def without(text: Column, at: Column, width: Column) -> Column:
+    return F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + width, F.length(text)))
+
+
+def indexed(lines: DataFrame, distance: int, rest: bool = False) -> DataFrame:
+    """a, sa and key (and text without the segment) for every segment of lines (a, sa, text, base)."""
+    text, n, found = F.col("text"), F.length("text"), []
     for i in range(distance + 1):
-        start, width = segment(i, F.col("n"), distance)
-        keys.append(F.xxhash64(F.col("n"), F.lit(i), F.substring("line", start, width)))
-    return F.array(*keys)
+        start, width = segment(i, n, distance)
+        key = F.xxhash64("base", n, F.lit(i), F.substring(text, start, width)).alias("key")
+        found.append(F.struct(key, without(text, start, width).alias("text")) if rest else F.struct(key))
+    return lines.select("a", "sa", F.explode(F.array(*found)).alias("found")).select("a", "sa", "found.*")
 
 
-def probe_keys(distance: int) -> Column:
-    """Keys of the substrings to look up; null where one would stand outside the line."""
-    keys = []
-    for less in range(distance + 1):
-        chars = F.col("n") - less
-        for i in range(distance + 1):
-            start, width = segment(i, chars, distance)
-            left, right = i, distance - i
-            for o in range(max(-left, less - right), min(left, less + right) + 1):
-                at = start + o
-                keys.append(F.when((at >= 1) & (at + width - 1 <= F.col("n")), F.xxhash64(chars, F.lit(i), F.substring("line", at, width))))
-    return F.array(*keys)
+def probing(lines: DataFrame, distance: int, rest: bool = False) -> DataFrame:
+    """b, sb and key (and text without the substring, and less) for every substring that lines (b, sb, text, base, less) look up; less: the known length difference, or null."""
+    text, n, found = F.col("text"), F.length("text"), []
+    for less, i, o in places(distance):
+        start, width = segment(i, n - less, distance)
+        at = start + o
+        key = F.xxhash64("base", n - less, F.lit(i), F.substring(text, at, width)).alias("key")
+        own = F.struct(key, without(text, at, width).alias("text"), F.lit(less).alias("less")) if rest else F.struct(key)
+        found.append(F.when((at >= 1) & (at + width - 1 <= n) & (n >= less) & (F.col("less").isNull() | (F.col("less") == less)), own))
+    return lines.select("b", "sb", F.explode(F.array_compact(F.array(*found))).alias("found")).select("b", "sb", "found.*")
 
 
 def signature(line: Column) -> Column:
@@ -78,33 +98,112 @@ def may_be_near(a: Column, b: Column, distance: int) -> Column:
     return ok & (changed <= 2 * distance)
 
 
-def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def edit_distance(a: Column, b: Column, distance: int) -> Column:
+    """The edit distance of a and b, b being as long as a or longer by `distance` at most; right up to `distance`, and above it where it is above.
+
+    Bit o of step j stands for the cell in row j - distance + o of the column of b's j-th character.
+    up and down: cells one more and one less than the cell above them. The score follows the band's
+    last cell down to the last row, then that row to its end.
+    """
+    band = 2 * distance + 1
+    mask, last = F.lit((1 << band) - 1).cast("long"), 2 * distance
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    chars = lambda s: F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0))
+    flip = lambda v: v.bitwiseXOR(mask)
+
+    def run(s: Column) -> Column:
+        x, y, m = s["x"], s["y"], F.size(s["x"])
+
+        def step(state: Column, j: Column) -> Column:
+            up, down, score = state["up"], state["down"], state["score"]
+            equal = sum((F.when(F.get(x, j - distance + o - 1) == F.get(y, j - 1), F.lit(1 << o).cast("long")).otherwise(zero) for o in range(band)), zero)
+            diagonal = lambda e: (e.bitwiseAND(up) + up).bitwiseXOR(up).bitwiseOR(e).bitwiseOR(down).bitwiseAND(mask)
+
+            def move(v: Column) -> Column:
+                right, left, same = v["right"], v["left"], F.shiftright(v["d"], 1)
+                row = (m - j + distance).cast("int")  # where the last row stands in the band
+                set_in = lambda w: (w.bitwiseAND(F.get(powers, row)) != 0).cast("int")
+                along = set_in(right) - set_in(left)
+                scored = F.when(j + distance <= m, F.lit(1) - F.shiftright(v["d"], last).bitwiseAND(one).cast("int")).otherwise(along)
+                return F.struct(
+                    left.bitwiseOR(flip(same.bitwiseOR(right))).bitwiseAND(mask).alias("up"),
+                    same.bitwiseAND(right).alias("down"),
+                    (score + scored).cast("int").alias("score"),
+                )
+
+            powers = F.array(*(F.lit(1 << o).cast("long") for o in range(band)))
+            return let(let(equal, diagonal), lambda d: let(F.struct(d.alias("d"), down.bitwiseOR(flip(d.bitwiseOR(up))).alias("right"), d.bitwiseAND(up).alias("left")), move))
+
+        first = F.struct(F.lit((1 << band) - (1 << distance)).cast("long").alias("up"), zero.alias("down"), F.least(F.lit(distance), m).alias("score"))
+        return F.when(F.size(y) == 0, 0).otherwise(F.aggregate(F.sequence(F.lit(1), F.size(y)), first, step, lambda s: s["score"]))
+
+    return let(F.struct(chars(a).alias("x"), chars(b).alias("y")), run)
+
+
+def occurrences(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, pos and line of every line with a word."""
     text = F.col("text").cast("string")
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    return lines.where(F.length("line") >= min_chars)
+    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def near_lines(lines: DataFrame, distance: int) -> DataFrame:
-    """Links (a, b) between the ids of lines (id, line, n, sig) within the edit distance of each other."""
-    index = lines.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.explode(index_keys(distance)).alias("key"))
-    probe = lines.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.explode(F.array_compact(probe_keys(distance))).alias("key"))
+def candidates(lines: DataFrame, distance: int, max_key: int = 256, levels: int = 3, slice_rows: int = 8192) -> DataFrame:
+    """Pairs (a, b) of ids of lines (id, line, n, sig) that share a segment and whose signatures allow the edit distance; a's line is as long or shorter."""
     ordered = (F.shiftrightunsigned("sa", 60) != F.shiftrightunsigned("sb", 60)) | (F.col("a") < F.col("b"))
-    pairs = cut(index.join(probe, "key").where(ordered & (F.col("a") != F.col("b")) & may_be_near(F.col("sa"), F.col("sb"), distance)).select("a", "b").distinct())
+    near = ordered & (F.col("a") != F.col("b")) & may_be_near(F.col("sa"), F.col("sb"), distance)
+    a = lines.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("line").alias("text"), F.lit(0).cast("long").alias("base"))
+    b = lines.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("line").alias("text"), F.lit(0).cast("long").alias("base"), F.lit(None).cast("int").alias("less"))
+    found = []
+    for level in range(levels + 1):
+        index, probe = indexed(a, distance), probing(b, distance)
+        hot = cut(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_key))
+        n_hot = hot.count()
+        sent = F.broadcast(hot) if n_hot <= MOST_SENT else hot
+        if n_hot:
+            found.append(cut(index.join(sent, "key", "left_anti").join(probe, "key").where(near).select("a", "b").distinct()))
+        else:
+            return cut(union_all([*found, index.join(probe, "key").where(near).select("a", "b")]).distinct())
+        if level == levels:
+            slices = F.ceil(F.col("n") / slice_rows).cast("int")
+            dealt = index.join(sent, "key").select("a", "sa", "key", F.pmod(F.xxhash64("a"), slices).cast("int").alias("slice"))
+            asked = probe.join(sent, "key").select("b", "sb", "key", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
+            found.append(dealt.join(asked, ["key", "slice"]).where(near).select("a", "b"))
+        else:
+            a = cut(indexed(a, distance, True).join(sent, "key", "left_semi").withColumnRenamed("key", "base"))
+            b = cut(probing(b, distance, True).join(sent, "key", "left_semi").withColumnRenamed("key", "base"))
+    return cut(union_all(found).distinct())
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def near_lines(lines: DataFrame, distance: int, **options) -> DataFrame:
+    """Links (a, b) between the ids of lines (id, line, n, sig) within the edit distance of each other."""
+    pairs = candidates(lines, distance, **options)
     asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     few = asked.count() <= MOST_SENT
     texts = cut(lines.select("id", "line").join(F.broadcast(asked) if few else asked, "id"))
     pairs = pairs.join(texts.toDF("a", "la"), "a").join(texts.toDF("b", "lb"), "b")
-    return pairs.where(F.levenshtein("la", "lb", distance) >= 0).select("a", "b")
+    return pairs.where(edit_distance(F.col("la"), F.col("lb"), distance) <= distance).select("a", "b")
 
 
 def repeated_lines(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> DataFrame:
     """doc_id, text_hash and dropped, the sorted positions (from 0) of the lines that repeat an earlier one; documents with any."""
     if not 0 <= distance < min(min_chars, 16):
         raise ValueError("distance must be below min_chars and 16")
-    found = occurrences(docs, min_chars)
+    found = occurrences(docs)
     lines = found.groupBy("line").agg(F.min(F.struct("doc_id", "text_hash", "pos")).alias("first"), F.count(F.lit(1)).alias("times"))
     lines = save(lines.select(F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("n"), signature(F.col("line")).alias("sig"), "first", "times"))
-    roots = cut(components(near_lines(lines, distance), "a", "b"))
+    roots = cut(components(near_lines(lines.where(F.col("n") >= min_chars), distance), "a", "b"))
     narrow = lines.select("id", "first", "times", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     classed = narrow.join(roots, narrow.id == roots.node, "left").drop("node")
     earliest = classed.where("root is not null").groupBy("root").agg(F.min("first").alias("earliest"))

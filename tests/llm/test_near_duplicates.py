@@ -1,6 +1,7 @@
 """SimHash, embeddings and lines against brute force, and their odd inputs."""
 
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -154,9 +155,9 @@ def brute_lines(rows, distance, least):
     first = {}
     for i, t in rows:
         for p, line in enumerate((t or "").split("\n")):
-            if len(line) >= least:
+            if re.search(r"[^\x20\x09-\x0D]", line):
                 first.setdefault(line, []).append((i, p))
-    lines = sorted(first)
+    lines = sorted(x for x in first if len(x) >= least)
     con = duckdb.connect()
     con.register("l", pa.table({"i": range(len(lines)), "n": [len(x) for x in lines], "line": lines}))
     # DuckDB counts edits of bytes, of which a character has four at most
@@ -167,7 +168,7 @@ def brute_lines(rows, distance, least):
     for line, r in zip(lines, roots, strict=True):
         own.setdefault(r, []).extend(first[line])
     out = {}
-    for at in own.values():
+    for at in [*own.values(), *(first[x] for x in first if len(x) < least)]:
         for i, p in sorted(at)[1:]:
             out.setdefault(i, []).append(p)
     return {i: sorted(p) for i, p in out.items()}
@@ -204,6 +205,52 @@ def test_line_dedup_equals_brute_force(spark):
             assert kept[i] == left if i in kept else (i in want and not left.split())
 
 
+def test_bit_parallel_distance(spark):
+    rng = random.Random(11)
+    pairs = [("", ""), ("", "ab"), ("a", "a"), ("😀b", "b😀"), ("😀" * 5, "😀" * 6)]
+    for _ in range(400):
+        a = "".join(rng.choice("abé") for _ in range(rng.randrange(1, 30)))
+        b = edited(rng, a + "xyzzy", rng.randrange(5))
+        pairs.append(tuple(sorted((a, b), key=len)))
+    for k in (1, 2, 4):
+        own = [(a, b, edit_distance(a, b)) for a, b in pairs if len(b) - len(a) <= k]
+        df = spark.createDataFrame(own, "a string, b string, d int")
+        for r in df.select("a", "b", "d", line_dedup.edit_distance(F.col("a"), F.col("b"), k).alias("got")).collect():
+            assert r.got == r.d if r.d <= k else r.got > k, r
+
+
+def numbered(df):
+    return df.select(F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("n"), line_dedup.signature(F.col("line")).alias("sig"))
+
+
+def test_crowded_segments_are_refined(spark):
+    """Lines that share a segment: the same links with and without refinement (which brute force checks elsewhere)."""
+    rng = random.Random(12)
+    for shared, n in (("the same first third of it all ", 600), ("nearly the whole of a long line of many words that all of them have, number ", 500)):
+        lines = set()
+        while len(lines) < n:
+            tail = "".join(rng.choice("abcdefgh") for _ in range(60 if n == 600 else 5))
+            lines |= {shared + tail, edited(rng, shared + tail, 1)} if rng.random() < 0.3 else {shared + tail}
+        df = numbered(spark.createDataFrame([(x,) for x in sorted(lines)], "line string").coalesce(1)).cache()
+        got = [{tuple(sorted((r.a, r.b))) for r in line_dedup.near_lines(df, 2, **options).collect()} for options in ({"max_key": 10**9}, {"max_key": 32}, {"max_key": 32, "levels": 1, "slice_rows": 40})]
+        assert got[0] and got[1] == got[2] == got[0]
+
+
+def test_joined_rows_grow_in_proportion(spark):
+    rng, joined = random.Random(13), []
+    for n in (1000, 4000):
+        lines = [("the same first third of these lines " + "".join(rng.choice("abcdefghijklmnop") for _ in range(72)),) for _ in range(n)]
+        df = numbered(spark.createDataFrame(lines, "line string"))
+        a = df.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("line").alias("text"), F.lit(0).cast("long").alias("base"))
+        b = a.toDF("b", "sb", "text", "base").withColumn("less", F.lit(None).cast("int"))
+        hot = line_dedup.indexed(a, 2).groupBy("key").count().where("count > 256")
+        finer = [line_dedup.indexed(a, 2, True).join(hot, "key", "left_semi"), line_dedup.probing(b, 2, True).join(hot, "key", "left_semi")]
+        finer = [f.withColumnRenamed("key", "base") for f in finer]
+        joined.append(line_dedup.indexed(finer[0], 2).join(line_dedup.probing(finer[1], 2), "key").count())
+        assert line_dedup.candidates(df, 2).count() <= 2 * n
+    assert joined[1] <= 6 * joined[0]
+
+
 def test_lines_of_odd_tables(spark):
     line = "the same line that is long enough"
     df = spark.createDataFrame([(1, line), (1, line), (None, line), (2, None)], "doc_id long, text string")

@@ -1,14 +1,19 @@
 """Near-duplicate embeddings by hierarchical navigable small-world graphs.
 
-Vectors are dealt to shards by hash. Each shard's vectors become one layered graph; every vector
-then queries the graph of every shard. A search whose whole beam lies above the threshold may have
-missed links and is repeated with a wider beam. Each task also audits itself: a hashed sample of
-its queries is compared with the whole shard, and beams are doubled for all its queries until the
-audit's recall reaches the target. Every reported link is verified by cosine in double precision.
-A task returns a count for each query and a spanning forest of its links; components join those.
-
-Searches run in step for many queries, as array operations. A task holds one shard (shard_rows
-vectors at most, on average) and one group of queries.
+Equal vectors are one row with a multiplicity. Rows are dealt to shards by hash. Each shard's
+vectors become one layered graph, written to the shared folder and opened by path; every vector then
+queries the graph of every shard, in tasks of one graph and slot_rows queries. A search whose whole
+beam lies above the threshold may have missed links and is repeated with a wider beam. From
+4 * beam on, crowded queries that are near one of them (the pivot) are answered together: the beam
+is unbounded in number then and bounded by angle, so a flood over the graph's links from the pivot
+gathers every node that could be within the threshold of any of the group, and the group is compared
+with those in blocks.
+
+Each task audits itself: of the queries answered by beams, a hashed sample of those with a
+neighbour near the threshold or above it is compared with the whole shard, and beams are doubled for
+all those queries until the mean recall of the sampled queries' links (those to themselves left out)
+reaches the target. Every link is verified by cosine in double precision. A task keeps a count for
+each query and one label a node, and returns counts and a forest; components join those.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing. Vectors
 of different lengths don't link. Repeated rows are vectors of their own and link with each other;
@@ -17,7 +22,9 @@ a null id is ignored for the smallest id of a component. An empty table gives an
 
 from __future__ import annotations
 
+import io
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import components, cut
+from .util import components, cut, shared_file, shared_folder, spread_join
 
-PACKED = "shard int, dim int, slot int, rids binary, vectors binary"
 
 
 # ---- one graph -----------------------------------------------------------------------------------
@@ -165,6 +171,20 @@ class Graph:
             at = beam_search(self.links[above], self.vecs, queries, at, 1, 1)[0]
         return at
 
+    def flood(self, start: np.ndarray, query: np.ndarray, bound: float) -> np.ndarray:
+        """The nodes at least `bound` similar to the query that links join to the start nodes through such nodes."""
+        seen = np.zeros(len(self.vecs), bool)
+        seen[start] = True
+        front, out = start, [start]
+        while len(front):
+            near = np.unique(self.links[0][front])
+            near = near[near >= 0]
+            near = near[~seen[near]]
+            seen[near] = True
+            front = near[self.vecs[near] @ query >= bound]
+            out.append(front)
+        return np.concatenate(out)
+
     def search(self, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         out = [beam_search(self.links[0], self.vecs, q, self.entry(q, 0), width) for q in (queries[i : i + 2048] for i in range(0, len(queries), 2048))]
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -173,42 +193,116 @@ class Graph:
 # ---- links of queries with one shard -------------------------------------------------------------
 
 
-def exact_links(vecs: np.ndarray, queries: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) index pairs at least bound apart in similarity, by comparing all, in blocks."""
-    q, v = [], []
-    for at in range(0, len(queries), 256):
-        i, j = np.nonzero(queries[at : at + 256] @ vecs.T >= bound)
-        q.append(i + at)
-        v.append(j)
-    return np.concatenate(q or [np.zeros(0, int)]), np.concatenate(v or [np.zeros(0, int)])
-
-
-def shard_links(g: Graph, queries: np.ndarray, threshold: float, beam: int, sample: np.ndarray, recall: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) index pairs found. Beams widen per query while they are full of links, and for all while the sample's recall is short."""
+class Tally:
+    """Links of some queries with a shard, as a weighted count for each query and a label for each row id."""
+
+    def __init__(self, q_rids: np.ndarray, q: np.ndarray, v_rids: np.ndarray, v: np.ndarray, weight: np.ndarray, threshold: float) -> None:
+        self.q, self.v, self.weight, self.threshold = q, v, weight, threshold
+        self.q_norm, self.v_norm = (np.linalg.norm(x, axis=1) for x in (q, v))
+        self.q_rids, self.v_rids = q_rids, v_rids
+        self.rids, at = np.unique(np.concatenate([q_rids, v_rids]), return_inverse=True)
+        self.q_at, self.v_at = at[: len(q_rids)], at[len(q_rids) :]
+        self.counts = np.zeros(len(q_rids), np.int64)
+        self.label = np.arange(len(self.rids))
+
+    def cosine(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        x, y = self.q[i], self.v[j]
+        return (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
+
+    def real(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs are links."""
+        out = np.zeros(len(i), bool)
+        for at in range(0, len(i), 1 << 16):
+            own = slice(at, at + (1 << 16))
+            out[own] = (self.cosine(i[own], j[own]) >= self.threshold) & (self.q_rids[i[own]] != self.v_rids[j[own]])
+        return out
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        a, b = self.label[self.q_at[i]], self.label[self.v_at[j]]
+        if (a != b).any():
+            a, b = np.divmod(np.unique(a * len(self.rids) + b), len(self.rids))
+            node, root = span(a, b)
+            to = np.arange(len(self.rids))
+            to[node] = root
+            self.label = to[self.label]
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Count distinct pairs that are links."""
+        ok = self.real(i, j)
+        self.counts += np.bincount(i[ok], self.weight[j[ok]], len(self.counts)).astype(np.int64)
+        self.join(i[ok], j[ok])
+
+    def add_block(self, group: np.ndarray, region: np.ndarray) -> None:
+        """Compare all of a group of queries with all of some nodes, some millions of pairs at a time."""
+        y = self.v[region]
+        rows = max(1, (1 << 22) // max(1, len(region)))
+        for at in range(0, len(group), rows):
+            own = group[at : at + rows]
+            s = self.q[own] @ y.T / self.q_norm[own][:, None] / self.v_norm[region]
+            hit = s >= self.threshold
+            i, j = np.nonzero(np.abs(s - self.threshold) < 1e-9)  # rounding could tell these otherwise than the plain formula
+            hit[i, j] = self.cosine(own[i], region[j]) >= self.threshold
+            hit &= self.q_rids[own][:, None] != self.v_rids[region]
+            self.counts[own] += (hit @ self.weight[region].astype(np.float64)).astype(np.int64)
+            if len(np.unique(np.concatenate([self.label[self.q_at[own]], self.label[self.v_at[region]]]))) > 1:
+                i, j = np.nonzero(hit)
+                self.join(own[i], region[j])
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray]:
+        own = np.flatnonzero(self.label != np.arange(len(self.label)))
+        return self.rids[own], self.rids[self.label[own]]
+
+
+def crowded_links(g: Graph, queries: np.ndarray, left: np.ndarray, threshold: float, tally: Tally) -> None:
+    """Links of the queries left, group by group: a pivot, the queries within the threshold of it, and the flood of the nodes within twice its angle."""
+    wide = math.cos(min(math.pi, 2 * math.acos(max(-1.0, threshold - 1e-5)))) - 1e-5
+    while len(left):
+        pivot = queries[left[0]]
+        near = queries[left] @ pivot >= threshold
+        near[0] = True
+        found = g.search(pivot[None], 64)[0][0]
+        tally.add_block(left[near], g.flood(found[found >= 0], pivot, wide))
+        left = left[~near]
+
+
+def shard_links(g: Graph, queries: np.ndarray, threshold: float, beam: int, audit: int, recall: float, tally: Tally) -> tuple[float, int]:
+    """Put all links of the queries into tally. The mean recall of the audited queries' links, and how many were audited."""
     bound = threshold - 1e-5  # single precision; pairs are verified later
-    sq, sv = exact_links(g.vecs, queries[sample], bound)
-    truth = set(zip(sample[sq].tolist(), sv.tolist(), strict=True))
+    n, left, width = len(g.vecs), np.arange(len(queries)), beam
+    asked = left
     while True:
-        found_q, found_v, left, width = [], [], np.arange(len(queries)), beam
+        found_q, found_v, best = [], [], np.full(len(queries), -np.inf)
+        left, width = asked, beam
         while len(left):
-            if width > 4 * beam or width >= len(g.vecs) // 4:  # a dense neighbourhood: one pass over the shard costs less than wider beams
-                q, v = exact_links(g.vecs, queries[left], bound)
-                found_q.append(left[q])
-                found_v.append(v)
-                break
             ids, sims = g.search(queries[left], width)
-            full = sims.min(1) >= bound
+            own = np.where((ids >= 0) & (tally.v_rids[np.maximum(ids, 0)] != tally.q_rids[left][:, None]), sims, -np.inf)
+            best[left] = own.max(1)
+            full = (sims.min(1) >= bound) & (width < n)
             i, j = np.nonzero((sims >= bound) & ~full[:, None])
             found_q.append(left[i])
             found_v.append(ids[i, j])
-            left, width = left[full], 2 * width
-        q, v = np.concatenate(found_q), np.concatenate(found_v)
-        if truth:
-            got = truth & set(zip(q.tolist(), v.tolist(), strict=True)) if len(q) else set()
-            if len(got) < recall * len(truth) and beam < len(g.vecs) // 4:
-                beam *= 2
-                continue
-        return q, v
+            left = left[full]
+            if width >= 4 * beam and len(left):
+                break
+            width *= 2
+        i, j = np.concatenate(found_q), np.concatenate(found_v)
+        i, j = (x[tally.real(i, j)] for x in (i, j))
+        beamed = np.setdiff1d(asked, left)
+        close = beamed[best[beamed] >= threshold - 0.05]
+        sample = close[np.argsort(tally.q_rids[close].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")[:audit]]
+        got, true = np.bincount(i, minlength=len(queries)), np.zeros(len(queries), np.int64)
+        rows = max(1, (1 << 22) // n)
+        for at in range(0, len(sample), rows):
+            own = sample[at : at + rows]
+            a, b = np.nonzero(queries[own] @ g.vecs.T >= bound)
+            true[own] = np.bincount(a[tally.real(own[a], b)], minlength=len(own))
+        sample = sample[true[sample] > 0]
+        reached = float((got[sample] / true[sample]).mean()) if len(sample) else 1.0
+        if reached >= recall or beam >= n:
+            tally.add(i, j)
+            crowded_links(g, queries, left, threshold, tally)
+            return reached, len(sample)
+        beam *= 2
 
 
 def span(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,107 +328,106 @@ def span(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # ---- the job -------------------------------------------------------------------------------------
 
 
-def unit(vectors: np.ndarray) -> np.ndarray:
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors in double precision, by a power of two each (which changes no digit), so that no square overflows or vanishes."""
     v = vectors.astype(np.float64)
-    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True))[1])
 
 
-def pack(rows: DataFrame, shards: int, slots: int) -> DataFrame:
-    """Valid vectors as packed rows, one per batch, length and shard. slot spreads the queries over tasks."""
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Scaled vectors at length one, in single precision."""
+    return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+
+
+def distinct_vectors(rows: DataFrame) -> DataFrame:
+    """rid (the smallest of its rows), times and embedding of every distinct vector that can link."""
+    plain = "embedding is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x <> 0)"
+    return rows.where(plain).groupBy("embedding").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("times"))
+
+
+GRAPHS = "shard int, dim int, rows long, path string"
+
+
+def build_graphs(vectors: DataFrame, shards: int, m: int, beam: int, folder: str) -> DataFrame:
+    """A graph for each shard and length of the vectors, as a file each: row ids, multiplicities, vectors, and links by layer."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rids = batch.column(0).to_numpy()
-            lists = batch.column(1)
-            flat = lists.flatten()
-            start = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
-            values = flat.to_numpy(zero_copy_only=False).astype(np.float32) if flat.null_count == 0 else np.array([np.nan if x is None else x for x in flat.to_pylist()], np.float32)
-            dims = np.diff(start).astype(np.int64)
-            shard = (rids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % shards
-            out = []
-            for d in np.unique(dims[dims > 0]).tolist():
-                own = np.flatnonzero(dims == d)
-                v = values[start[own][:, None] + np.arange(d)]
-                with np.errstate(over="ignore"):
-                    norm = np.linalg.norm(v.astype(np.float64), axis=1)
-                own, v = own[(norm > 0) & np.isfinite(norm)], v[(norm > 0) & np.isfinite(norm)]
-                for s in np.unique(shard[own]).tolist():
-                    some = shard[own] == s
-                    out.append((s, d, int(rids[own[some][0]] % slots), rids[own[some]].astype("<i8").tobytes(), v[some].astype("<f4").tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [*[pa.int32()] * 3, *[pa.binary()] * 2], strict=True)], names=["shard", "dim", "slot", "rids", "vectors"])
-
-    return rows.select("rid", "embedding").mapInArrow(run, PACKED)
-
-
-def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Row ids and vectors of packed rows, in the order of the row ids."""
-    dim = table["dim"][0].as_py()
-    rids = np.concatenate([np.frombuffer(x.as_buffer(), "<i8") for x in table["rids"]])
-    vecs = np.concatenate([np.frombuffer(x.as_buffer(), "<f4").reshape(-1, dim) for x in table["vectors"]])
-    order = np.argsort(rids, kind="stable")
-    return rids[order], vecs[order]
-
-
-GRAPH = "shard int, dim int, rids binary, vectors binary, sizes array<int>, links binary"
-
-
-def build_graphs(packed: DataFrame, m: int, beam: int) -> DataFrame:
     def make(table: pa.Table) -> pa.Table:
-        rids, vecs = unpack(table)
+        shard, dim = table["shard"][0].as_py(), table["dim"][0].as_py()
+        rids, times = (table[c].to_numpy() for c in ("rid", "times"))
+        vecs = table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        order = np.argsort(rids, kind="stable")
+        rids, times, vecs = rids[order], times[order], vecs[order]
         coin = ((rids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95) >> np.uint64(11)).astype(np.float64) / 2.0**53
         levels = np.floor(-np.log(np.maximum(coin, 1e-300)) / math.log(m)).astype(np.int64)
-        g, order = Graph.build(unit(vecs), levels, m, beam)
-        shape = [x for layer in g.links for x in layer.shape]
-        cols = [[table["shard"][0].as_py()], [table["dim"][0].as_py()], [rids[order].astype("<i8").tobytes()], [vecs[order].astype("<f4").tobytes()], [shape], [b"".join(x.astype("<i4").tobytes() for x in g.links)]]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.binary()], strict=True)], names=[x.split()[0] for x in GRAPH.split(", ")])
+        g, order = Graph.build(unit(scaled(vecs)), levels, m, beam)
+        held = io.BytesIO()
+        np.savez(held, rids=rids[order], times=times[order], vecs=vecs[order], **{f"links{i}": x.astype(np.int32) for i, x in enumerate(g.links)})
+        path = f"{folder}/{shard}-{dim}-{uuid.uuid4().hex}.npz"  # a task that is run again writes a file of its own
+        with shared_file(path, "w") as f:
+            f.write(held.getbuffer())
+        return pa.table({"shard": pa.array([shard], pa.int32()), "dim": pa.array([dim], pa.int32()), "rows": pa.array([len(rids)], pa.int64()), "path": [path]})
 
-    return packed.groupBy("shard", "dim").applyInArrow(make, GRAPH)
+    keyed = vectors.select("rid", "times", "embedding", F.size("embedding").alias("dim"), F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int").alias("shard"))
+    return keyed.groupBy("shard", "dim").applyInArrow(make, GRAPHS)
 
 
-def opened(row: dict) -> tuple[np.ndarray, np.ndarray, Graph]:
-    rids, vecs = np.frombuffer(row["rids"], "<i8"), np.frombuffer(row["vectors"], "<f4").reshape(-1, row["dim"])
-    links, at = [], 0
-    for n, k in zip(row["sizes"][::2], row["sizes"][1::2], strict=True):
-        links.append(np.frombuffer(row["links"], "<i4", n * k, at).reshape(n, k).astype(np.int64))
-        at += 4 * n * k
-    return rids, vecs, Graph(unit(vecs), links)
+def opened(path: str, queries: slice | None = None) -> tuple:
+    """Row ids, multiplicities, vectors and graph of a file; only the first and third, of a slice of rows, for queries."""
+    with shared_file(path, "r") as f, np.load(f) as z:
+        if queries is not None:
+            return z["rids"][queries], z["vecs"][queries]
+        vecs = scaled(z["vecs"])
+        links = [z[f"links{i}"].astype(np.int64) for i in range(len(z.files) - 3)]
+        return z["rids"], z["times"], vecs, Graph(unit(vecs), links)
 
 
-def near_vectors(embeddings: DataFrame, threshold: float = 0.9, shard_rows: int = 500_000, min_shards: int = 4, m: int = 12, beam: int = 32, recall: float = 0.999, audit: int = 512) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row of embeddings."""
-    rows = cut(embeddings.select(F.monotonically_increasing_id().alias("rid"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")))
-    n = rows.count()
+FOUND = "kind int, a long, b long"
+
+
+def linked(vectors: DataFrame, n: int, threshold: float, shard_rows: int, slot_rows: int, min_shards: int, m: int, beam: int, recall: float, audit: int) -> DataFrame:
+    """Rows (kind, a, b): 0, a query and its number of links with a shard; 1, the ends of a forest's link; 2, audited queries of a task and their recall in millionths."""
+    spark = vectors.sparkSession
     shards = max(min_shards, -(-n // shard_rows))
-    slots = max(4, -(-n // 50_000))
-    packed = cut(pack(rows, shards, slots))
-    graphs = cut(build_graphs(packed, m, beam + beam // 2))
-    asks = packed.withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    given = graphs.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-
-    def ask(graph: pa.Table, queries: pa.Table) -> pa.Table:
-        empty = pa.table({"kind": pa.array([], pa.int32()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        if not graph.num_rows or not queries.num_rows:
-            return empty
-        own, own_vecs, g = opened(graph.to_pylist()[0])
-        rids, vecs = unpack(queries)
-        sample = np.argsort(rids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")[:audit]
-        q, v = shard_links(g, unit(vecs), threshold, beam, np.sort(sample), recall)
-        x, y = vecs[q].astype(np.float64), own_vecs[v].astype(np.float64)
-        cosine = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
-        real = (cosine >= threshold) & (rids[q] != own[v])
-        a, b = rids[q[real]], own[v[real]]
-        some, counts = np.unique(a, return_counts=True)
-        ends = span(a, b)
-        kind = np.repeat(np.array([0, 1], np.int32), [len(some), len(ends[0])])
-        return pa.table({"kind": kind, "a": np.concatenate([some, ends[0]]), "b": np.concatenate([counts, ends[1]])})
-
-    found = given.groupBy("shard", "dim", "slot").cogroup(asks.withColumn("shard", F.col("asked")).drop("asked").groupBy("shard", "dim", "slot")).applyInArrow(ask, "kind int, a long, b long")
-    found = cut(found)
-    counts = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("n_links"))
+    graphs = cut(build_graphs(vectors, shards, m, beam + beam // 2, shared_folder(spark, "graphs")))
+    slots = F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(slot_rows).cast("long"))).alias("at")
+    asks = graphs.select("dim", F.col("path").alias("queries"), slots)
+    tasks = graphs.select("dim", "path").join(asks, "dim")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, other, at in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                v_rids, times, vecs, g = opened(path)
+                q_rids, q = opened(other, slice(at, at + slot_rows))
+                q = scaled(q)
+                tally = Tally(q_rids, q, v_rids, vecs, times, threshold)
+                reached, audited = shard_links(g, unit(q), threshold, beam, audit, recall, tally)
+                some, ends = np.flatnonzero(tally.counts), tally.forest()
+                kind = np.repeat(np.array([0, 1, 2], np.int32), [len(some), len(ends[0]), 1])
+                a, b = [q_rids[some], ends[0], [audited]], [tally.counts[some], ends[1], [round(reached * 1e6)]]
+                yield pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(np.concatenate(x).astype(np.int64)) for x in (a, b))], names=["kind", "a", "b"])
+
+    count = tasks.count()
+    return cut(tasks.select("path", "queries", "at").repartition(max(1, min(count, 100_000)), "path", "queries", "at").mapInArrow(run, FOUND))
+
+
+def near_vectors(
+    embeddings: DataFrame, threshold: float = 0.9, shard_rows: int = 500_000, slot_rows: int = 50_000, min_shards: int = 4,
+    m: int = 12, beam: int = 32, recall: float = 0.999, audit: int = 512, report: dict | None = None,
+) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every row of embeddings. report, if given, gets the audited queries and their mean recall."""
+    kind = "array<double>" if dict(embeddings.dtypes)["embedding"] == "array<double>" else "array<float>"
+    rows = cut(embeddings.select(F.monotonically_increasing_id().alias("rid"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding")))
+    vectors = cut(distinct_vectors(rows))
+    found = linked(vectors, vectors.count(), threshold, shard_rows, slot_rows, min_shards, m, beam, recall, audit)
+    if report is not None:
+        audited, reached = found.where("kind = 2").agg(F.sum("a"), F.sum(F.col("a") * F.col("b")) / F.greatest(F.sum("a"), F.lit(1)) / 1e6).first()
+        report.update(audited=audited or 0, recall=reached)
+    counts = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("linked"))
     roots = components(found.where("kind = 1"), "a", "b")
-    named = rows.select("rid", "vec_id").join(counts, F.col("rid") == F.col("a"), "left").drop("a").join(roots, F.col("rid") == F.col("node"), "left").drop("node")
+    reps = vectors.select("rid", "times", "embedding").join(counts, F.col("rid") == F.col("a"), "left").drop("a").join(roots, F.col("rid") == F.col("node"), "left")
+    reps = reps.select("embedding", F.coalesce("root", "rid").alias("root"), (F.coalesce("linked", F.lit(0)) + F.col("times") - 1).alias("n_links"))
+    named = cut(rows.join(reps, "embedding", "left").select("rid", "vec_id", "root", F.coalesce("n_links", F.lit(0)).alias("n_links")))
     least = named.where("root is not null").groupBy("root").agg(F.min("vec_id").alias("least"))
-    out = named.join(least, "root", "left")
-    component = F.when(F.col("root").isNull(), F.col("vec_id")).otherwise(F.col("least"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
+    alone = named.where("root is null").select("vec_id", "n_links", F.col("vec_id").alias("component_id"))
+    out = spread_join(named.where("root is not null"), least, "root", "rid").select("vec_id", "n_links", F.col("least").alias("component_id")).union(alone)
+    return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(False)))

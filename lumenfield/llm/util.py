@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_file(path: str, mode: str):
+    """A file of the shared folder, opened by path in a task ("r" or "w"), on any file system that pyarrow knows."""
+    fs, name = pa.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+    return fs.open_input_file(name) if mode == "r" else fs.open_output_stream(name)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder, made from the driver; a folder for files that tasks write by path."""
+    path = re.sub("^file:/+", "file:///", f"{scratch(spark)}/{name}-{uuid.uuid4().hex}")
+    fs, inside = pa.fs.FileSystem.from_uri(path)
+    fs.create_dir(inside)
+    return path
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -126,6 +126,29 @@ def test_vectors_equal_brute_force(spark, sf_dir):
     assert hnsw.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_in_double_precision(spark):
+    """A cosine of exactly the threshold links, one a hair below doesn't; very large and small components; null ids."""
+    rows = [(1, [1.0, 0.0]), (2, [0.5, 0.0]), (3, [0.6, 0.8]), (4, [0.6 - 1e-9, 0.8]), (5, [3e200, 4e200]), (6, [6e-200, 8e-200]), (None, [3.0, 4.0]), (None, [0.0, -1.0])]
+    got = {str(r.vec_id) + str(r.component_id): r.n_links for r in hnsw.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), threshold=0.6).collect()}
+    # 1, 2 link with each other, 3, 5, 6 and the first null one; 3 to 6 and the null one with one another
+    assert got == {"11": 5, "21": 5, "31": 6, "41": 4, "51": 6, "61": 6, "None1": 6, "NoneNone": 0}
+
+
+def test_a_crowded_cluster(spark):
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=48)
+    v = np.concatenate([centre + rng.normal(scale=0.33, size=(1500, 48)), rng.normal(size=(1500, 48))]).astype(np.float32)
+    v[2000:2600] = v[2000 + np.arange(600) % 300] + rng.normal(scale=0.1, size=(600, 48))
+    v[10:20] = v[10]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    truth, report = (u @ u.T >= 0.9).sum(1) - 1, {}
+    got = {r.vec_id: r.n_links for r in hnsw.near_vectors(df, min_shards=2, slot_rows=400, beam=8, report=report).collect()}
+    n = np.array([got[i] for i in range(len(v))])
+    assert (n <= truth).all() and n[:1500].sum() >= 0.99 * truth[:1500].sum() and n[1500:].sum() >= 0.99 * truth[1500:].sum() > 100
+    assert report["audited"] > 100 and report["recall"] >= 0.999
+
+
 def test_graph_search_recall(spark):
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(400, 24))
@@ -241,8 +264,8 @@ def test_joined_rows_grow_in_proportion(spark):
     for n in (1000, 4000):
         lines = [("the same first third of these lines " + "".join(rng.choice("abcdefghijklmnop") for _ in range(72)),) for _ in range(n)]
         df = numbered(spark.createDataFrame(lines, "line string"))
-        a = df.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("line").alias("text"), F.lit(0).cast("long").alias("base"))
-        b = a.toDF("b", "sb", "text", "base").withColumn("less", F.lit(None).cast("int"))
+        a = df.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("line").alias("text"), "n", F.lit(0).cast("long").alias("base"))
+        b = a.toDF("b", "sb", "text", "n", "base").withColumn("less", F.lit(None).cast("int"))
         hot = line_dedup.indexed(a, 2).groupBy("key").count().where("count > 256")
         finer = [line_dedup.indexed(a, 2, True).join(hot, "key", "left_semi"), line_dedup.probing(b, 2, True).join(hot, "key", "left_semi")]
         finer = [f.withColumnRenamed("key", "base") for f in finer]

@@ -17,6 +17,8 @@ empty result; if no source has a word, all targets are zero.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +26,10 @@ from .util import WORD, cut
 
 #: The weights of the contract.
 WEIGHTS = (5, 2, 1)
-#: Hash ranges inside a source; ranges of finish time per unit.
+#: Hash ranges inside a source, at least; ranges of finish time per unit, and into which the range with the edge is cut again.
 RANGES, SLICES = 4096, 4096
+#: So many rows are sorted by one task at most, where finish times tell them apart.
+SORTED = 1_000_000
 
 
 def text_size(text: Column) -> Column:
@@ -64,7 +68,8 @@ def mixed(docs: DataFrame, max_repeats: int = 3, seed: int = 1) -> DataFrame:
     sources = with_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), max_repeats)
     named = sources.select(F.col("source").alias("name"), "no", "source_size", "target")
     queued = rows.join(named, F.col("source").eqNullSafe(F.col("name"))).drop("source", "name")
-    queued = queued.withColumn("range", F.conv(F.substring("key", 1, 3), 16, 10).cast("int") % RANGES)
+    digits = 3 + max(0, math.ceil(math.log(max(1, rows.count()) / (RANGES * SORTED), 16)))
+    queued = queued.withColumn("range", F.conv(F.substring("key", 1, digits), 16, 10).cast("long"))
 
     sums = queued.groupBy("no", "range").agg(F.sum("size").alias("words"))
     before = sums.select("no", "range", (F.sum("words").over(Window.partitionBy("no").orderBy("range")) - F.col("words")).alias("before"))
@@ -83,8 +88,21 @@ def mixed(docs: DataFrame, max_repeats: int = 3, seed: int = 1) -> DataFrame:
     last = None
     if edge is not None:
         order = F.struct("finish", "no", "key", "size", "round")
-        inside = turns.where(F.col("slice") == edge.slice).withColumn("upto", F.lit(edge.before) + F.sum("size").over(Window.orderBy("finish", "no", "key", "size", "round")))
-        last = inside.where(F.col("upto") <= budget).agg(F.max(order)).first()[0]
+        rest, before = turns.where(F.col("slice") == edge.slice), edge.before
+        low, wide = edge.slice / SLICES, 1 / SLICES
+        while rest.count() > SORTED and wide > 1e-13:
+            # cut the range with the edge again, until one task can sort it; what finishes earlier goes before it
+            wide /= SLICES
+            finer = rest.withColumn("part", F.floor((F.col("finish") - F.lit(low)) / F.lit(wide)))
+            parts = finer.groupBy("part").agg(F.sum("size").alias("words"))
+            parts = parts.select("part", "words", (F.lit(before) + F.sum("words").over(Window.orderBy("part"))).alias("upto"))
+            at = parts.where(F.col("upto") > budget).agg(F.min_by(F.struct("part", (F.col("upto") - F.col("words")).alias("before")), "part")).first()[0]
+            earlier = finer.where(F.col("part") < at.part).agg(F.max(order)).first()[0]
+            last = earlier if earlier is not None else last
+            rest, before, low = finer.where(F.col("part") == at.part).drop("part"), at.before, low + at.part * wide
+        inside = rest.withColumn("upto", F.lit(before) + F.sum("size").over(Window.orderBy("finish", "no", "key", "size", "round")))
+        reached = inside.where(F.col("upto") <= budget).agg(F.max(order)).first()[0]
+        last = reached if reached is not None else last
 
     def taken(e: int) -> Column:
         at = finish(F.lit(e))

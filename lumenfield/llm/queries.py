@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from . import cotrain, hnsw, host_rules, line_dedup, merge_dropout, mixing, ngram_lm, pii, simhash, token_counts
 from .util import table
 
-#: Folder with the public tokenizers' vocabulary files.
+#: Folder with the public tokenizers' vocabulary files, where the session doesn't set spark.lumenfield.tokenizers.
 TOKENIZERS = "/opt/tokenizers"
 
 
+def vocabulary(spark: SparkSession, name: str) -> str:
+    """The path of a vocabulary file."""
+    return f"{spark.conf.get('spark.lumenfield.tokenizers', TOKENIZERS)}/{name}"
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
@@ -42,7 +47,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge_dropout.encode_digest(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", rate=0.1, seed=1)
+    return merge_dropout.encode_digest(table(spark, sf_dir, "documents"), vocabulary(spark, "piece_bpe_32k.model"), rate=0.1, seed=1)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +55,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary(spark, "byte_bpe_50k.tiktoken"))
 
 
 def queries() -> dict:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import components, cut
+from .util import components, cut, spread_join
 
 BITS = np.array([[v >> b & 1 for b in range(8)] for v in range(256)], np.int64)
 
@@ -123,9 +123,16 @@ def group_links(distance: int):
 def near_links(fps: DataFrame, distance: int = 4, blocks: int = 6, max_group: int = 8192) -> DataFrame:
     """Links (a, b) that connect exactly the fingerprints (column fp, distinct) within distance of each other."""
     keyed = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks(distance, blocks)))).alias("choice", "bits"))
-    shared = keyed.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = cut(keyed.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    # a block with a ten-thousandth of all rows or more is one of 10,000 a choice at most: these are sent to
+    # the rows, which are dealt into chunks where they stand; no other block brings a join much into one task
+    rows, crowd = shared.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    most = max(max_group, rows // 10_000)
+    joined = keyed.join(shared.where(F.col("n") <= most), ["choice", "bits"])
+    if crowd > most:
+        joined = joined.unionByName(keyed.join(F.broadcast(shared.where(F.col("n") > most)), ["choice", "bits"]))
     chunks = F.ceil(F.col("n") / max_group).cast("int")
-    dealt = keyed.join(shared, ["choice", "bits"]).withColumn("own", F.pmod(F.xxhash64("fp"), chunks).cast("int"))
+    dealt = joined.withColumn("own", F.pmod(F.xxhash64("fp"), chunks).cast("int"))
     dealt = dealt.select("choice", "bits", "fp", "own", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
     dealt = dealt.select("choice", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
     dealt = dealt.repartition("choice", "bits", "i", "j").sortWithinPartitions("choice", "bits", "i", "j")
@@ -139,7 +146,7 @@ def simhash_groups(docs: DataFrame, width: int = 4, distance: int = 4, blocks: i
     roots = components(near_links(reps.select("fp"), distance, blocks), "a", "b")
     named = reps.join(roots, reps.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return rows.join(named.join(least, "root").select("fp", "root", "component_id"), "fp")
+    return rows.join(spread_join(named, least, "root", "fp").select("fp", "root", "component_id"), "fp")
 
 
 def simhash_dedup(docs: DataFrame, width: int = 5, distance: int = 4, blocks: int = 6) -> DataFrame:

@@ -1,32 +1,38 @@
 """Token counts by separator scan.
 
 Flat token files are streams of fixed-width identifiers in which an end-of-document identifier
-follows each document; there is no index. The stream comes as blocks cut at fixed lengths, wherever
-documents end. Each block is searched on its own with one vectorised comparison, and a prefix scan
-over the blocks' summaries carries the open document across block boundaries.
+follows each document; there is no index. Files are read as byte ranges cut at fixed lengths,
+wherever documents end, each by the task that scans it, so a file of any length is spread over
+tasks. A range is searched with one vectorised comparison a block, and a prefix scan over the
+blocks' summaries carries the open document across block boundaries.
+
+Documents are written to flat files in the shared folder, a file a partition; a task that is run
+again writes a file of its own, and only files of tasks that ended are read. Files are opened by
+path, on any file system that pyarrow knows.
 
 Empty documents count zero tokens. Tokens after a file's last separator are an open document and
-make no row. Null texts count as empty. An empty table or file gives no rows.
+make no row. Null texts count as empty. An empty table or file gives no rows. A trailing byte that
+isn't a whole identifier is no token.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .util import cut
+from .util import cut, shared_file, shared_folder
 
 DTYPE, EOD = "<u2", 50256
-STREAM = "kind string, file long, block long, data binary"
-SCAN = "file long, block long, n_tokens long, n_docs long, head long, tail long, inner_lengths array<int>"
+FILES = "path string, bytes long, first long, ids binary"
+SCAN = "file string, block long, n_tokens long, n_docs long, head long, tail long, inner_lengths array<int>"
 
 
 @lru_cache(2)
@@ -40,68 +46,72 @@ def encoder(path: str):
     return tiktoken.Encoding("flat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def write_stream(docs: DataFrame, vocabulary: str, block_tokens: int, per_write: int = 64) -> DataFrame:
-    """Encode docs into flat streams, one per partition, cut into blocks of block_tokens identifiers.
+def write_files(docs: DataFrame, vocabulary: str, folder: str, ids_a_row: int = 100_000) -> DataFrame:
+    """Encode docs into flat files under folder, one a partition.
 
-    Rows of kind "tokens" hold the blocks; rows of kind "ids" hold the documents' ids in stream
-    order, so that a count can be traced to its document. Memory: one block and one text.
+    Rows (path, bytes, first, ids): the first row of a file has its length; ids are the ids of its
+    documents from number `first` on, packed, so that a count can be traced to its document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
-        file, block, first, held, size, out = TaskContext.get().partitionId(), 0, 0, [], 0, []
-        schema = pa.schema([("kind", pa.string()), ("file", pa.int64()), ("block", pa.int64()), ("data", pa.binary())])
-        rows = lambda got: pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in got], schema=schema)
-        for batch in batches:
-            ids = np.array([-1 if i is None else i for i in batch.column(0).to_pylist()], "<i8")
-            valid = np.array(batch.column(0).is_valid(), np.uint8)
-            out.append(("ids", file, first, ids.tobytes() + valid.tobytes()))
-            first += len(ids)
-            for text in batch.column(1):
-                held.append(np.array([*enc.encode_ordinary(text.as_py() or ""), EOD], DTYPE))
-                size += len(held[-1])
-                if size >= block_tokens:
-                    flat = np.concatenate(held)
-                    for at in range(0, size - block_tokens + 1, block_tokens):
-                        out.append(("tokens", file, block, flat[at : at + block_tokens].tobytes()))
-                        block += 1
-                    held = [flat[size - size % block_tokens :]]
-                    size %= block_tokens
-                    if len(out) >= per_write:
-                        yield rows(out)
-                        out = []
-        if size:
-            out.append(("tokens", file, block, np.concatenate(held).tobytes()))
-        if out:
-            yield rows(out)
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, STREAM)
-
-
-def read_blocks(spark: SparkSession, path: str, block_bytes: int = 1 << 16) -> DataFrame:
-    """Flat files under path as (file, block, data): file is the path, blocks are block_bytes long."""
-    raw = spark.read.format("binaryFile").load(path).where("length > 0")
-    starts = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(block_bytes).cast("long"))
-    cut_at = raw.select(F.col("path").alias("file"), "content", F.posexplode(starts).alias("block", "at"))
-    return cut_at.select("file", F.col("block").cast("long").alias("block"), F.substring("content", F.col("at").cast("int") + 1, F.lit(block_bytes)).alias("data"))
-
-
-def scan_blocks(blocks: DataFrame, eod: int = EOD, dtype: str = DTYPE) -> DataFrame:
-    """Search each block for eod: its tokens, documents ended, tokens before the first and after the last end, and the lengths between."""
+        enc, path, size, ids, valid = encoder(vocabulary), f"{folder}/{uuid.uuid4().hex}.bin", 0, [], []
+        with shared_file(path, "w") as f:
+            for batch in batches:
+                ids.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
+                valid.append(np.array(batch.column(0).is_valid(), np.uint8))
+                for text in batch.column(1):
+                    data = np.array([*enc.encode_ordinary(text.as_py() or ""), EOD], DTYPE).tobytes()
+                    f.write(data)
+                    size += len(data)
+        if ids:
+            ids, valid = np.concatenate(ids), np.concatenate(valid)
+            at = range(0, len(ids), ids_a_row)
+            packed = [ids[i : i + ids_a_row].tobytes() + valid[i : i + ids_a_row].tobytes() for i in at]
+            yield pa.RecordBatch.from_arrays([pa.array([path] * len(at)), pa.array([0 if i else size for i in at], pa.int64()), pa.array(at, pa.int64()), pa.array(packed, pa.binary())], names=["path", "bytes", "first", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, FILES)
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes) of the flat files in a folder; only names and lengths are read."""
+    from pyspark.sql import types as T
+
+    given = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType())])
+    return spark.read.format("binaryFile").schema(T.StructType([*given.fields, T.StructField("content", T.BinaryType())])).load(path).select("path", F.col("length").alias("bytes"))
+
+
+def scan_files(files: DataFrame, block_tokens: int = 1 << 13, range_blocks: int = 1 << 12, eod: int = EOD, dtype: str = DTYPE) -> DataFrame:
+    """Search files (path, bytes) for eod, by ranges of range_blocks blocks: each block's tokens, documents ended, tokens before the first and after the last end, and the lengths between."""
+    step = block_tokens * np.dtype(dtype).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for data in batch.column(2):
-                ids = np.frombuffer(data.as_buffer(), dtype)
-                ends = np.flatnonzero(ids == eod)
-                some = len(ends) > 0
-                rows.append((len(ids), len(ends), int(ends[0]) if some else len(ids), len(ids) - 1 - int(ends[-1]) if some else len(ids), (np.diff(ends) - 1).tolist()))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.list_(pa.int32()))], names=["file", "block", "n_tokens", "n_docs", "head", "tail", "inner_lengths"])
+            for path, size, first in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                with shared_file(path, "r") as f:
+                    rows = []
+                    for block in range(first, min(first + range_blocks, -(-size // step))):
+                        data = f.read_at(min(step, size - block * step), block * step)
+                        rows.append((path, block, *scan(np.frombuffer(data, dtype, len(data) // np.dtype(dtype).itemsize), eod)))
+                        if len(rows) == 64:
+                            yield scanned(rows)
+                            rows = []
+                    if rows:
+                        yield scanned(rows)
+
+    ranges = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("bytes") - 1) / step), F.lit(range_blocks).cast("long")))
+    given = files.where("bytes > 0").select("path", "bytes", ranges.alias("block"))
+    return given.repartition("path", "block").mapInArrow(run, SCAN)
+
+
+def scan(ids: np.ndarray, eod: int) -> tuple[int, int, int, int, list[int]]:
+    ends = np.flatnonzero(ids == eod)
+    some = len(ends) > 0
+    return len(ids), len(ends), int(ends[0]) if some else len(ids), len(ids) - 1 - int(ends[-1]) if some else len(ids), (np.diff(ends) - 1).tolist()
+
 
-    kind = dict(blocks.dtypes)["file"]
-    return blocks.select("file", "block", "data").mapInArrow(run, SCAN.replace("file long", f"file {kind}"))
+def scanned(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(cols[0]), *(pa.array(c, pa.int64()) for c in cols[1:6]), pa.array(cols[6], pa.list_(pa.int32()))], names=["file", "block", "n_tokens", "n_docs", "head", "tail", "inner_lengths"])
 
 
 def stitch(scanned: DataFrame, run: int = 4096) -> DataFrame:
@@ -127,21 +137,21 @@ def stitch(scanned: DataFrame, run: int = 4096) -> DataFrame:
     return j.select("file", (F.col("d") + F.col("i")).alias("ordinal"), "n_tokens")
 
 
-def stream_ids(stream: DataFrame) -> DataFrame:
-    """(file, ordinal, doc_id) from the rows of kind "ids"."""
+def file_ids(written: DataFrame) -> DataFrame:
+    """(file, ordinal, doc_id) of the written documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, first, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 n = len(data) // 9
                 ids, valid = np.frombuffer(data, "<i8", n), np.frombuffer(data, np.uint8, offset=8 * n).astype(bool)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, file)), pa.array(np.arange(first, first + n)), pa.array(ids, mask=~valid)], names=["file", "ordinal", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array([file] * n), pa.array(np.arange(first, first + n)), pa.array(ids, mask=~valid)], names=["file", "ordinal", "doc_id"])
 
-    return stream.where("kind = 'ids'").select("file", "block", "data").mapInArrow(run, "file long, ordinal long, doc_id long")
+    return written.select("path", "first", "ids").mapInArrow(run, "file string, ordinal long, doc_id long")
 
 
 def token_counts(docs: DataFrame, vocabulary: str, block_tokens: int = 1 << 13) -> DataFrame:
-    """doc_id and n_tokens of every row of docs, counted in the flat stream that docs are written to."""
-    stream = cut(write_stream(docs, vocabulary, block_tokens))
-    counts = stitch(scan_blocks(stream.where("kind = 'tokens'")))
-    return stream_ids(stream).join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    """doc_id and n_tokens of every row of docs, counted in the flat files that docs are written to."""
+    written = cut(write_files(docs, vocabulary, shared_folder(docs.sparkSession, "tokens")))
+    counts = stitch(scan_files(written.select("path", "bytes"), block_tokens))
+    return file_ids(written).join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")

@@ -27,6 +27,13 @@ def test_flat_files_and_runs_of_blocks(spark, tmp_path):
         np.append(flat, [5, 6]).astype("<u2").tofile(tmp_path / f"{f}.bin")
         want += [(i, int(n)) for i, n in enumerate(lengths)]
     (tmp_path / "empty.bin").touch()
-    blocks = tc.read_blocks(spark, str(tmp_path), block_bytes=64)
-    got = tc.stitch(tc.scan_blocks(blocks), run=4).collect()
-    assert sorted((r.ordinal, r.n_tokens) for r in got) == sorted(want)
+    for block, ranges in ((32, 4), (32, 10**6), (1 << 13, 1)):
+        got = tc.stitch(tc.scan_files(tc.list_files(spark, str(tmp_path)), block, ranges), run=4).collect()
+        assert sorted((r.ordinal, r.n_tokens) for r in got) == sorted(want)
+
+
+def test_a_very_long_text_and_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "word " * 200_000), (2, "a b"), (2, "a b"), (2, "a b c")], "doc_id long, text string")
+    got = sorted(map(tuple, tc.token_counts(df, VOCABULARY, 1000).collect()))
+    enc = tc.encoder(VOCABULARY)
+    assert got == sorted((r.doc_id, len(enc.encode_ordinary(r.text))) for r in df.collect())

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import running
+
 #: Budgets of the tile cache of one source.
 BYTES, TILES = 128 * 1024 * 1024, 512
 
@@ -26,9 +28,8 @@ def last_touched(touches: DataFrame) -> DataFrame:
 
 def kept(entries: DataFrame, bytes_: int = BYTES, tiles: int = TILES) -> DataFrame:
     """Least-recently-used eviction: of each source the most recent entries that meet both budgets together."""
-    recent = Window.partitionBy("source_id").orderBy(F.desc("seq"))
-    upto = F.sum("bytes").over(recent.rowsBetween(Window.unboundedPreceding, 0))
-    return entries.withColumn("__upto", upto).withColumn("__row", F.row_number().over(recent)).where((F.col("__upto") <= bytes_) & (F.col("__row") <= tiles)).drop("__upto", "__row")
+    r = running(entries.withColumn("__late", -F.col("seq")), "source_id", "__late", sums={"__upto": F.col("bytes"), "__row": F.lit(1)})
+    return r.where((F.col("__upto") <= bytes_) & (F.col("__row") <= tiles)).drop("__upto", "__row", "__late")
 
 
 def stats_plan(bands: DataFrame, cached: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,26 +35,36 @@ class Cube:
     """A cube's header and its relations.
 
     pixels has rows (x, y, band, value). wide, if there is one, has (x, y, spectrum) and answers
-    per-pixel questions without a shuffle, as a file stored by pixel does.
+    per-pixel questions without a shuffle, as a file stored by pixel does. A cube in files has the
+    data source's options, and each operation reads only its own bands and lines.
     """
 
     header: Header
     pixels: DataFrame
     wide: DataFrame | None = None
     stored: dict[int, tuple[float, float] | None] = field(default_factory=dict)
+    options: dict[str, str] | None = None
 
     @classmethod
     def load(cls, spark: SparkSession, header: str, data: str, **options: str) -> Cube:
         from ..sources.envi import CubeDataSource
         from ..sources.header import parse
-        from ..sources.ranges import HttpBytes, open_bytes
+        from ..sources.ranges import open_bytes
 
         spark.dataSource.register(CubeDataSource)
-        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-        head = open_bytes(header)
-        raw = head.read_all() if isinstance(head, HttpBytes) else head.read(0, head.size())
-        pixels = spark.read.format("cube").options(header=header, data=data, **options).load()
-        return cls(parse(raw.decode("utf-8", "replace")), pixels)
+        options = {"header": header, "data": data} | options
+        return cls(parse(open_bytes(header).read_all().decode("utf-8", "replace")), spark.read.format("cube").options(**options).load(), options=options)
+
+    def cells(self, bands: list[int] | None = None, y0: int = 0, y1: int | None = None) -> DataFrame:
+        """Pixels of some bands (all if None) and lines. From files, only those are read."""
+        y1 = self.header.lines if y1 is None else min(y1, self.header.lines)
+        if self.options is not None:
+            if y0 >= y1 or bands == []:
+                return self.pixels.where(F.lit(False))
+            own = self.options | {"y0": str(y0), "y1": str(y1)} | ({} if bands is None else {"bands": ",".join(map(str, sorted(set(bands))))})
+            return self.pixels.sparkSession.read.format("cube").options(**own).load()
+        p = self.pixels if bands is None else self.pixels.where(F.col("band").isin(sorted(set(bands))))
+        return p if (y0, y1) == (0, self.header.lines) else p.where((F.col("y") >= y0) & (F.col("y") < y1))
 
     @property
     def affine(self) -> Column:
@@ -70,7 +81,7 @@ class Cube:
         self.check(number)
         if self.wide is not None:
             return self.wide.select("x", "y", F.lit(number).alias("band"), F.element_at("spectrum", number).alias("value"))
-        return self.pixels.where(F.col("band") == number)
+        return self.cells([number])
 
     def check(self, *numbers: int) -> None:
         for n in numbers:
@@ -79,21 +90,23 @@ class Cube:
             if not 1 <= n <= self.header.bands:
                 raise IndexError(f"bands are between 1 and {self.header.bands}")
 
-    def channels(self, r: int, g: int, b: int) -> DataFrame:
+    def channels(self, r: int, g: int, b: int, y0: int = 0, y1: int | None = None) -> DataFrame:
         self.check(r, g, b)
         if self.wide is not None:
             return self.wide.select("x", "y", *(F.element_at("spectrum", n).alias(c) for c, n in (("r", r), ("g", g), ("b", b))))
-        return wide_of(self.pixels, [r, g, b])
+        return wide_of(self.cells([r, g, b], y0, y1), [r, g, b])
 
     def tile(self, number: int, tx: int, ty: int, size: int = tiles.TILE) -> DataFrame:
-        return window(self.band(number), tx, ty, size, self.header.samples, self.header.lines)
+        self.check(number)
+        own = self.band(number) if self.options is None else self.cells([number], max(0, ty * size), (ty + 1) * size)
+        return window(own, tx, ty, size, self.header.samples, self.header.lines)
 
     def spectrum(self, x: int, y: int) -> DataFrame:
         """(band, value) of a pixel, a row a band; an absent cell counts 0. A pixel outside is an error."""
         if not (0 <= x < self.header.samples and 0 <= y < self.header.lines):
             raise IndexError("the pixel is outside the cube")
         spark = self.pixels.sparkSession
-        own = self.pixels.where((F.col("x") == x) & (F.col("y") == y)).select("band", "value")
+        own = self.cells(None, y, y + 1).where(F.col("x") == x).select("band", "value")
         every = spark.range(1, self.header.bands + 1).select(F.col("id").cast("int").alias("band"))
         return every.join(own, "band", "left").select("band", F.coalesce("value", F.lit(0.0).cast("float")).alias("value"))
 
@@ -121,8 +134,13 @@ class Cube:
 
     def band_stats(self, bands: list[int] | None = None, count: int = 5, size: int = tiles.TILE) -> DataFrame:
         """Stretch limits of bands (all if None) from the fixed sample of tiles."""
-        p = self.pixels if bands is None else self.pixels.where(F.col("band").isin(sorted(set(bands))))
-        return stats.band_stats(p, tiles.sample_tiles(self.header.samples, self.header.lines, size, count), size)
+        sampled = tiles.sample_tiles(self.header.samples, self.header.lines, size, count)
+        if self.options is None:
+            return stats.band_stats(self.cells(bands), sampled, size)
+        # a scan a row of tiles reads the lines of its tiles and no others
+        rows = sorted({ty for _, ty in sampled})
+        scans = [stats.in_tiles(self.cells(bands, ty * size, (ty + 1) * size), [t for t in sampled if t[1] == ty], size) for ty in rows]
+        return stats.envelope(functools.reduce(DataFrame.unionByName, scans))
 
     def keep_stats(self, bands: list[int], **options) -> dict[int, tuple[float, float] | None]:
         """Limits of bands on the driver (two numbers a band), computing only those not kept yet."""
@@ -135,7 +153,7 @@ class Cube:
     def composite(self, r: int, g: int, b: int, tile: tuple[int, int] | None = None, size: int = tiles.TILE, count: int = 5) -> DataFrame:
         """Stretched (x, y, r, g, b, a), of a tile or of the whole cube; empty if a band has no limits."""
         kept = self.keep_stats([r, g, b], count=count, size=size)
-        wide = self.channels(r, g, b)
+        wide = self.channels(r, g, b) if tile is None else self.channels(r, g, b, max(0, tile[1] * size), (tile[1] + 1) * size)
         if tile is not None:
             wide = window(wide, *tile, size, self.header.samples, self.header.lines)
         if any(kept[n] is None for n in (r, g, b)):

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.stretch import is_finite, limits, percentile_rank
 from ..functions.tiles import tile_of
 
-BINS = 4096
+#: Accuracy of approximate quantiles (rank error: a share of 1 / ACCURACY), and by how much a bracket is wider.
+ACCURACY, SLACK = 10_000, 5e-4
 
 
 def in_tiles(pixels: DataFrame, tiles: list[tuple[int, int]], size: int) -> DataFrame:
-    """pixels of the given tiles (a handful), with tx and ty. The test on x and y reaches the scan."""
+    """pixels of the given tiles (a handful), with tx and ty."""
     tx, ty = tile_of(F.col("x"), F.col("y"), size)
     near = F.lit(False)
     for x, y in tiles:
@@ -30,7 +31,12 @@ def chunk_limits(pixels: DataFrame) -> DataFrame:
 
 def band_stats(pixels: DataFrame, tiles: list[tuple[int, int]], size: int) -> DataFrame:
     """(band, min, max): the envelope of the sampled tiles' limits; limits that aren't finite are passed over."""
-    chunks = chunk_limits(in_tiles(pixels, tiles, size)).where(is_finite(F.col("low")) & is_finite(F.col("high")))
+    return envelope(in_tiles(pixels, tiles, size))
+
+
+def envelope(pixels: DataFrame) -> DataFrame:
+    """(band, min, max) over the tiles of pixels with tx and ty."""
+    chunks = chunk_limits(pixels).where(is_finite(F.col("low")) & is_finite(F.col("high")))
     return chunks.groupBy("band").agg(F.min("low").alias("min"), F.max("high").alias("max"))
 
 
@@ -44,20 +50,23 @@ def pooled_stats(pixels: DataFrame) -> DataFrame:
 def nearest_rank(pixels: DataFrame, low: float = 2.0, high: float = 98.0) -> DataFrame:
     """(band, low, high): values at two nearest ranks of each band, without interpolation. NaN and null are left out.
 
-    A band's values are counted in equal bins first; only the bins that hold a rank are sorted, so
-    no task sorts a whole band.
+    Approximate quantiles a little below and above each rank bracket it, whatever the values'
+    distribution (SLACK is five times their rank error). One more pass counts the rows below each
+    bracket and the equal values inside, and only a bracket's distinct values are sorted.
     """
     v = pixels.where(F.col("value").isNotNull() & ~F.isnan("value")).select("band", F.col("value").cast("double").alias("value"))
-    ends = v.groupBy("band").agg(F.min("value").alias("least"), F.max("value").alias("most"), F.count(F.lit(1)).alias("n"))
+    shares = [min(1.0, max(0.0, p / 100 + s)) for p in (low, high) for s in (-SLACK, SLACK)]
+    ends = v.groupBy("band").agg(F.percentile_approx("value", shares, ACCURACY).alias("e"), F.count(F.lit(1)).alias("n"))
     ends = ends.withColumns({"lo": percentile_rank(F.col("n"), low, False), "hi": percentile_rank(F.col("n"), high, True)})
-    share = F.coalesce(F.try_divide(F.col("value") - F.col("least"), F.col("most") - F.col("least")), F.lit(0.0))
-    finite = F.when(F.isnan(share), 1.0).otherwise(share)
-    binned = v.join(ends, "band").withColumn("bin", F.least(F.floor(finite * BINS), F.lit(BINS - 1)).cast("int"))
-    counts = binned.groupBy("band", "bin").agg(F.count(F.lit(1)).alias("c"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
-    upto = F.sum("c").over(Window.partitionBy("band").orderBy("bin"))
-    counts = counts.select("band", "bin", (upto - F.col("c")).alias("before"), "c", "lo", "hi")
-    holds = lambda r: (F.col(r) >= F.col("before")) & (F.col(r) < F.col("before") + F.col("c"))
-    wanted = counts.where(holds("lo") | holds("hi")).select("band", "bin", "before")
-    rank = F.col("before") + F.row_number().over(Window.partitionBy("band", "bin").orderBy("value")) - 1
-    ranked = binned.join(wanted, ["band", "bin"]).withColumn("rank", rank)
-    return ranked.groupBy("band").agg(F.max(F.when(F.col("rank") == F.col("lo"), F.col("value"))).alias("low"), F.max(F.when(F.col("rank") == F.col("hi"), F.col("value"))).alias("high"))
+    e, x = (lambda i: F.element_at("e", i + 1)), F.col("value")
+    # a row a band is sent to the pixels; a value in both brackets counts in each
+    zoned = v.join(F.broadcast(ends), "band")
+    zones = []
+    for zone, (a, b) in enumerate(((0, 1), (2, 3))):
+        place = F.when(x < e(a), F.lit(float("-inf"))).otherwise(x)
+        zones.append(F.when(x <= e(b), F.struct(F.lit(zone).alias("zone"), (x >= e(a)).alias("inside"), place.alias("v"))))
+    found = zoned.select("band", "lo", "hi", F.explode(F.array_compact(F.array(*zones))).alias("z"))
+    counts = found.groupBy("band", "z.zone", "z.inside", "z.v").agg(F.count(F.lit(1)).alias("c"), F.first(F.when(F.col("z.zone") == 0, F.col("lo")).otherwise(F.col("hi"))).alias("rank"))
+    upto = F.sum("c").over(Window.partitionBy("band", "zone").orderBy("inside", "v"))
+    held = counts.withColumn("upto", upto).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("c")))
+    return held.groupBy("band").agg(F.max(F.when(F.col("zone") == 0, F.col("v"))).alias("low"), F.max(F.when(F.col("zone") == 1, F.col("v"))).alias("high"))

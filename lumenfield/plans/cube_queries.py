@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions import bands, geo, stretch, text, tiles, viewport
 from ..operators import caching, cube, stats
 from . import viewing
 from .registry import query
-from .standin import BANDS, DIM, MAP_INFO, PX, SAMPLES, SIZE, pixels, table, wide
+from .standin import BANDS, DIM, MAP_INFO, PX, SAMPLES, SIZE, file_cube, pixels, table, wide
 from .standin import cube as make_cube
 
 D = "double"
@@ -37,12 +39,11 @@ def p03(spark, d):
     return make_cube(spark, d).tile(3, 3, 1, SIZE).select("x", "y", F.col("value").cast(D).alias("value"))
 
 
-@query("p04_tiles_outside", "SELECT 0::BIGINT AS n_right, 0::BIGINT AS n_below")
+@query("p04_tiles_outside", f"WITH {PX}, t(tx, ty) AS (VALUES (0, 0), (3, 0), (9, 0), (0, 999)) SELECT tx, ty, count(x) AS n FROM t LEFT JOIN px ON x // 8 = tx AND y // 8 = ty AND band = 1 GROUP BY ALL")
 def p04(spark, d):
     c = make_cube(spark, d)
-    right, below = c.tile(1, 9, 0, SIZE), c.tile(1, 0, 999, SIZE)
-    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    return n(right.select(F.lit("r").alias("w")).union(below.select(F.lit("b").alias("w"))).where("w = 'r'"), "n_right").crossJoin(n(below, "n_below"))
+    counts = [c.tile(1, tx, ty, SIZE).agg(F.lit(tx).alias("tx"), F.lit(ty).alias("ty"), F.count(F.lit(1)).alias("n")) for tx, ty in ((0, 0), (3, 0), (9, 0), (0, 999))]
+    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
 
 
 @query("p05_pixel_spectrum", f"WITH {PX} SELECT band, value::DOUBLE AS value FROM px WHERE x = 4 AND y = 3")
@@ -50,9 +51,11 @@ def p05(spark, d):
     return make_cube(spark, d).spectrum(4, 3).select("band", F.col("value").cast(D).alias("value"))
 
 
-@query("p06_probe_outside", "SELECT 1 AS x, 1 AS y WHERE false")
+@query("p06_probe_outside", f"WITH {PX} SELECT x, y, count(*) AS bands, round(sum(value::DOUBLE), 4) AS total FROM px WHERE (x, y) IN ((-1, 0), (0, 0), (24, 3), (25, 0), (0, 1000000)) GROUP BY x, y")
 def p06(spark, d):
-    return make_cube(spark, d).probe(-1, 0).select("x", "y")
+    c = make_cube(spark, d)
+    at = [c.probe(x, y).select("x", "y", F.size("spectrum").cast("long").alias("bands"), F.round(F.aggregate("spectrum", F.lit(0.0), lambda t, s: t + s["value"]), 4).alias("total")) for x, y in ((-1, 0), (0, 0), (24, 3), (25, 0), (0, 1_000_000))]
+    return functools.reduce(DataFrame.union, at)
 
 
 @query("p08_finite_filter", f"WITH {PX}, v AS (SELECT band, CASE WHEN (x + y + band) % 7 = 0 THEN 'NaN'::DOUBLE WHEN (x + y) % 11 = 0 THEN '-Infinity'::DOUBLE ELSE value::DOUBLE END AS value FROM px) SELECT band, count(*) AS n, round(sum(value), 4) AS total FROM v WHERE isfinite(value) GROUP BY band")
@@ -246,21 +249,21 @@ def a05(spark, d):
 # ---- stretch, geometry, offsets ------------------------------------------------------------------
 
 
-@query("f05_f07_stretch_quantise", f"""WITH {PX}, v AS (SELECT x, y, band, CASE WHEN (x + band) % 13 = 0 THEN 'NaN'::FLOAT WHEN (y + band) % 17 = 0 THEN 'Infinity'::FLOAT ELSE value END AS v FROM px WHERE band <= 8)
+@query("f05_f07_stretch_quantise", f"""WITH {PX}, v AS (SELECT x, y, band, CASE WHEN (x + band) % 13 = 0 THEN 'NaN'::FLOAT WHEN (y + band) % 17 = 0 THEN 'Infinity'::FLOAT ELSE value END AS v FROM px)
 SELECT x, y, band, CASE WHEN isnan(v) THEN 0 ELSE floor(least(greatest(((v - -0.2::FLOAT) / 0.4::FLOAT)::FLOAT, 0::FLOAT), 1::FLOAT)::DOUBLE * 255 + 0.5) END::INT AS q FROM v""")
 def f05(spark, d):
     v = F.when((F.col("x") + F.col("band")) % 13 == 0, F.lit(float("nan")).cast("float")).when((F.col("y") + F.col("band")) % 17 == 0, F.lit(float("inf")).cast("float")).otherwise(F.col("value"))
-    p = pixels(spark, d).where("band <= 8").select("x", "y", "band", v.alias("v"))
+    p = pixels(spark, d).select("x", "y", "band", v.alias("v"))
     return p.select("x", "y", "band", stretch.quantise(stretch.stretch(F.col("v"), F.lit(-0.2), F.lit(0.2))).alias("q"))
 
 
-@query("f06_percentile_stretch", f"""WITH {PX}, r AS (SELECT band, value::DOUBLE AS v, row_number() OVER (PARTITION BY band ORDER BY value) - 1 AS rn, count(*) OVER (PARTITION BY band) AS n FROM px WHERE band = 5),
-l AS (SELECT max(v) FILTER (rn = least(floor(n::FLOAT * (2::FLOAT / 100::FLOAT)), n - 1))::FLOAT AS lo, max(v) FILTER (rn = least(ceil(n::FLOAT * (98::FLOAT / 100::FLOAT)), n - 1))::FLOAT AS hi FROM r)
-SELECT x, y, floor(least(greatest(((value - lo) / greatest(hi - lo, 1e-9::FLOAT))::FLOAT, 0::FLOAT), 1::FLOAT)::DOUBLE * 255 + 0.5)::INT AS q FROM px, l WHERE band = 5""")
+@query("f06_percentile_stretch", f"""WITH {PX}, r AS (SELECT band, value::DOUBLE AS v, row_number() OVER (PARTITION BY band ORDER BY value) - 1 AS rn, count(*) OVER (PARTITION BY band) AS n FROM px),
+l AS (SELECT band, max(v) FILTER (rn = least(floor(n::FLOAT * (2::FLOAT / 100::FLOAT)), n - 1))::FLOAT AS lo, max(v) FILTER (rn = least(ceil(n::FLOAT * (98::FLOAT / 100::FLOAT)), n - 1))::FLOAT AS hi FROM r GROUP BY band)
+SELECT x, y, band, floor(least(greatest(((value - lo) / greatest(hi - lo, 1e-9::FLOAT))::FLOAT, 0::FLOAT), 1::FLOAT)::DOUBLE * 255 + 0.5)::INT AS q FROM px JOIN l USING (band)""")
 def f06(spark, d):
-    p = pixels(spark, d).where("band = 5")
+    p = pixels(spark, d)
     lim = F.broadcast(stats.nearest_rank(p))  # a row a band
-    return p.join(lim, "band").select("x", "y", stretch.quantise(stretch.stretch(F.col("value"), F.col("low"), F.col("high"))).alias("q"))
+    return p.join(lim, "band").select("x", "y", "band", stretch.quantise(stretch.stretch(F.col("value"), F.col("low"), F.col("high"))).alias("q"))
 
 
 @query("f02_f03_world_of_pixel", f"WITH {PX} SELECT DISTINCT x, y, 500000.0 + 30 * x AS wx, 4100000.0 - 30 * y AS wy FROM px")
@@ -448,3 +451,41 @@ def q04(spark, d):
     from ..sources.synthetic import pixels as synthetic
 
     return Cube(header(), synthetic(spark)).spectrum(24, 24).select("band", F.col("value").cast(D).alias("value"))
+
+
+# ---- cubes in files ------------------------------------------------------------------------------
+
+FILE_PX = "px AS (SELECT x::INT AS x, y::INT AS y, b::INT AS band, (b * 100 + (13 * x + 17 * y + 7 * (b - 1)) % 97)::FLOAT AS value FROM range(48) p(x), range(48) q(y), range(1, 33) r(b))"
+FILE_STATS = f"{FILE_PX}, ch AS (SELECT band, x // 16 AS tx, y // 16 AS ty, avg(value::DOUBLE) AS m, stddev_pop(value::DOUBLE) AS sd FROM px GROUP BY ALL), st AS (SELECT band, round(min(m - 2 * sd), 6) AS min, round(max(m + 2 * sd), 6) AS max FROM ch WHERE (tx, ty) IN ((0, 0), (2, 2), (1, 1), (2, 0), (0, 2)) GROUP BY band)"
+
+
+def register_files(layout: str) -> None:
+    """Queries that read a cube's bytes in one layout: cells, a composite's tile, a pixel, statistics."""
+
+    @query(f"s18_file_cells_{layout}", f"WITH {FILE_PX} SELECT x, y, band, value::DOUBLE AS value FROM px")
+    def cells(spark, d):
+        return file_cube(spark, layout).cells().select("x", "y", "band", F.col("value").cast(D).alias("value"))
+
+    @query(f"q01_file_tile_{layout}", f"""WITH {FILE_STATS}, n AS (SELECT x, y, band, least(greatest((value - min::FLOAT) / greatest(max::FLOAT - min::FLOAT, 1e-9::FLOAT), 0::FLOAT), 1::FLOAT)::FLOAT AS t FROM px JOIN st USING (band) WHERE x // 16 = 1 AND y // 16 = 2)
+SELECT x, y, max(floor(t::DOUBLE * 255 + 0.5)) FILTER (band = 26)::INT AS r, max(floor(t::DOUBLE * 255 + 0.5)) FILTER (band = 16)::INT AS g, max(floor(t::DOUBLE * 255 + 0.5)) FILTER (band = 8)::INT AS b, 255 AS a FROM n GROUP BY x, y""")
+    def tile(spark, d):
+        c = file_cube(spark, layout)
+        c.stored = {b: (round(lo, 6), round(hi, 6)) for b, (lo, hi) in c.keep_stats([26, 16, 8], size=16).items()}
+        return c.composite(26, 16, 8, (1, 2), 16)
+
+    @query(f"q02_file_pixel_{layout}", f"WITH {FILE_PX} SELECT band, (390 + 10 * band)::DOUBLE AS wavelength, value::DOUBLE AS value FROM px WHERE x = 24 AND y = 33")
+    def pixel(spark, d):
+        return file_cube(spark, layout).profile(24, 33).select("band", "wavelength", F.col("value").cast(D).alias("value"))
+
+    @query(f"q03_file_stats_{layout}", f"WITH {FILE_STATS} SELECT band, min, max FROM st")
+    def file_stats(spark, d):
+        return file_cube(spark, layout).band_stats(size=16).select("band", r6(F.col("min"), "min"), r6(F.col("max"), "max"))
+
+
+for _layout in ("bsq", "bil", "bip"):
+    register_files(_layout)
+
+
+@query("q02_pixel", f"WITH {PX} SELECT band, (390 + 10 * band)::DOUBLE AS wavelength, value::DOUBLE AS value FROM px WHERE x = 7 AND y = 5")
+def q02(spark, d):
+    return make_cube(spark, d).profile(7, 5).select("band", "wavelength", F.col("value").cast(D).alias("value"))

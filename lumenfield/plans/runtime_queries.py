@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import bands, text
+from ..operators.prefix import running
 from ..operators import caching
 from ..sources import catalog
 from ..streaming import messages as ms
@@ -94,13 +95,12 @@ def f43(spark, d):
 
 # ---- requests ------------------------------------------------------------------------------------
 
-ACTIONS = """a AS (SELECT user_id % 5 AS source_id, 'r' || (event_id % 50) AS request_id, event_id AS seq, ts, CASE event_type WHEN 'purchase' THEN 'invalidate' WHEN 'view' THEN 'track' WHEN 'click' THEN 'track' ELSE 'release' END AS action FROM events WHERE event_type <> 'purchase' OR event_id % 50 = 0)"""
+ACTIONS = """a AS (SELECT user_id % 5 AS source_id, 'r' || (event_id % 50) AS request_id, event_id AS seq, ts, CASE WHEN event_type = 'purchase' AND value < 0.1 THEN 'invalidate' WHEN event_type IN ('view', 'click', 'purchase') THEN 'track' ELSE 'release' END AS action FROM events)"""
 
 
 def actions(spark, d):
-    a = F.when(F.col("event_type") == "purchase", "invalidate").when(F.col("event_type").isin("view", "click"), "track").otherwise("release")
-    e = table(spark, d, "events").where("event_type <> 'purchase' or event_id % 50 = 0")
-    return e.select((F.col("user_id") % 5).alias("source_id"), F.concat(F.lit("r"), (F.col("event_id") % 50).cast("string")).alias("request_id"), F.col("event_id").alias("seq"), "ts", a.alias("action"))
+    a = F.when((F.col("event_type") == "purchase") & (F.col("value") < 0.1), "invalidate").when(F.col("event_type").isin("view", "click", "purchase"), "track").otherwise("release")
+    return table(spark, d, "events").select((F.col("user_id") % 5).alias("source_id"), F.concat(F.lit("r"), (F.col("event_id") % 50).cast("string")).alias("request_id"), F.col("event_id").alias("seq"), "ts", a.alias("action"))
 
 
 @query("m05_pending_requests", f"""WITH {ACTIONS}, l AS (SELECT source_id, request_id, arg_max(action, seq) AS last, max(seq) AS seq FROM a WHERE action <> 'invalidate' AND source_id > 0 GROUP BY ALL),
@@ -137,8 +137,8 @@ def m09(spark, d):
 
 @query("m16_a16_transition_tiles", f"WITH {MSG}, t AS (SELECT source_id, seq, greatest(40 - row_number() OVER (PARTITION BY source_id ORDER BY seq), 0) AS rest FROM msg WHERE type IN ('tile_complete', 'tile_error')) SELECT source_id, seq, rest, rest = 0 AS finalise FROM t")
 def m16(spark, d):
-    done = F.row_number().over(Window.partitionBy("source_id").orderBy("seq"))
-    m = messages(spark, d).where("type in ('tile_complete', 'tile_error')").withColumn("rest", F.greatest(F.lit(40) - done, F.lit(0)))
+    m = running(messages(spark, d).where("type in ('tile_complete', 'tile_error')"), "source_id", "seq", sums={"done": F.lit(1)})
+    m = m.withColumn("rest", F.greatest(F.lit(40) - F.col("done"), F.lit(0)))
     return m.select("source_id", "seq", "rest", (F.col("rest") == 0).alias("finalise"))
 
 
@@ -170,10 +170,10 @@ def u06(spark, d):
     return caching.swapped(t, "transition", "active").groupBy("source_id", "slot").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("u03_j07_missing", f"WITH {TOUCH} SELECT DISTINCT source_id, tile FROM t WHERE seq % 2 = 0 EXCEPT SELECT source_id, tile FROM t WHERE seq % 2 = 1")
+@query("u03_j07_missing", f"WITH {TOUCH} SELECT DISTINCT source_id, tile FROM t EXCEPT SELECT source_id, tile FROM t WHERE bytes > 7000000")
 def u03(spark, d):
     t = touches(spark, d)
-    return caching.missing(t.where("seq % 2 = 0").select("source_id", "tile"), t.where("seq % 2 = 1"), ["source_id", "tile"])
+    return caching.missing(t.select("source_id", "tile"), t.where("bytes > 7000000"), ["source_id", "tile"])
 
 
 @query("t04_tile_queue", f"WITH {TOUCH} SELECT source_id, tile, min(seq) AS place, arg_max(bytes, seq) AS payload FROM t GROUP BY ALL")
@@ -260,8 +260,7 @@ def a09(spark, d):
 
 @query("a10_f44_switch_time", f"WITH {TEL}, w AS (SELECT source_id, seq, ts, lag(ts) OVER (PARTITION BY source_id ORDER BY seq) AS before FROM tel) SELECT source_id, seq, (epoch_us(ts) - epoch_us(before)) / 1000 AS ms FROM w WHERE before IS NOT NULL")
 def a10(spark, d):
-    before = F.lag("ts").over(Window.partitionBy("source_id").orderBy("seq"))
-    return tel(spark, d).withColumn("before", before).where("before is not null").select("source_id", "seq", ((micros("ts") - micros("before")) / 1000).alias("ms"))
+    return telemetry.switch_times(tel(spark, d))
 
 
 @query("a12_first_metric", f"WITH {TEL} SELECT source_id, event_type AS name, arg_min(cpu, seq) AS value FROM tel GROUP BY ALL")
@@ -344,14 +343,14 @@ def samples(spark, d):
     n = F.col("n_nationkey")
     s = F.struct(
         F.concat(F.lit("s"), n.cast("string")).alias("id"), F.col("n_name").alias("title"), F.when(n % 9 == 8, "tiff").otherwise("envi-http").alias("kind"), F.lit(None).cast("string").alias("availability"),
-        F.when(n % 2 == 0, "public").alias("validationTier"), F.lit(" ").alias("description"), F.when(n % 2 == 0, "/a/b.hdr").otherwise("c.hdr").alias("headerUrl"), F.when(n % 7 != 6, "https://x.example/d.img").alias("dataUrl"),
+        F.when(n % 2 == 0, "public").alias("validationTier"), F.lit(" ").alias("description"), F.element_at(F.array(*map(F.lit, ("/a/b.hdr", "c.hdr", "//o.example/x.hdr", "../././up.hdr", "?v=2", "ftp://z.example/e.hdr"))), (n % 6 + 1).cast("int")).alias("headerUrl"), F.when(n % 7 != 6, "https://x.example/d.img").alias("dataUrl"),
         F.lit(None).cast("map<string,string>").alias("headers"), F.lit("MIT").alias("license"),
     )
     return catalog.samples_of(table(spark, d, "nation").select(F.array(s).alias("samples")))
 
 
 @query("s31_p20_catalog", """SELECT 's' || n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN 'public' ELSE 'local' END AS validation_tier, CASE WHEN n_nationkey % 9 = 8 THEN 'unsupported kind' WHEN n_nationkey % 7 = 6 THEN 'missing data_url' END AS problem,
-CASE WHEN n_nationkey % 2 = 0 THEN 'https://h.example/a/b.hdr' ELSE 'https://h.example/cat/c.hdr' END AS header FROM nation""")
+CASE n_nationkey % 6 WHEN 0 THEN 'https://h.example/a/b.hdr' WHEN 1 THEN 'https://h.example/cat/c.hdr' WHEN 2 THEN 'https://o.example/x.hdr' WHEN 3 THEN 'https://h.example/up.hdr' WHEN 4 THEN 'https://h.example/cat/list.json?v=2' ELSE 'ftp://z.example/e.hdr' END AS header FROM nation""")
 def s31(spark, d):
     return samples(spark, d).select("id", "validation_tier", "problem", catalog.resolved(F.col("header_url"), "https://h.example/cat/list.json").alias("header"))
 

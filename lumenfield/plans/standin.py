@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cube import Cube
+from ..sources import synthetic
 from ..sources.header import Header
 
 SAMPLES, BANDS, SIZE = 25, 64, 8
@@ -36,6 +37,11 @@ def cube(spark: SparkSession, sf_dir: str) -> Cube:
     return Cube(h, pixels(spark, sf_dir), wide(spark, sf_dir))
 
 
+def file_cube(spark: SparkSession, layout: str) -> Cube:
+    """The synthetic reference cube as header and payload files, in the session's shared folder (a temporary one for a local session)."""
+    return Cube.load(spark, *synthetic.write(synthetic.shared_folder(spark), synthetic.header(interleave=layout), name=f"cube-{layout}"))
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses of workers made of events."""
     k = F.get_json_object("props", "$.k").cast("int")

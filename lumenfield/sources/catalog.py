@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from urllib.parse import urljoin
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,10 +62,13 @@ def by_tier(samples: DataFrame, tier: str) -> DataFrame:
 
 
 def resolved(url: Column, base: str) -> Column:
-    """An absolute URL as it is, a path from the root under the base's host, else beside the base."""
-    host = F.regexp_extract(F.lit(base), r"^([a-z][a-z0-9+.-]*://[^/]+)", 1)
-    beside = F.regexp_replace(F.lit(base), r"[^/]*$", "")
-    return F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), url).when(url.startswith("/"), F.concat(host, url)).otherwise(F.concat(beside, url))
+    """The URL that a reference means beside the base: schemes, "//host", dot segments and "?query" as in the URL standard."""
+
+    @F.pandas_udf("string")
+    def join(urls: pd.Series) -> pd.Series:
+        return urls.map(lambda u: None if u is None else urljoin(base, u))
+
+    return join(url)
 
 
 def origin_of(url: Column) -> Column:

@@ -4,9 +4,11 @@
     spark.read.format("cube").option("header", "a.hdr").option("data", "a.img").load()
 
 Options: header, data (paths on a file system that executors see, or http urls), bands (numbers to
-read, comma-separated), strip_lines (lines a task), http.* (request headers). The header is read
-once, on the driver. A task reads one strip of lines: of one band where bands are stored apart (bsq),
-of all bands otherwise. Filters on band and y leave out strips; x is filtered after reading.
+read, comma-separated), y0 and y1 (lines to read, y1 exclusive), strip_lines (lines a task), http.*
+(request headers). The header is read once, on the driver. A task reads one strip of lines: of one
+band where bands are stored apart (bsq), of all bands otherwise. What to read is told by options and
+not by pushed filters: Spark keeps a reader for all queries on a frame, so a reader changed by one
+query's filters would leave rows out of the next.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .header import Header, HeaderError, parse
 from .ranges import HttpBytes, LocalBytes, open_bytes
@@ -57,31 +59,14 @@ def strip_cells(raw: bytes, h: Header, s: Strip, bands: np.ndarray) -> tuple[np.
 
 
 class CubeReader(DataSourceReader):
-    def __init__(self, h: Header, source: LocalBytes | HttpBytes, bands: list[int] | None, strip_lines: int | None) -> None:
+    def __init__(self, h: Header, source: LocalBytes | HttpBytes, bands: list[int] | None, strip_lines: int | None, y: tuple[int, int] | None = None) -> None:
         self.h, self.source = h, source
         self.bands = sorted(set(bands)) if bands else list(range(1, h.bands + 1))
         if not all(1 <= b <= h.bands for b in self.bands):
             raise ValueError(f"bands must be between 1 and {h.bands}")
         self.strip_lines = strip_lines
-        self.y = (0, h.lines)
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            low, high = self.y
-            if f.__class__ in (EqualTo, In) and f.attribute == ("band",):
-                values = f.value if isinstance(f, In) else (f.value,)
-                self.bands = [b for b in self.bands if b in values]
-            elif isinstance(f, EqualTo) and f.attribute == ("y",):
-                self.y = (max(low, f.value), min(high, f.value + 1))
-            elif isinstance(f, GreaterThanOrEqual) and f.attribute == ("y",):
-                self.y = (max(low, f.value), high)
-            elif isinstance(f, GreaterThan) and f.attribute == ("y",):
-                self.y = (max(low, f.value + 1), high)
-            elif isinstance(f, LessThanOrEqual) and f.attribute == ("y",):
-                self.y = (low, min(high, f.value + 1))
-            elif isinstance(f, LessThan) and f.attribute == ("y",):
-                self.y = (low, min(high, f.value))
-            yield f  # Spark filters the rows as well
+        low, high = y or (0, h.lines)
+        self.y = (max(0, low), min(high, h.lines))
 
     def partitions(self) -> list[Strip]:
         h, width = self.h, self.h.bytes_per_pixel
@@ -118,11 +103,12 @@ class CubeDataSource(DataSource):
             if not o.get(name):
                 raise ValueError(f"the cube source takes the option {name}")
         head = open_bytes(o["header"], http)
-        h = parse((head.read_all() if isinstance(head, HttpBytes) else head.read(0, head.size())).decode("utf-8", "replace"))
+        h = parse(head.read_all().decode("utf-8", "replace"))
         if h.data_type not in NUMPY:
             raise HeaderError(f"cells of type {h.data_type} can't be read")
         source = open_bytes(o["data"], http)
         if isinstance(source, HttpBytes):
             source = HttpBytes(source.url, source.headers, source.size())
         bands = [int(b) for b in o["bands"].split(",")] if o.get("bands") else None
-        return CubeReader(h, source, bands, int(o["strip_lines"]) if o.get("strip_lines") else None)
+        y = (int(o.get("y0") or 0), int(o["y1"]) if o.get("y1") else h.lines)
+        return CubeReader(h, source, bands, int(o["strip_lines"]) if o.get("strip_lines") else None, y)

@@ -8,6 +8,8 @@ import urllib.request
 from dataclasses import dataclass, field
 from urllib.parse import urljoin, urlsplit
 
+from pyarrow import fs
+
 
 def checked(start: int, end: int, size: int) -> tuple[int, int]:
     """A half-open range inside 0..size, or ValueError."""
@@ -33,20 +35,35 @@ def name_of(url: str, fallback: str = "remote-source") -> str:
     return parts[-1] if parts else fallback
 
 
+def store_of(place: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI (local, HDFS, object stores: what pyarrow knows), and the path in it."""
+    if re.match(r"[a-z][a-z0-9+.-]*:/", place):
+        return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", place))
+    return fs.LocalFileSystem(), place
+
+
 @dataclass(frozen=True)
 class LocalBytes:
+    """A file on a file system that driver and executors see, by path or URI."""
+
     path: str
     kind: str = "local"
 
     def size(self) -> int:
-        with open(self.path, "rb") as f:
-            return f.seek(0, 2)
+        store, path = store_of(self.path)
+        info = store.get_file_info(path)
+        if info.type != fs.FileType.File:
+            raise FileNotFoundError(self.path)
+        return info.size
 
     def read(self, start: int, end: int) -> bytes:
         checked(start, end, self.size())
-        with open(self.path, "rb") as f:
-            f.seek(start)
-            return f.read(end - start)
+        store, path = store_of(self.path)
+        with store.open_input_file(path) as f:
+            return f.read_at(end - start, start)
+
+    def read_all(self) -> bytes:
+        return self.read(0, self.size())
 
 
 @dataclass(frozen=True)
@@ -57,6 +74,7 @@ class HttpBytes:
     headers: dict[str, str] = field(default_factory=dict)
     known_size: int | None = None
     kind: str = "http"
+    whole: bytes | None = field(default=None, repr=False, compare=False)
 
     def ask(self, method: str = "GET", **more: str):
         return urllib.request.urlopen(urllib.request.Request(self.url, headers=(clean_headers(self.headers) or {}) | more, method=method), timeout=60)
@@ -84,17 +102,23 @@ class HttpBytes:
         with self.ask(Range=f"bytes={start}-{end - 1}") as reply:
             if reply.status != 206:
                 raise OSError(f"{self.url}: status {reply.status} for a range")
+            if (total := total_of(reply.headers.get("Content-Range"))) is not None:
+                object.__setattr__(self, "known_size", total)  # a size told before may be stale
             return reply.read()
 
     def read_all(self) -> bytes:
-        with self.ask() as reply:
-            return reply.read()
+        """The whole object, asked for once; for headers and other small ones."""
+        if self.whole is None:
+            with self.ask() as reply:
+                object.__setattr__(self, "whole", reply.read())
+            object.__setattr__(self, "known_size", len(self.whole))
+        return self.whole
 
 
 def open_bytes(place: str, headers: dict[str, str] | None = None) -> LocalBytes | HttpBytes:
     if re.match(r"https?://", place):
         return HttpBytes(place, clean_headers(headers) or {})
-    return LocalBytes(place.removeprefix("file://"))
+    return LocalBytes(place)
 
 
 def load_options(source: dict) -> dict[str, str]:

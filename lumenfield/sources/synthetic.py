@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pathlib import Path
+import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .header import Header, render
+from .ranges import store_of
 
 SAMPLES, LINES, BANDS = 48, 48, 32
 
@@ -38,7 +40,17 @@ def write(folder: str, h: Header, values: np.ndarray | None = None, name: str =
         values = cell(x, y, b)
     axes = {"bsq": (0, 1, 2), "bil": (1, 0, 2), "bip": (1, 2, 0)}[h.interleave]
     stored = values.transpose(axes).astype(np.dtype(NUMPY[h.data_type]).newbyteorder("<" if h.byte_order == "lsb" else ">"))
-    head, data = Path(folder, f"{name}.hdr"), Path(folder, f"{name}.img")
-    head.write_text(render(h))
-    data.write_bytes(b"\0" * h.header_offset + stored.tobytes())
-    return str(head), str(data)
+    store, inside = store_of(folder)
+    store.create_dir(inside)
+    for end, raw in ((".hdr", render(h).encode()), (".img", b"\0" * h.header_offset + stored.tobytes())):
+        with store.open_output_stream(f"{inside}/{name}{end}") as f:
+            f.write(raw)
+    return f"{folder}/{name}.hdr", f"{folder}/{name}.img"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors see: under spark.checkpoint.dir, or a temporary one of a local session where that is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", "")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared}/cube-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="lumenfield-cube-")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.prefix import running
+
 #: Fixed values of the idle rule: CPU percent, and the number of samples after which a baseline is forced.
 IDLE, FORCED = 20.0, 41
 
@@ -16,18 +18,23 @@ def micros(ts: str) -> Column:
 
 def baseline(samples: DataFrame) -> DataFrame:
     """Per source the first sample with low CPU while the viewer rests, or the 41st, whichever comes first."""
-    n = F.row_number().over(Window.partitionBy("source_id").orderBy("seq"))
+    counted = running(samples, "source_id", "seq", sums={"n": F.lit(1)})
     fits = ((F.col("cpu") < IDLE) & ~F.col("busy")) | (F.col("n") == FORCED)
-    return samples.withColumn("n", n).where(fits).groupBy("source_id").agg(F.min("seq").alias("seq"), F.min_by("cpu", "seq").alias("cpu"), F.min_by("memory", "seq").alias("memory"), F.min_by("gpu", "seq").alias("gpu"))
+    return counted.where(fits).groupBy("source_id").agg(F.min("seq").alias("seq"), F.min_by("cpu", "seq").alias("cpu"), F.min_by("memory", "seq").alias("memory"), F.min_by("gpu", "seq").alias("gpu"))
 
 
 def peaks(samples: DataFrame, base: DataFrame) -> DataFrame:
     """Running maxima from the baseline on; the GPU's only where baseline and sample have one."""
     b = base.select("source_id", F.col("seq").alias("from"), F.col("gpu").alias("gpu0"))
-    upto = Window.partitionBy("source_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     s = samples.join(b, "source_id").where(F.col("seq") >= F.col("from"))
-    gpu = F.when(F.col("gpu0").isNotNull(), F.max("gpu").over(upto))
-    return s.select("source_id", "seq", F.max("cpu").over(upto).alias("peak_cpu"), F.max("memory").over(upto).alias("peak_memory"), gpu.alias("peak_gpu"))
+    r = running(s, "source_id", "seq", maxima={"peak_cpu": "cpu", "peak_memory": "memory", "most_gpu": "gpu"})
+    return r.select("source_id", "seq", "peak_cpu", "peak_memory", F.when(F.col("gpu0").isNotNull(), F.col("most_gpu")).alias("peak_gpu"))
+
+
+def switch_times(samples: DataFrame) -> DataFrame:
+    """Milliseconds since the sample before of the same source; no row for the first."""
+    r = running(samples, "source_id", "seq", before={"before": "ts"})
+    return r.where("before is not null").select("source_id", "seq", ((micros("ts") - micros("before")) / 1000).alias("ms"))
 
 
 def history(samples: DataFrame, n: int = 50) -> DataFrame:
@@ -65,6 +72,5 @@ def windowed(events: DataFrame, length: str = "1 hour", late: str = "30 minutes"
 
 def band_changes(selections: DataFrame) -> DataFrame:
     """Selections that differ from the one before of the same source."""
-    own = Window.partitionBy("source_id").orderBy("seq")
-    changed = ~F.col("bands").eqNullSafe(F.lag("bands").over(own))
-    return selections.withColumn("__changed", changed).where("__changed").drop("__changed")
+    r = running(selections, "source_id", "seq", before={"__before": "bands"})
+    return r.where(~F.col("bands").eqNullSafe(F.col("__before"))).drop("__before")

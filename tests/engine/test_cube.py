@@ -54,6 +54,59 @@ def test_files_equal_the_relation(spark, cube, tmp_path):
         assert c.header.custom_fields["wavelength units"] == "Nanometers"
 
 
+def test_operations_on_one_file_cube_leave_each_other_alone(spark, cube, tmp_path):
+    """Every operation gives the relation's rows after every other one, in the three layouts."""
+    operations = {
+        "count": lambda c: [(c.pixels.count(),)],
+        "band": lambda c: sorted(map(tuple, c.band(3).collect())),
+        "tile": lambda c: sorted(map(tuple, c.tile(5, 1, 2, 16).collect())),
+        "spectrum": lambda c: sorted(map(tuple, c.spectrum(1, 2).collect())),
+        "probe": lambda c: [tuple(c.probe(7, 40).first())],
+        "stats": lambda c: sorted((r.band, round(r.min, 6), round(r.max, 6)) for r in c.band_stats(size=16).collect()),
+        "stats of bands": lambda c: sorted((r.band, round(r.min, 6), round(r.max, 6)) for r in c.band_stats([8, 26], size=16).collect()),
+        "composite": lambda c: sorted(map(tuple, c.composite(26, 16, 8, (2, 0), 16).collect())),
+    }
+    want = {n: f(cube) for n, f in operations.items()}
+    cube.stored.clear()
+    for layout in ("bsq", "bil", "bip"):
+        c = Cube.load(spark, *synthetic.write(str(tmp_path), synthetic.header(interleave=layout), name=layout))
+        names = list(operations)
+        # a walk in which every operation follows every other one
+        for step in range(1, len(names)) if layout == "bsq" else (1, len(names) - 1):
+            for i in range(len(names)):
+                n = names[i * step % len(names)]
+                assert operations[n](c) == want[n], (layout, n)
+    plan = c.band_stats([8], count=2, size=16)
+    assert plan.rdd.getNumPartitions() >= 1 and c.cells([8], 0, 16).count() == 16 * 48
+
+
+def test_running_values_over_cut_histories(spark):
+    import random
+
+    from lumenfield.operators.prefix import running
+
+    rng = random.Random(4)
+    rows = [(k, s, rng.choice([None, rng.randrange(100)])) for k in ("a", "b", None) for s in rng.sample(range(1000), 60)]
+    df = spark.createDataFrame(rows, "k string, s long, v int")
+    plain = {w: sorted(map(str, running(df, "k", "s", {"m": "v"}, {"n": F.lit(1)}, {"p": "v"}, w).collect())) for w in (1, 37, 10**6)}
+    assert plain[1] == plain[37] == plain[10**6]
+    got = sorted((r for r in running(df, "k", "s", {"m": "v"}, {"n": F.lit(1)}, {"p": "v"}, 37).collect() if r.k == "a"), key=lambda r: r.s)
+    own = sorted((s, v) for k, s, v in rows if k == "a")
+    assert [(r.n, r.p) for r in got] == [(i + 1, own[i - 1][1] if i else None) for i in range(60)]
+
+
+def test_nearest_rank_with_outliers_and_ties(spark):
+    values = [float(i % 50) for i in range(5000)] + [1e30, float("inf"), -1e30, float("nan"), None]
+    df = spark.createDataFrame([(b, v if b == 1 or v is None else -v) for b in (1, 2) for v in values], "band int, value double")
+    from lumenfield.operators import stats
+
+    got = {r.band: (r.low, r.high) for r in stats.nearest_rank(df).collect()}
+    for b in (1, 2):
+        own = sorted(v if b == 1 else -v for v in values if v is not None and v == v)
+        n = len(own)
+        assert got[b] == (own[int(n * 0.02)], own[min(n - 1, -int(-n * 0.98 // 1))])
+
+
 def test_tiny_cube_of_the_layout_tests(spark):
     rows = [(x, y, b, float(b * 100 + 10 * y + x)) for b in range(1, 5) for y in range(2) for x in range(3)]
     c = Cube(synthetic.header(3, 2, 4), spark.createDataFrame(rows, "x int, y int, band int, value float"))

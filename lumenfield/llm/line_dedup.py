@@ -55,25 +55,27 @@ def without(text: Column, at: Column, width: Column) -> Column:
 
 
 def indexed(lines: DataFrame, distance: int, rest: bool = False) -> DataFrame:
-    """a, sa and key (and text without the segment) for every segment of lines (a, sa, text, base)."""
-    text, n, found = F.col("text"), F.length("text"), []
+    """a, sa and key for every segment of lines (a, sa, text, n, base); with rest also text without the segment, and its length."""
+    text, n, found = F.col("text"), F.col("n"), []
     for i in range(distance + 1):
         start, width = segment(i, n, distance)
-        key = F.xxhash64("base", n, F.lit(i), F.substring(text, start, width)).alias("key")
-        found.append(F.struct(key, without(text, start, width).alias("text")) if rest else F.struct(key))
-    return lines.select("a", "sa", F.explode(F.array(*found)).alias("found")).select("a", "sa", "found.*")
+        key = F.xxhash64("base", n, F.lit(i), F.substring(text, start, width))
+        found.append(F.struct(key.alias("key"), without(text, start, width).alias("text"), (n - width).alias("n")) if rest else key)
+    out = lines.select("a", "sa", F.explode(F.array(*found)).alias("key"))
+    return out.select("a", "sa", "key.*") if rest else out
 
 
 def probing(lines: DataFrame, distance: int, rest: bool = False) -> DataFrame:
-    """b, sb and key (and text without the substring, and less) for every substring that lines (b, sb, text, base, less) look up; less: the known length difference, or null."""
-    text, n, found = F.col("text"), F.length("text"), []
+    """b, sb and key for every substring that lines (b, sb, text, n, base, less) look up; with rest also text without it, its length, and less. less: the length difference where it is known, or null."""
+    text, n, found = F.col("text"), F.col("n"), []
     for less, i, o in places(distance):
         start, width = segment(i, n - less, distance)
         at = start + o
-        key = F.xxhash64("base", n - less, F.lit(i), F.substring(text, at, width)).alias("key")
-        own = F.struct(key, without(text, at, width).alias("text"), F.lit(less).alias("less")) if rest else F.struct(key)
+        key = F.xxhash64("base", n - less, F.lit(i), F.substring(text, at, width))
+        own = F.struct(key.alias("key"), without(text, at, width).alias("text"), (n - width).alias("n"), F.lit(less).alias("less")) if rest else key
         found.append(F.when((at >= 1) & (at + width - 1 <= n) & (n >= less) & (F.col("less").isNull() | (F.col("less") == less)), own))
-    return lines.select("b", "sb", F.explode(F.array_compact(F.array(*found))).alias("found")).select("b", "sb", "found.*")
+    out = lines.select("b", "sb", F.explode(F.array_compact(F.array(*found))).alias("key"))
+    return out.select("b", "sb", "key.*") if rest else out
 
 
 def signature(line: Column) -> Column:
@@ -156,8 +158,8 @@ def candidates(lines: DataFrame, distance: int, max_key: int = 256, levels: int
     """Pairs (a, b) of ids of lines (id, line, n, sig) that share a segment and whose signatures allow the edit distance; a's line is as long or shorter."""
     ordered = (F.shiftrightunsigned("sa", 60) != F.shiftrightunsigned("sb", 60)) | (F.col("a") < F.col("b"))
     near = ordered & (F.col("a") != F.col("b")) & may_be_near(F.col("sa"), F.col("sb"), distance)
-    a = lines.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("line").alias("text"), F.lit(0).cast("long").alias("base"))
-    b = lines.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("line").alias("text"), F.lit(0).cast("long").alias("base"), F.lit(None).cast("int").alias("less"))
+    a = lines.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("line").alias("text"), "n", F.lit(0).cast("long").alias("base"))
+    b = lines.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("line").alias("text"), "n", F.lit(0).cast("long").alias("base"), F.lit(None).cast("int").alias("less"))
     found = []
     for level in range(levels + 1):
         index, probe = indexed(a, distance), probing(b, distance)

@@ -136,7 +136,7 @@ def meta_view(source: str | None, lang: str | None, n_chars: int | None) -> np.n
     return np.concatenate(parts)
 
 
-def parts_of(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def parts_of(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch with text (string or binary), source, lang and n_chars, of some megabytes of text, with both views."""
     text = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())
     upto = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros(0)
@@ -176,9 +176,14 @@ def probability(logit: np.ndarray) -> np.ndarray:
 
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float | np.ndarray = 1.0, rounds: int = 25, steps: int = 30) -> Logistic:
     """Ridge logistic regression by Newton steps, each solved by conjugate gradients, on standardised columns."""
-    mean, scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64)
+    # in blocks, so that only the single-precision matrix is held whole
+    blocks = [slice(i, i + 1024) for i in range(0, len(x), 1024)]
+    mean = sum(x[b].sum(0, dtype=np.float64) for b in blocks) / len(x)
+    scale = np.sqrt(sum(np.square(x[b] - mean).sum(0) for b in blocks) / len(x))
     scale[scale < 1e-6] = 1
-    z = np.hstack([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))]).astype(np.float32)
+    z = np.ones((len(x), x.shape[1] + 1), np.float32)
+    for b in blocks:
+        z[b, :-1] = np.clip((x[b] - mean) / scale, -8, 8)
     weight = np.ones(len(x)) if weight is None else weight
     penalty = np.append(np.broadcast_to(ridge, x.shape[1]), 1e-6)
     w = np.zeros(z.shape[1])

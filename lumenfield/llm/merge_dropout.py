@@ -9,10 +9,13 @@ pieces, so every text decodes to itself.
 
 How an occurrence is segmented depends only on which of its word's possible candidates (the pieces
 that stand in it, at most 63) are dropped. So the hashes are worked out for all candidates of all
-occurrences of a batch at once, as a bit mask an occurrence; each distinct pair of word and mask is
-merged once, and merged pairs are remembered, up to a bounded number a task. Words go through the
-merges in step, as rows of arrays: each step merges one candidate in every row. Words that are long
-or have more candidates use an agenda (a heap), occurrence by occurrence; both give the same pieces.
+occurrences of a batch at once, as a bit mask an occurrence, and each distinct pair of word and mask
+of the batch is merged once. A word's candidates stand in the order of the agenda, by rank and then
+from the left, and the word's symbol boundaries are a bit set: a candidate can be merged when both
+its ends are boundaries and one boundary lies between. Merging takes that boundary away, so only
+candidates around the merged one can become possible; where one of them may rank before it, the
+agenda starts again. All pairs go through their agendas in step. Words that are long or have more
+candidates use a heap, occurrence by occurrence; both give the same pieces.
 
 Null texts count as empty; an empty text has no pieces. A null id hashes as zero. Repeated rows get
 equal pieces. An empty table gives an empty result.
@@ -23,8 +26,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,16 +47,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def windows(codes: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit number for every run of so many characters."""
-    n = len(codes) - size + 1
-    h = np.zeros(max(n, 0), np.uint64)
-    for i in range(size if n > 0 else 0):
-        h = (h ^ codes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return h
-
-
 class Pieces:
     """The tables of a merge-type model file."""
 
@@ -75,14 +70,26 @@ class Pieces:
         ids = {s: i for i, s in text.items()}
         self.char_id = {s: i for s, i in ids.items() if len(s) == 1}
         self.long_id = {s: i for s, i in ids.items() if len(s) > 1}
+        self.lengths = np.zeros(n, np.int64)
+        for s, i in ids.items():
+            self.lengths[i] = len(s)
         self.longest = max(map(len, ids))
-        self.by_length = {}
+        self.code_id = np.arange(n, n + 0x110000, dtype=np.int32)
+        for c, i in self.char_id.items():
+            self.code_id[ord(c)] = i
+        # a tree of the pieces' prefixes: per length, (node of all but the last character, last character) -> node, piece or -1
+        node: dict[str, int] = {}
+        for x in self.long_id:
+            for k in range(1, len(x) + 1):
+                node.setdefault(x[:k], len(node))
+        self.first = np.full(0x110000, -1, np.int64)
+        self.levels = []
+        for x, k in node.items():
+            if len(x) == 1:
+                self.first[ord(x)] = k
         for size in range(2, self.longest + 1):
-            own = [s for s in self.long_id if len(s) == size]
-            codes = np.array([[ord(c) for c in s] for s in own], np.uint64).reshape(-1, size)
-            h = windows(codes.ravel(), size)[::size] if own else np.zeros(0, np.uint64)
-            at = np.argsort(h)
-            self.by_length[size] = h[at], np.array([self.long_id[s] for s in own], np.int64)[at]
+            level = sorted((node[x[:-1]] << 21 | ord(x[-1]), k, self.long_id.get(x, -1)) for x, k in node.items() if len(x) == size)
+            self.levels.append(tuple(np.array(c, np.int64) for c in zip(*level, strict=True)))
         self.forget()
         if any(re.search(r"[^ ] ", s) for s in ids):
             raise ValueError("pieces that go on after a space are not supported")
@@ -96,8 +103,12 @@ class Pieces:
                 left, right = (ids.get(x, n + ord(x) if len(x) == 1 else None) for x in (s[:at], s[at:]))
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = i
-        self.key = np.array(sorted(pairs), np.int64)
-        self.merged = np.array([pairs[k] for k in self.key.tolist()], np.int64)
+        # pieces that may become half of a piece that ranks before them
+        self.rewinds = np.zeros(n + 1, bool)
+        for k, i in pairs.items():
+            for half in (k >> 32, k & 0xFFFFFFFF):
+                if half < n and self.rank[half] > self.rank[i]:
+                    self.rewinds[half] = True
         self.pairs = pairs
         self.words = re.compile(r"\n| *[^ \n]+| +" if self.lone_newline else r" *[^ ]+| +")
 
@@ -105,12 +116,6 @@ class Pieces:
         get, n = self.char_id.get, self.size
         return [get(c) if c in self.char_id else n + ord(c) for c in word]
 
-    def merges(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The pieces that adjacent symbols would make, or size."""
-        want = (left << 32) | right
-        at = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
-        return np.where(self.key[at] == want, self.merged[at], self.size)
-
     @staticmethod
     def spot(start: np.ndarray, piece: np.ndarray) -> np.ndarray:
         return mix((np.asarray(start, np.uint64) << np.uint64(32)) ^ np.asarray(piece, np.uint64))
@@ -129,33 +134,29 @@ class Pieces:
         starts, pieces = zip(*found, strict=True) if found else ((), ())
         return np.array(starts, np.int64), np.array(pieces, np.int64)
 
-    def all_candidates(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """spot() of every candidate of all words, word by word, and each word's number of them.
-
-        Characters are compared by 64-bit numbers; a false candidate would only take a bit of a mask.
-        """
+    def all_candidates(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, piece) of every piece in every word, word by word in the agenda's order, and each word's number of them."""
         n = np.fromiter(map(len, words), np.int64, len(words))
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.uint64)
-        owner = np.repeat(np.arange(len(words)), n)
-        start = np.arange(len(codes)) - np.repeat(np.cumsum(n) - n, n)
-        left = np.repeat(n, n) - start
-        who, where, what = [], [], []
-        for size, (keys, ids) in self.by_length.items():
-            at = np.flatnonzero(left >= size)
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
+        owner, first, stop = (np.repeat(x, n) for x in (np.arange(len(words)), np.cumsum(n) - n, np.cumsum(n)))
+        at, node = np.arange(len(codes)), self.first[codes]
+        where, what = [at[:0]], [at[:0]]
+        for size, (keys, nodes, ids) in enumerate(self.levels, 2):
+            more = (node >= 0) & (at + size <= stop[at])
+            at = at[more]
             if not len(at):
                 break
-            if len(keys):
-                h = windows(codes, size)[at]
-                spot = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                hit = keys[spot] == h
-                who.append(owner[at[hit]])
-                where.append(start[at[hit]])
-                what.append(ids[spot[hit]])
-        if not who:
-            return np.zeros(0, np.uint64), np.zeros(len(words), np.int64)
-        who, where, what = map(np.concatenate, (who, where, what))
-        order = np.argsort(who, kind="stable")
-        return self.spot(where[order], what[order]), np.bincount(who, minlength=len(words))
+            want = node[more] << 21 | codes[at + size - 1]
+            spot = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            hit = keys[spot] == want
+            at, spot = at[hit], spot[hit]
+            node, piece = nodes[spot], ids[spot]
+            where.append(at[piece >= 0])
+            what.append(piece[piece >= 0])
+        at, piece = np.concatenate(where), np.concatenate(what)
+        start = (at - first[at]) if len(at) else at
+        order = np.lexsort((start, self.rank[piece], owner[at]))
+        return start[order], piece[order], np.bincount(owner[at], minlength=len(words))
 
     def agenda(self, word: str, key: int, rate: float) -> list[int]:
         """Merge one word with a heap of candidates."""
@@ -187,110 +188,79 @@ class Pieces:
             propose(i)
         return [s for s in sym if s >= 0]
 
-    def in_step(self, words: list[str], keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-        """Merge words of similar length together: symbols as a matrix, -1 after the end, and their numbers."""
-        n = np.array([len(w) for w in words])
-        width = int(n.max())
-        sym = np.full((len(words), width + 1), -1, np.int64)
-        sym[np.arange(width + 1) < n[:, None]] = self.symbols("".join(words))
-        start = np.tile(np.arange(width + 1), (len(words), 1))
-
-        def candidates(row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            left, right = sym[row, col], sym[row, col + 1]
-            piece = np.where((left >= 0) & (right >= 0), self.merges(left, right), self.size)
-            rank = self.rank[piece]
-            if rate:
-                live = np.flatnonzero(rank < NONE)
-                out = self.dropped(keys[row[live]], start[row[live], col[live]], piece[live], rate)
-                rank[live[out]] = NONE
-            return rank, piece
-
-        rows, cols = np.divmod(np.arange(len(words) * width), width)
-        rank, piece = (x.reshape(len(words), width) for x in candidates(rows, cols))
-        live = np.arange(len(words))
-        spot = np.arange(width + 1)
-        while len(live):
-            at = rank[live].argmin(1)
-            some = rank[live, at] < NONE
-            live, at = live[some], at[some]
-            if not len(live):
-                break
-            sym[live, at] = piece[live, at]
-            # close the gap after the merged place
-            take = np.minimum(spot + (spot > at[:, None]), width)
-            for m in (sym, start):
-                m[live] = np.take_along_axis(m[live], take, 1)
-            sym[live, width] = -1
-            for m, fill in ((rank, NONE), (piece, self.size)):
-                m[live] = np.take_along_axis(m[live], np.minimum(take[:, :width], width - 1), 1)
-                m[live, width - 1] = fill
-            n[live] -= 1
-            for shift in (-1, 0):
-                ok = (at + shift >= 0) & (at + shift < width)
-                r, c = live[ok], at[ok] + shift
-                rank[r, c], piece[r, c] = candidates(r, c)
-        return sym, n
-
-    def encode_words(self, words: list[str], keys: np.ndarray, rate: float, alone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces of all words, one after another, and each word's number of pieces. Long ones and those marked alone go by the agenda."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        if alone is not None:
-            lengths[alone] = LONG + 1
-        counts = np.zeros(len(words), np.int64)
-        parts: list[tuple[np.ndarray, np.ndarray]] = []  # (word of each piece, piece)
-        at = 0
-        for most in (4, 8, 12, 16, 24, 32, LONG):
-            chosen = np.flatnonzero((lengths > at) & (lengths <= most))
-            at = most
-            for i in range(0, len(chosen), 20_000):
-                some = chosen[i : i + 20_000]
-                sym, n = self.in_step([words[j] for j in some.tolist()], keys[some], rate)
-                parts.append((np.repeat(some, n), sym[np.arange(sym.shape[1]) < n[:, None]]))
-        for j in np.flatnonzero(lengths > LONG).tolist():
-            got = np.array(self.agenda(words[j], int(keys[j]), rate), np.int64)
-            parts.append((np.full(len(got), j), got))
-        if not parts:
-            return np.zeros(0, np.int64), counts
-        owner, pieces = (np.concatenate(x) for x in zip(*parts, strict=True))
-        if (outside := pieces >= self.size).any():
-            codes, place = np.unique(pieces[outside], return_inverse=True)
-            table = [[self.byte_id[b] for b in chr(c - self.size).encode()] for c in codes.tolist()]
-            width = np.ones(len(pieces), np.int64)
-            width[outside] = np.array([len(t) for t in table])[place]
-            owner, out = np.repeat(owner, width), np.repeat(pieces, width)
-            spots = np.repeat(outside, width)
-            out[spots] = np.concatenate([table[p] for p in place.tolist()])
-            pieces = out
-        order = np.argsort(owner, kind="stable")
-        np.add.at(counts, owner, 1)
-        return pieces[order], counts
+    def in_step(self, word: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of numbered words under masks of drops, one word after another, and each word's number of pieces."""
+        one = np.uint64(1)
+        sym, n = self.letters.take(word)
+        first = np.cumsum(n) - n
+        bounds = (one << (n + 1).astype(np.uint64)) - one
+        live = np.flatnonzero(self.agendas.sizes[word])
+        origin = self.agendas.starts[word[live]]
+        stop = origin + self.agendas.sizes[word[live]]
+        state = [live, origin, origin.copy(), stop, bounds[live], mask[live], first[live]]
+        while len(state[0]):
+            live, origin, at, stop, have, drops, place = state
+            for _ in range(4):
+                spot = np.minimum(at, stop - 1)  # past its end, a word's last candidate is looked at again, in vain
+                entry = self.agendas.flat[spot]
+                start = entry >> 6 & 63
+                left, right = one << start.astype(np.uint64), one << (entry & 63).astype(np.uint64)
+                between = (right - one) & ~((left << one) - one)
+                inside = have & between
+                ok = ((have & (left | right)) == (left | right)) & (inside != 0) & (inside & (inside - one) == 0)
+                ok &= drops >> (spot - origin).astype(np.uint64) & one == 0
+                have = np.where(ok, have & ~between, have)
+                sym[place[ok] + start[ok]] = entry[ok] >> 13
+                at = np.where(ok & (entry >> 12 & 1 == 1), origin, at + 1)
+            done = at >= stop
+            bounds[live[done]] = have[done]
+            state = [x[~done] for x in (live, origin, at, stop, have, drops, place)]
+        inner = np.arange(len(sym)) - np.repeat(first, n)
+        kept = np.repeat(bounds, n) >> inner.astype(np.uint64) & one == 1
+        return sym[kept], np.add.reduceat(kept, first, dtype=np.int64) if len(word) else n
+
+    def in_bytes(self, pieces: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters outside the vocabulary become byte pieces."""
+        outside = pieces >= self.size
+        if not outside.any():
+            return pieces, counts
+        codes, place = np.unique(pieces[outside], return_inverse=True)
+        table = [[self.byte_id[b] for b in chr(c - self.size).encode()] for c in codes.tolist()]
+        width = np.ones(len(pieces), np.int64)
+        width[outside] = np.array([len(t) for t in table])[place]
+        out = np.repeat(pieces, width)
+        out[np.repeat(outside, width)] = np.concatenate([table[p] for p in place.tolist()])
+        ends = np.concatenate([[0], np.cumsum(width)])[np.concatenate([[0], np.cumsum(counts)])]
+        return out, np.diff(ends)
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode()[1:]
 
     def forget(self) -> None:
-        """Empty the tables of words and of merged words."""
-        self.number: dict[str, int] = {}
-        self.names: list[str] = []
-        self.masked = Rows(bool)  # whose size says whether a word's drops fit a mask
-        self.spots = Rows(np.uint64)  # each word's candidates, hashed
-        self.known: dict[tuple[int, int], int] = {}
-        self.merged_words = Rows(np.int32)
+        """Empty the tables of words."""
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.letters = Rows(np.int32)  # each word's symbols; none if it goes by the heap
+        self.spots = Rows(np.uint64)  # each word's candidates, hashed, in the agenda's order
+        self.agendas = Rows(np.int64)  # and packed: piece, whether it rewinds, start, end
 
     def numbered(self, words: list[str]) -> np.ndarray:
         """Numbers of words; new ones get their candidates."""
-        number = self.number
-        new = [w for w in dict.fromkeys(words) if w not in number]
-        for w in new:
-            number[w] = len(number)
-        self.names += new
+        before = len(self.number)
+        out = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        new = list(islice(self.number, before, None))
         for at in range(0, len(new), 20_000):
             some = [w if len(w) <= LONG else "" for w in new[at : at + 20_000]]
-            spots, n = self.all_candidates(some)
-            ok = (n < 64) & (np.fromiter(map(len, some), np.int64, len(some)) > 0)
-            self.spots.extend(spots[np.repeat(ok, n)], np.where(ok, n, 0))
-            self.masked.extend(np.zeros(0, bool), ok.astype(np.int64))
-        return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            start, piece, n = self.all_candidates(some)
+            fits = n < 64
+            some = [w if ok else "" for w, ok in zip(some, fits.tolist(), strict=True)]
+            own = np.repeat(fits, n)
+            start, piece, n = start[own], piece[own], np.where(fits, n, 0)
+            self.spots.extend(self.spot(start, piece), n)
+            self.agendas.extend(piece << 13 | self.rewinds[piece].astype(np.int64) << 12 | start << 6 | start + self.lengths[piece], n)
+            codes = np.frombuffer("".join(some).encode("utf-32-le"), "<u4")
+            self.letters.extend(self.code_id[codes], np.fromiter(map(len, some), np.int64, len(some)))
+        return out
 
     def masks(self, words: np.ndarray, keys: np.ndarray, rate: float) -> np.ndarray:
         """Which candidates each occurrence drops, a bit each."""
@@ -298,46 +268,48 @@ class Pieces:
         if not rate:
             return out
         flat, n = self.spots.take(words)
-        lost = mix(np.repeat(keys, n) ^ flat) < self.limit(rate)
         upto = np.cumsum(n)
-        place = np.arange(len(flat)) - np.repeat(upto - n, n)
-        some = np.flatnonzero(n)
-        if len(some):
-            out[some] = np.bitwise_or.reduceat(lost.astype(np.uint64) << place.astype(np.uint64), (upto - n)[some])
+        lost = np.flatnonzero(mix(np.repeat(keys, n) ^ flat) < self.limit(rate))
+        owner = np.searchsorted(upto, lost, "right")
+        bits = np.uint64(1) << (lost - (upto - n)[owner]).astype(np.uint64)
+        if len(lost):
+            new = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            out[owner[new]] = np.bitwise_or.reduceat(bits, new)
         return out
 
     def encode(self, texts: list[str | None], doc_keys: np.ndarray, rate: float, seed: int, remembered: int = 300_000) -> list[np.ndarray]:
         """The pieces of each text."""
-        if len(self.known) > remembered or len(self.number) > remembered:
+        if len(self.number) > remembered:
             self.forget()
         found = [self.words.findall(f" {t}") if t else [] for t in texts]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        word = self.numbered([w for ws in found for w in ws])
-        if not len(word):
+        every = list(chain.from_iterable(found))
+        if not every:
             return [np.zeros(0, np.int32)] * len(texts)
+        word = self.numbered(every)
         first = np.cumsum(sizes) - sizes
         place = (np.arange(len(word)) - np.repeat(first, sizes)).astype(np.uint64)
         keys = mix(mix(np.repeat(doc_keys, sizes) ^ np.uint64(seed % 2**64)) + place)
         mask = self.masks(word, keys, rate)
-        # words without a mask are told apart by their key, if at all
-        bare = self.masked.sizes[word] == 0 if rate else np.zeros(len(word), bool)
-        mask[bare] = keys[bare]
+        by_heap = self.letters.sizes[word] == 0
+        if rate:
+            mask[by_heap] = keys[by_heap]
         order = np.lexsort((mask, word))
-        new = np.concatenate([[True], (word[order][1:] != word[order][:-1]) | (mask[order][1:] != mask[order][:-1])])
-        back = np.empty(len(word), np.int64)
-        back[order] = np.cumsum(new) - 1
+        w, m = word[order], mask[order]
+        new = np.concatenate([[True], (w[1:] != w[:-1]) | (m[1:] != m[:-1])])
+        pair = np.empty(len(word), np.int64)
+        pair[order] = np.cumsum(new) - 1
         one = order[new]  # an occurrence of each distinct pair
-        at = np.empty(len(one), np.int64)
-        pairs = list(zip(word[one].tolist(), mask[one].tolist(), strict=True))
-        missing = [i for i, pair in enumerate(pairs) if pair not in self.known]
-        if missing:
-            lacking = one[missing]
-            pieces, counts = self.encode_words([self.names[i] for i in word[lacking].tolist()], keys[lacking], rate, bare[lacking])
-            self.known.update(zip([pairs[i] for i in missing], self.merged_words.extend(pieces, counts), strict=True))
-        at[:] = [self.known[pair] for pair in pairs]
-        flat, n = self.merged_words.take(at[back])
-        for i in np.flatnonzero(bare[one]).tolist():  # of no use to another batch
-            del self.known[pairs[i]]
+        merged, number = Rows(np.int32), np.empty(len(one), np.int64)
+        heaped = by_heap[one]
+        steps = np.flatnonzero(~heaped)
+        for at in range(0, len(steps), 50_000):
+            some = one[steps[at : at + 50_000]]
+            number[steps[at : at + 50_000]] = merged.extend(*self.in_bytes(*self.in_step(word[some], mask[some])))
+        for i in np.flatnonzero(heaped).tolist():
+            got = np.array(self.agenda(every[one[i]], int(keys[one[i]]), rate), np.int32)
+            number[i] = merged.extend(*self.in_bytes(got, np.array([len(got)])))[0]
+        flat, n = merged.take(number[pair])
         ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([first, [len(word)]])]
         return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 

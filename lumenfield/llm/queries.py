@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotrain, hnsw, host_rules, line_dedup, merge_dropout, mixing, ngram_lm, pii, simhash, token_counts
+from . import code_books, cotrain, hnsw, host_rules, line_dedup, merge_dropout, mixing, ngram_lm, pii, simhash, token_counts
 from .util import table
 
 #: Folder with the public tokenizers' vocabulary files, where the session doesn't set spark.lumenfield.tokenizers.
@@ -58,9 +58,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary(spark, "byte_bpe_50k.tiktoken"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_books.code_digest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.MIX_SQL, "op6_host_rules": host_rules.HOST_RULES_SQL}
+    return {"op1_mixing": mixing.MIX_SQL, "op6_host_rules": host_rules.HOST_RULES_SQL, "op11_vector_codes": code_books.CODE_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import code_books, cotrain, hnsw, host_rules, line_dedup, merge_dropout, mixing, ngram_lm, pii, simhash, spelling, token_counts
+from . import code_books, cotrain, hnsw, host_rules, line_dedup, merge_dropout, mixing, ngram_lm, pii, secret_scan, simhash, spelling, token_counts
 from .util import table
 
 #: Folder with the public tokenizers' vocabulary files, where the session doesn't set spark.lumenfield.tokenizers.
@@ -66,6 +66,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TILE = 512
+#: Tiles that statistics are sampled from, and for a first view.
+SAMPLED, SAMPLED_FIRST = 5, 2
 
 
 def grid(samples: int, lines: int, size: int = TILE) -> tuple[int, int]:

@@ -55,13 +55,13 @@ class Cube:
         options = {"header": header, "data": data} | options
         return cls(parse(open_bytes(header).read_all().decode("utf-8", "replace")), spark.read.format("cube").options(**options).load(), options=options)
 
-    def cells(self, bands: list[int] | None = None, y0: int = 0, y1: int | None = None) -> DataFrame:
+    def cells(self, bands: list[int] | None = None, y0: int = 0, y1: int | None = None, **options: str) -> DataFrame:
         """Pixels of some bands (all if None) and lines. From files, only those are read."""
         y1 = self.header.lines if y1 is None else min(y1, self.header.lines)
         if self.options is not None:
             if y0 >= y1 or bands == []:
                 return self.pixels.where(F.lit(False))
-            own = self.options | {"y0": str(y0), "y1": str(y1)} | ({} if bands is None else {"bands": ",".join(map(str, sorted(set(bands))))})
+            own = self.options | options | {"y0": str(y0), "y1": str(y1)} | ({} if bands is None else {"bands": ",".join(map(str, sorted(set(bands))))})
             return self.pixels.sparkSession.read.format("cube").options(**own).load()
         p = self.pixels if bands is None else self.pixels.where(F.col("band").isin(sorted(set(bands))))
         return p if (y0, y1) == (0, self.header.lines) else p.where((F.col("y") >= y0) & (F.col("y") < y1))
@@ -132,15 +132,40 @@ class Cube:
 
     # -- statistics and composites ---------------------------------------------------------------
 
-    def band_stats(self, bands: list[int] | None = None, count: int = 5, size: int = tiles.TILE) -> DataFrame:
-        """Stretch limits of bands (all if None) from the fixed sample of tiles."""
+    def band_stats(self, bands: list[int] | None = None, count: int = tiles.SAMPLED, size: int = tiles.TILE, permissive: bool = False) -> DataFrame:
+        """Stretch limits of bands (all if None) from the fixed sample of tiles.
+
+        Permissive: a tile of which something can't be read is passed over, and a band whose tiles
+        all are has no row; failures() tells why.
+        """
         sampled = tiles.sample_tiles(self.header.samples, self.header.lines, size, count)
         if self.options is None:
             return stats.band_stats(self.cells(bands), sampled, size)
         # a scan a row of tiles reads the lines of its tiles and no others
-        rows = sorted({ty for _, ty in sampled})
-        scans = [stats.in_tiles(self.cells(bands, ty * size, (ty + 1) * size), [t for t in sampled if t[1] == ty], size) for ty in rows]
-        return stats.envelope(functools.reduce(DataFrame.unionByName, scans))
+        scans = [stats.in_tiles(scan, [t for t in sampled if t[1] == ty], size) for ty, scan in self.sampled_rows(bands, sampled, size, permissive)]
+        limits = stats.chunk_limits(functools.reduce(DataFrame.unionByName, scans))
+        if permissive:
+            # a row a broken strip of the sample, against a row a band and tile
+            broken = self.failures(bands, count, size).select(F.col("ty").alias("broken_ty"), F.col("band").alias("broken_band"))
+            limits = limits.join(F.broadcast(broken), (F.col("ty") == F.col("broken_ty")) & (F.col("broken_band").isNull() | (F.col("band") == F.col("broken_band"))), "left_anti")
+        return stats.envelope_of(limits)
+
+    def first_stats(self, bands: list[int], size: int = tiles.TILE) -> DataFrame:
+        """Limits for a first view: from the first tiles of the sample, broken ones passed over."""
+        return self.band_stats(bands, tiles.SAMPLED_FIRST, size, permissive=self.options is not None)
+
+    def failures(self, bands: list[int] | None = None, count: int = tiles.SAMPLED, size: int = tiles.TILE) -> DataFrame:
+        """(ty, y, band, error) of each strip of the sampled tiles' lines that can't be read; band is null for all bands."""
+        if self.options is None:
+            raise ValueError("only a cube in files can't be read")
+        sampled = tiles.sample_tiles(self.header.samples, self.header.lines, size, count)
+        scans = [scan.where("error is not null").select(F.lit(ty).alias("ty"), "y", "band", "error") for ty, scan in self.sampled_rows(bands, sampled, size, True)]
+        return functools.reduce(DataFrame.unionByName, scans)
+
+    def sampled_rows(self, bands: list[int] | None, sampled: list[tuple[int, int]], size: int, permissive: bool) -> list[tuple[int, DataFrame]]:
+        """Each row of sampled tiles and a scan of its lines."""
+        more = {"mode": "permissive"} if permissive else {}
+        return [(ty, self.cells(bands, ty * size, (ty + 1) * size, **more)) for ty in sorted({ty for _, ty in sampled})]
 
     def keep_stats(self, bands: list[int], **options) -> dict[int, tuple[float, float] | None]:
         """Limits of bands on the driver (two numbers a band), computing only those not kept yet."""

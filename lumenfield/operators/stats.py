@@ -36,7 +36,12 @@ def band_stats(pixels: DataFrame, tiles: list[tuple[int, int]], size: int) -> Da
 
 def envelope(pixels: DataFrame) -> DataFrame:
     """(band, min, max) over the tiles of pixels with tx and ty."""
-    chunks = chunk_limits(pixels).where(is_finite(F.col("low")) & is_finite(F.col("high")))
+    return envelope_of(chunk_limits(pixels))
+
+
+def envelope_of(chunks: DataFrame) -> DataFrame:
+    """(band, min, max) over the limits (band, tx, ty, low, high) of tiles; those that aren't finite are passed over."""
+    chunks = chunks.where(is_finite(F.col("low")) & is_finite(F.col("high")))
     return chunks.groupBy("band").agg(F.min("low").alias("min"), F.max("high").alias("max"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import urllib.error
 import urllib.request
@@ -66,6 +67,63 @@ class LocalBytes:
         return self.read(0, self.size())
 
 
+@dataclass(frozen=True)
+class Part:
+    """`count` ranges of a payload, each of `length` bytes and `step` apart from `start` on, one after another in a file."""
+
+    path: str
+    at: int
+    start: int
+    length: int
+    step: int = 0
+    count: int = 1
+
+    def pieces(self, start: int, end: int) -> list[tuple[int, int, int]]:
+        """Of a range of the payload what stands in this part: (place in the range, place in the file, bytes)."""
+        step = self.step or self.length
+        low = max(0, (start - self.start - self.length) // step + 1)
+        out = []
+        for i in range(low, self.count):
+            a = self.start + i * step
+            if a >= end:
+                break
+            b, c = max(a, start), min(a + self.length, end)
+            if b < c:
+                out.append((b - start, self.at + i * self.length + b - a, c - b))
+        return out
+
+
+@dataclass(frozen=True)
+class PartBytes:
+    """A payload in part files, as a manifest tells: where the file system can't write in place. What no part holds is zero."""
+
+    path: str
+    kind: str = "parts"
+    known: tuple[int, tuple[Part, ...]] | None = field(default=None, repr=False, compare=False)
+
+    def manifest(self) -> tuple[int, tuple[Part, ...]]:
+        if self.known is None:
+            m = json.loads(LocalBytes(self.path).read_all())
+            folder = self.path.rpartition("/")[0]
+            object.__setattr__(self, "known", (m["size"], tuple(Part(f"{folder}/{p[0]}", *p[1:]) for p in m["parts"])))
+        return self.known
+
+    def size(self) -> int:
+        return self.manifest()[0]
+
+    def read(self, start: int, end: int) -> bytes:
+        size, parts = self.manifest()
+        checked(start, end, size)
+        out = bytearray(end - start)
+        for part in parts:
+            for place, at, n in part.pieces(start, end):
+                out[place : place + n] = LocalBytes(part.path).read(at, at + n)
+        return bytes(out)
+
+    def read_all(self) -> bytes:
+        return self.read(0, self.size())
+
+
 @dataclass(frozen=True)
 class HttpBytes:
     """An object read by Range requests. A reply that isn't partial is an error, so a server without ranges can't send the whole object for each task."""
@@ -115,10 +173,39 @@ class HttpBytes:
         return self.whole
 
 
-def open_bytes(place: str, headers: dict[str, str] | None = None) -> LocalBytes | HttpBytes:
+Bytes = LocalBytes | PartBytes | HttpBytes
+
+
+def open_bytes(place: str, headers: dict[str, str] | None = None) -> Bytes:
     if re.match(r"https?://", place):
         return HttpBytes(place, clean_headers(headers) or {})
-    return LocalBytes(place)
+    return PartBytes(place) if place.endswith(".parts") else LocalBytes(place)
+
+
+def joined(ranges: list[tuple[int, int]], gap: int) -> list[list[int]]:
+    """Indices of ranges in order of their start, in groups that one read takes: a gap of at most `gap` bytes is read over."""
+    out: list[list[int]] = []
+    end = None
+    for i in sorted(range(len(ranges)), key=lambda i: ranges[i]):
+        if end is None or ranges[i][0] > end + gap:
+            out.append([])
+            end = ranges[i][1]
+        out[-1].append(i)
+        end = max(end, ranges[i][1])
+    return out
+
+
+def packed(costs: list[int], target: int) -> list[list[int]]:
+    """Indices in their order, in groups whose costs come to the target at most; one alone may exceed it."""
+    out: list[list[int]] = []
+    held = 0
+    for i, cost in enumerate(costs):
+        if not out or held + cost > target:
+            out.append([])
+            held = 0
+        out[-1].append(i)
+        held += cost
+    return out
 
 
 def load_options(source: dict) -> dict[str, str]:

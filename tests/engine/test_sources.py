@@ -8,7 +8,7 @@ import pytest
 from lumenfield.operators.cube import Cube
 from lumenfield.sources import header as hd
 from lumenfield.sources import ranges, synthetic
-from lumenfield.sources.envi import CubeDataSource, CubeReader, Strip, decode
+from lumenfield.sources.envi import CubeDataSource, CubeReader, Strips, decode
 
 MINI = "ENVI\n; note\nSamples = 3\nLINES=2\nbands = 4\ndata type = 12\ninterleave = BSQ\n"
 
@@ -63,12 +63,12 @@ def test_filters_leave_out_strips(tmp_path):
 
     h = synthetic.header()
     reader = CubeReader(h, ranges.LocalBytes("none"), None, 8)
-    assert len(reader.partitions()) == 32 * 6
+    assert len(reader.strips()) == 32 * 6
     reader = CubeReader(h, ranges.LocalBytes("none"), [26, 8], 8, (8, 16))
-    assert [(p.band, p.y0, p.y1) for p in reader.partitions()] == [(8, 8, 16), (26, 8, 16)]
-    assert CubeReader(h, ranges.LocalBytes("none"), None, 8, (60, 99)).partitions() == [Strip(0, 0, None, 0, 0)]
+    assert [(p.band, p.y0, p.y1) for p in reader.strips()] == [(8, 8, 16), (26, 8, 16)]
+    assert CubeReader(h, ranges.LocalBytes("none"), None, 8, (60, 99)).partitions() == [Strips([])]
     big = CubeReader(hd.Header(2, 2, 1, "bsq", "u16", header_offset=2**32 + 128), ranges.LocalBytes("none"), None, None)
-    assert (big.partitions()[0].start, big.partitions()[0].end) == (2**32 + 128, 2**32 + 136)
+    assert (big.strips()[0].start, big.strips()[0].end) == (2**32 + 128, 2**32 + 136)
 
 
 def test_complex_cells_are_refused():

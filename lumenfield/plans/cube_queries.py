@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bands, geo, stretch, text, tiles, viewport
-from ..operators import caching, cube, stats
+from ..operators import caching, chunks, cube, stats
 from . import viewing
 from .registry import query
-from .standin import BANDS, DIM, MAP_INFO, PX, SAMPLES, SIZE, file_cube, pixels, table, wide
+from .standin import BANDS, DIM, FILE_PX, PX, SAMPLES, SIZE, file_cube, pixels, table, wide
 from .standin import cube as make_cube
 
 D = "double"
@@ -111,10 +111,17 @@ def j02(spark, d):
     return make_cube(spark, d).spectrum(2, 1).select("band", F.when(stretch.is_finite(at), at).alias("wavelength"), F.col("value").cast(D).alias("value"))
 
 
-@query("j03_missing_stats", "SELECT false AS ready, '8,26' AS missing")
+#: What is cached of the bands: limits of some, of others a null.
+CACHED_SQL = f"{PX}, ch AS (SELECT band, CASE WHEN band % 3 = 0 THEN max(value) END AS min FROM px WHERE band % 2 = 0 GROUP BY band)"
+
+
+def cached_bands(spark, d) -> DataFrame:
+    return pixels(spark, d).where("band % 2 = 0").groupBy("band").agg(F.max(F.when(F.col("band") % 3 == 0, F.col("value"))).alias("min"))
+
+
+@query("j03_missing_stats", f"WITH {CACHED_SQL} SELECT count(*) = 0 AS ready, string_agg(band, ',' ORDER BY band) AS missing FROM (SELECT DISTINCT band FROM px) WHERE band NOT IN (SELECT band FROM ch WHERE min IS NOT NULL)")
 def j03(spark, d):
-    cached = spark.createDataFrame([(16, 0.0), (26, None)], "band int, min double")
-    plan = caching.stats_plan(spark.createDataFrame([(26,), (16,), (8,), (8,)], "band int"), cached)
+    plan = caching.stats_plan(pixels(spark, d).select("band"), cached_bands(spark, d))
     return plan.select("ready", F.array_join(F.col("missing").cast("array<string>"), ",").alias("missing"))
 
 
@@ -294,11 +301,12 @@ def f28(spark, d):
     return table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), i.alias("i")).select("id", F.col("i.projection_name").alias("projection"), F.col("i.pixel_size.x").alias("size_x"), "i.zone", "i.hemisphere", "i.datum", "i.units")
 
 
-@query("f36_crs_summary", "SELECT 'UTM, Zone 50 N, WGS-84, Meters' AS whole, 'coordinate system string present' AS crs, '--' AS none")
+@query("f36_crs_summary", """SELECT n_nationkey AS id, CASE WHEN n_nationkey % 3 = 0 THEN 'UTM, Zone ' || n_nationkey + 1 || CASE WHEN n_nationkey % 2 = 0 THEN ' N' ELSE ' S' END || ', WGS-84, Meters' WHEN n_nationkey % 3 = 1 THEN 'coordinate system string present' ELSE '--' END AS summary FROM nation""")
 def f36(spark, d):
-    read = spark.range(1).select(*(geo.map_info(F.when(F.col("id") >= 0, t)).alias(n) for t, n in ((MAP_INFO, "info"), ("UTM", "none"))))
-    info, none = F.col("info"), F.col("none")
-    return read.select(geo.crs_summary(info, F.lit(None)).alias("whole"), geo.crs_summary(none, F.lit("PROJCS[]")).alias("crs"), geo.crs_summary(none, F.lit(None)).alias("none"))
+    n = F.col("n_nationkey")
+    whole = F.concat(F.lit("UTM, 1, 1, 500000, 4100000, 30, 30, "), (n + 1).cast("string"), F.when(n % 2 == 0, ", North").otherwise(", South"), F.lit(", WGS-84, units=Meters"))
+    info = geo.map_info(F.when(n % 3 == 0, whole).otherwise("UTM"))
+    return table(spark, d, "nation").select(n.alias("id"), geo.crs_summary(info, F.when(n % 3 == 1, F.lit("PROJCS[]"))).alias("summary"))
 
 
 @query("f41_spatial_precedence", "SELECT n_nationkey AS id, CASE n_nationkey % 3 WHEN 0 THEN '1.0,2.0,0.0,3.0,0.0,-2.0' WHEN 1 THEN '500000.0,30.0,0.0,4100000.0,0.0,-30.0' END AS affine FROM nation")
@@ -337,11 +345,15 @@ def s17(spark, d):
     return table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), s.alias("s"), e.alias("e"))
 
 
-@query("t02_sample_tiles", """WITH RECURSIVE g AS (SELECT 3 AS mx, 2 AS my), c AS (SELECT unnest(range(1, 8)) AS o, unnest([[0, 0], [mx, my], [mx // 2, my // 2], [mx, 0], [0, my], [mx // 4, my // 4], [mx * 3 // 4, my * 3 // 4]]) AS t FROM g
-UNION ALL SELECT 8 + ty * 4 + tx, [tx::INT, ty::INT] FROM range(0, 4) p(tx), range(0, 3) q(ty)), f AS (SELECT t, min(o) AS o FROM c GROUP BY t)
-SELECT row_number() OVER (ORDER BY o)::INT AS place, t[1]::INT AS tx, t[2]::INT AS ty FROM f QUALIFY place <= 9""")
+@query("t02_sample_tiles", f"""WITH RECURSIVE {DIM}, g AS (SELECT ceil(samples / 8.0)::INT - 1 AS mx, ceil(lines / 8.0)::INT - 1 AS my FROM dim), c AS (SELECT unnest(range(1, 8)) AS o, unnest([[0, 0], [mx, my], [mx // 2, my // 2], [mx, 0], [0, my], [mx // 4, my // 4], [mx * 3 // 4, my * 3 // 4]]) AS t FROM g
+UNION ALL SELECT 8 + ty * (mx + 1) + tx, [tx::INT, ty::INT] FROM g, range(0, mx + 1) p(tx), range(0, my + 1) q(ty)), f AS (SELECT t, min(o) AS o FROM c GROUP BY t),
+r AS (SELECT t, row_number() OVER (ORDER BY o)::INT AS place FROM f QUALIFY place <= 9) SELECT place, t[1]::INT AS tx, t[2]::INT AS ty, count(*) AS n FROM r JOIN embeddings ON vec_id % 25 // 8 = t[1] AND vec_id // 25 // 8 = t[2] GROUP BY ALL""")
 def t02(spark, d):
-    return spark.createDataFrame([(i + 1, *t) for i, t in enumerate(tiles.sample_tiles(25, 20, 8, 9))], "place int, tx int, ty int")
+    c = make_cube(spark, d)
+    order = tiles.sample_tiles(c.header.samples, c.header.lines, SIZE, 9)
+    inside = stats.in_tiles(c.wide, order, SIZE)
+    place = F.array_position(F.array(*(F.struct(F.lit(x).alias("tx"), F.lit(y).alias("ty")) for x, y in order)), F.struct("tx", "ty")).cast("int")
+    return inside.groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n")).withColumn("place", place)
 
 
 VIEW_SQL = """s AS (SELECT o_orderkey, 200 + o_orderkey % 700 AS samples, 100 + o_custkey % 500 AS lines, 1 + o_orderkey % 5 AS scale, (o_custkey % 7 - 3) / 10.0 AS ox, (o_orderkey % 5 - 2) / 10.0 AS oy, o_orderkey % 640 AS cx, o_custkey % 480 AS cy FROM orders),
@@ -421,10 +433,9 @@ def u01(spark, d):
     return table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), join(bands.band_list(t)).alias("listed"), join(bands.unique_bands(parts)).alias("once"), bands.field_key(F.lit("  Default__bands ")).alias("key"))
 
 
-@query("a11_background_stats", "SELECT b::INT AS band, row_number() OVER (ORDER BY b)::INT AS processed, count(*) OVER () AS total, round(row_number() OVER (ORDER BY b) / count(*) OVER () * 100, 6) AS progress FROM range(1, 65) t(b) WHERE b NOT IN (8, 16, 26)")
+@query("a11_background_stats", f"WITH {CACHED_SQL}, w AS (SELECT DISTINCT band FROM px WHERE band NOT IN (SELECT band FROM ch WHERE min IS NOT NULL)) SELECT band, row_number() OVER (ORDER BY band)::INT AS processed, count(*) OVER () AS total, round(row_number() OVER (ORDER BY band) / count(*) OVER () * 100, 6) AS progress FROM w")
 def a11(spark, d):
-    every = spark.range(1, BANDS + 1).select(F.col("id").cast("int").alias("band"))
-    got = viewing.background_stats(every, spark.createDataFrame([(8,), (16,), (26,)], "band int"))
+    got = viewing.background_stats(pixels(spark, d).select("band").distinct(), cached_bands(spark, d).where("min is not null"))
     return got.select("band", "processed", "total", r6(F.col("progress"), "progress"))
 
 
@@ -437,55 +448,85 @@ def f24(spark, d):
     return s.select("band", F.round(cx, 4).alias("cx"), F.round(cy, 4).alias("cy"))
 
 
-@query("s35_synthetic_cube", "SELECT x::INT AS x, y::INT AS y, (b + 1)::INT AS band, ((b + 1) * 100 + (13 * x + 17 * y + 7 * b) % 97)::DOUBLE AS value FROM range(0, 48) p(x), range(0, 48) q(y), range(0, 32) r(b)")
+@query("s35_synthetic_cube", f"WITH {PX} SELECT x, y, band, (band * 100 + (13 * x + 17 * y + 7 * (band - 1)) % 97)::DOUBLE AS value, round(value::DOUBLE, 6) AS beside FROM px")
 def s35(spark, d):
+    """The formula's cube, as large as the table's, beside the table's own values."""
     from ..sources.synthetic import pixels as synthetic
 
-    return synthetic(spark).select("x", "y", "band", F.col("value").cast(D).alias("value"))
-
-
-@query("q04_spectral_profile", "SELECT (b + 1)::INT AS band, ((b + 1) * 100 + (13 * 24 + 17 * 24 + 7 * b) % 97)::DOUBLE AS value FROM range(0, 32) r(b)")
-def q04(spark, d):
-    from ..operators.cube import Cube
-    from ..sources.synthetic import header
-    from ..sources.synthetic import pixels as synthetic
-
-    return Cube(header(), synthetic(spark)).spectrum(24, 24).select("band", F.col("value").cast(D).alias("value"))
+    h = make_cube(spark, d).header
+    made = synthetic(spark, h.samples, h.lines, h.bands).select("x", "y", "band", F.col("value").cast(D).alias("value"))
+    return made.join(pixels(spark, d).select("x", "y", "band", r6(F.col("value"), "beside")), ["x", "y", "band"])
 
 
 # ---- cubes in files ------------------------------------------------------------------------------
 
-FILE_PX = "px AS (SELECT x::INT AS x, y::INT AS y, b::INT AS band, (b * 100 + (13 * x + 17 * y + 7 * (b - 1)) % 97)::FLOAT AS value FROM range(48) p(x), range(48) q(y), range(1, 33) r(b))"
-FILE_STATS = f"{FILE_PX}, ch AS (SELECT band, x // 16 AS tx, y // 16 AS ty, avg(value::DOUBLE) AS m, stddev_pop(value::DOUBLE) AS sd FROM px GROUP BY ALL), st AS (SELECT band, round(min(m - 2 * sd), 6) AS min, round(max(m + 2 * sd), 6) AS max FROM ch WHERE (tx, ty) IN ((0, 0), (2, 2), (1, 1), (2, 0), (0, 2)) GROUP BY band)"
+FILE_STATS = f"""{FILE_PX}, g AS (SELECT 3 AS mx, ceil(lines / 8.0)::INT - 1 AS my, lines FROM fd), t AS (SELECT DISTINCT unnest([[0, 0], [mx, my], [mx // 2, my // 2], [mx, 0], [0, my]]) AS t FROM g),
+ch AS (SELECT band, t, avg(value::DOUBLE) AS m, stddev_pop(value::DOUBLE) AS sd FROM px JOIN t ON x // 8 = t[1] AND y // 8 = t[2] GROUP BY ALL), st AS (SELECT band, round(min(m - 2 * sd), 6) AS min, round(max(m + 2 * sd), 6) AS max FROM ch GROUP BY band)"""
 
 
 def register_files(layout: str) -> None:
-    """Queries that read a cube's bytes in one layout: cells, a composite's tile, a pixel, statistics."""
+    """Queries that read the cube's bytes in one layout: cells, a composite's tile, a pixel, statistics, chunks."""
 
     @query(f"s18_file_cells_{layout}", f"WITH {FILE_PX} SELECT x, y, band, value::DOUBLE AS value FROM px")
     def cells(spark, d):
-        return file_cube(spark, layout).cells().select("x", "y", "band", F.col("value").cast(D).alias("value"))
+        return file_cube(spark, d, layout).cells().select("x", "y", "band", F.col("value").cast(D).alias("value"))
 
-    @query(f"q01_file_tile_{layout}", f"""WITH {FILE_STATS}, n AS (SELECT x, y, band, least(greatest((value - min::FLOAT) / greatest(max::FLOAT - min::FLOAT, 1e-9::FLOAT), 0::FLOAT), 1::FLOAT)::FLOAT AS t FROM px JOIN st USING (band) WHERE x // 16 = 1 AND y // 16 = 2)
+    @query(f"q01_file_tile_{layout}", f"""WITH {FILE_STATS}, n AS (SELECT x, y, band, least(greatest((value - min::FLOAT) / greatest(max::FLOAT - min::FLOAT, 1e-9::FLOAT), 0::FLOAT), 1::FLOAT)::FLOAT AS t FROM px JOIN st USING (band) WHERE x // 8 = 1 AND y // 8 = 0)
 SELECT x, y, max(floor(t::DOUBLE * 255 + 0.5)) FILTER (band = 26)::INT AS r, max(floor(t::DOUBLE * 255 + 0.5)) FILTER (band = 16)::INT AS g, max(floor(t::DOUBLE * 255 + 0.5)) FILTER (band = 8)::INT AS b, 255 AS a FROM n GROUP BY x, y""")
     def tile(spark, d):
-        c = file_cube(spark, layout)
-        c.stored = {b: (round(lo, 6), round(hi, 6)) for b, (lo, hi) in c.keep_stats([26, 16, 8], size=16).items()}
-        return c.composite(26, 16, 8, (1, 2), 16)
+        c = file_cube(spark, d, layout)
+        c.stored = {b: (round(lo, 6), round(hi, 6)) for b, (lo, hi) in c.keep_stats([26, 16, 8], size=SIZE).items()}
+        return c.composite(26, 16, 8, (1, 0), SIZE)
 
-    @query(f"q02_file_pixel_{layout}", f"WITH {FILE_PX} SELECT band, (390 + 10 * band)::DOUBLE AS wavelength, value::DOUBLE AS value FROM px WHERE x = 24 AND y = 33")
+    @query(f"q02_file_pixel_{layout}", f"WITH {FILE_PX} SELECT band, (390 + 10 * band)::DOUBLE AS wavelength, value::DOUBLE AS value FROM px WHERE x = 7 AND y = 5")
     def pixel(spark, d):
-        return file_cube(spark, layout).profile(24, 33).select("band", "wavelength", F.col("value").cast(D).alias("value"))
+        return file_cube(spark, d, layout).profile(7, 5).select("band", "wavelength", F.col("value").cast(D).alias("value"))
 
     @query(f"q03_file_stats_{layout}", f"WITH {FILE_STATS} SELECT band, min, max FROM st")
     def file_stats(spark, d):
-        return file_cube(spark, layout).band_stats(size=16).select("band", r6(F.col("min"), "min"), r6(F.col("max"), "max"))
+        return file_cube(spark, d, layout).band_stats(size=SIZE).select("band", r6(F.col("min"), "min"), r6(F.col("max"), "max"))
+
+    @query(f"q04_chunk_profile_{layout}", f"WITH {FILE_PX} SELECT band, value::DOUBLE AS value FROM px WHERE x = 11 AND y = 4")
+    def chunk_profile(spark, d):
+        c = file_cube(spark, d, layout)
+        return chunks.chunk_profile(chunks.byte_chunks(spark, c.options["data"], 3000), c.header, 11, 4).select("band", F.col("value").cast(D).alias("value"))
+
+    @query(f"s25_chunk_rgb_{layout}", f"WITH {FILE_PX} SELECT x, y, max(value) FILTER (band = 26)::DOUBLE AS r, max(value) FILTER (band = 16)::DOUBLE AS g, max(value) FILTER (band = 8)::DOUBLE AS b FROM px GROUP BY x, y")
+    def chunk_rgb(spark, d):
+        c = file_cube(spark, d, layout)
+        return chunks.chunk_rgb(chunks.byte_chunks(spark, c.options["data"], 3000), c.header, 26, 16, 8).select("x", "y", *(F.col(n).cast(D).alias(n) for n in "rgb"))
 
 
 for _layout in ("bsq", "bil", "bip"):
     register_files(_layout)
 
 
+@query("q04_spectral_profile", f"WITH {FILE_PX} SELECT band, 390.0 + 10 * band AS wavelength, value::DOUBLE AS value FROM px WHERE x = 7 AND y = 5")
+def q04(spark, d):
+    c = file_cube(spark, d, "bip")
+    p = chunks.chunk_profile(chunks.byte_chunks(spark, c.options["data"], 4096), c.header, 7, 5).where("error is null")
+    return p.join(F.broadcast(c.wavelengths()), "band").select("band", "wavelength", F.col("value").cast(D).alias("value"))
+
+
+#: Lines that are whole in a payload stored by pixel without its last third.
+SHORT_SQL = f"{FILE_STATS}, whole AS (SELECT lines, (lines * 2 * 25 * 64 * 4 // 3) // (25 * 64 * 4) AS n FROM fd), ok AS (SELECT t FROM t, whole WHERE least(t[2] * 8 + 8, lines) <= n)"
+
+
+@query("a03_skipped_tiles", f"WITH {SHORT_SQL} SELECT band, round(min(m - 2 * sd), 6) AS min, round(max(m + 2 * sd), 6) AS max FROM ch WHERE t IN (SELECT t FROM ok) GROUP BY band")
+def a03_skipped(spark, d):
+    return file_cube(spark, d, "bip", cut_short=True).band_stats(size=SIZE, permissive=True).select("band", r6(F.col("min"), "min"), r6(F.col("max"), "max"))
+
+
+@query("a03_first_view", f"WITH {SHORT_SQL} SELECT band, round(min(m - 2 * sd), 6) AS min, round(max(m + 2 * sd), 6) AS max FROM ch, g WHERE t IN ([0, 0], [mx, my]) AND t IN (SELECT t FROM ok) AND band IN (26, 16, 8) GROUP BY band")
+def a03_first(spark, d):
+    return file_cube(spark, d, "bip", cut_short=True).first_stats([26, 16, 8], SIZE).select("band", r6(F.col("min"), "min"), r6(F.col("max"), "max"))
+
+
+@query("a03_failed_tiles", f"WITH {SHORT_SQL} SELECT DISTINCT t[2]::INT AS ty FROM t WHERE t NOT IN (SELECT t FROM ok)")
+def a03_failed(spark, d):
+    return file_cube(spark, d, "bip", cut_short=True).failures(size=SIZE).select("ty").distinct()
+
+
 @query("q02_pixel", f"WITH {PX} SELECT band, (390 + 10 * band)::DOUBLE AS wavelength, value::DOUBLE AS value FROM px WHERE x = 7 AND y = 5")
 def q02(spark, d):
     return make_cube(spark, d).profile(7, 5).select("band", "wavelength", F.col("value").cast(D).alias("value"))

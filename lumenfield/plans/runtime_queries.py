@@ -199,9 +199,9 @@ def t07(spark, d):
     return table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(80).select("event_id", "event_type", "value")
 
 
-@query("t09_random_bands", "SELECT b::INT AS band FROM range(1, 65) t(b) ORDER BY md5('7:' || b) LIMIT 3")
+@query("t09_random_bands", "SELECT DISTINCT (props->>'k')::INT % 64 + 1 AS band FROM events ORDER BY md5('7:' || band) LIMIT 3")
 def t09(spark, d):
-    b = spark.range(1, 65).select(F.col("id").cast("int").alias("band"))
+    b = table(spark, d, "events").select((F.get_json_object("props", "$.k").cast("int") % 64 + 1).alias("band")).distinct()
     return b.orderBy(F.md5(F.concat(F.lit("7:"), F.col("band").cast("string")))).limit(3)
 
 

@@ -6,12 +6,17 @@ events is the message and telemetry stream.
 
 from __future__ import annotations
 
+import dataclasses
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cube import Cube
 from ..sources import synthetic
+from ..sources.cube_writer import write_cube
 from ..sources.header import Header
+from ..sources.ranges import store_of
 
 SAMPLES, BANDS, SIZE = 25, 64, 8
 MAP_INFO = "UTM, 1, 1, 500000, 4100000, 30, 30, 50, North, WGS-84, units=Meters"
@@ -37,9 +42,26 @@ def cube(spark: SparkSession, sf_dir: str) -> Cube:
     return Cube(h, pixels(spark, sf_dir), wide(spark, sf_dir))
 
 
-def file_cube(spark: SparkSession, layout: str) -> Cube:
-    """The synthetic reference cube as header and payload files, in the session's shared folder (a temporary one for a local session)."""
-    return Cube.load(spark, *synthetic.write(synthetic.shared_folder(spark), synthetic.header(interleave=layout), name=f"cube-{layout}"))
+#: Written cubes by session, tables, layout and whether they are cut short.
+WRITTEN: dict[tuple, tuple[str, str]] = {}
+
+
+def file_cube(spark: SparkSession, sf_dir: str, layout: str, cut_short: bool = False) -> Cube:
+    """The cube as header and payload files in the session's shared folder (a temporary one for a local session), written once a session.
+
+    Pixels that the table has no row for are zero. Cut short, the payload lacks its last third.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, layout, cut_short)
+    if key not in WRITTEN:
+        c = cube(spark, sf_dir)
+        h = dataclasses.replace(c.header, interleave=layout)
+        place = f"{synthetic.shared_folder(spark)}/{layout}"
+        write_cube(c.wide, h, f"{place}.hdr", f"{place}.img")
+        if cut_short:
+            _, inside = store_of(f"{place}.img")
+            os.truncate(inside, os.path.getsize(inside) * 2 // 3)
+        WRITTEN[key] = f"{place}.hdr", f"{place}.img"
+    return Cube.load(spark, *WRITTEN[key])
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +84,8 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same in DuckDB.
 PX = f"px AS (SELECT (vec_id % {SAMPLES})::INT AS x, (vec_id // {SAMPLES})::INT AS y, b::INT AS band, embedding[b] AS value FROM embeddings, range(1, {BANDS + 1}) t(b))"
+#: The cube in files: a cell for every place, zero where the table has no row.
+FILE_PX = f"fe AS (SELECT *, (vec_id % {SAMPLES})::INT AS x, (vec_id // {SAMPLES})::INT AS y FROM embeddings), fd AS (SELECT ceil(count(*) / {SAMPLES}.0)::INT AS lines FROM embeddings), px AS (SELECT p.x::INT AS x, q.y::INT AS y, b::INT AS band, coalesce(embedding[b], 0)::FLOAT AS value FROM fd, range({SAMPLES}) p(x), range(lines) q(y), range(1, {BANDS + 1}) r(b) LEFT JOIN fe ON fe.x = p.x AND fe.y = q.y)"
 DIM = f"dim AS (SELECT {SAMPLES} AS samples, ceil(count(*) / {SAMPLES}.0)::INT AS lines FROM embeddings)"
 MSG = """k AS (SELECT *, (props->>'k')::INT AS k FROM events),
 msg AS (SELECT event_id AS seq, ts, CASE WHEN event_id % 17 = 0 THEN 2 ELSE 1 END AS protocol_version,

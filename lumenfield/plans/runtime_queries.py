@@ -10,7 +10,7 @@ from ..operators.prefix import running
 from ..operators import caching
 from ..sources import catalog
 from ..streaming import messages as ms
-from ..streaming import requests, telemetry
+from ..streaming import ordered, requests, telemetry, transitions
 from ..streaming.telemetry import micros
 from . import viewing
 from .registry import query
@@ -124,6 +124,46 @@ def m06(spark, d):
     return requests.not_cancelled(a.where("action = 'track'"), a.where("action = 'release'")).select("source_id", "request_id", "seq")
 
 
+def cancel_actions(spark, d):
+    """Work and cancellations made of events: views and clicks of small value are work, signups cancel."""
+    a = F.when(F.col("event_type") == "signup", "cancel").otherwise("work")
+    return table(spark, d, "events").select((F.col("user_id") % 5).alias("source_id"), F.concat(F.lit("r"), (F.col("event_id") % 50).cast("string")).alias("request_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), a.alias("action"))
+
+
+CANCEL_SQL = """c AS (SELECT user_id % 5 AS source_id, 'r' || (event_id % 50) AS request_id, event_id AS seq, ts, CASE event_type WHEN 'signup' THEN 'cancel' ELSE 'work' END AS action FROM events WHERE user_id % 5 > 0),
+l AS (SELECT *, lag(action) OVER w AS last, lag(ts) OVER w AS since FROM c WINDOW w AS (PARTITION BY source_id, request_id ORDER BY ts, seq))
+SELECT source_id, request_id, seq, coalesce(last = 'cancel' AND epoch_us(ts) - epoch_us(since) <= 864000000000, false) AS cancelled FROM l WHERE action = 'work'"""
+
+
+@query("m06_consumed_cancels", f"WITH {CANCEL_SQL}")
+def m06_consumed(spark, d):
+    return requests.consumed(cancel_actions(spark, d), 864_000)
+
+
+@query("m06_cancel_stream", f"WITH {CANCEL_SQL}")
+def m06_stream(spark, d):
+    return ordered.played(cancel_actions(spark, d), lambda s: requests.cancelled_stream(s, 864_000), 2)
+
+
+RESPONSE_SQL = f"""WITH {ACTIONS} SELECT q.source_id, q.request_id, q.seq, epoch_us(min(r.ts)) AS answered_us FROM a q LEFT JOIN a r ON r.action = 'release' AND r.source_id = q.source_id AND r.request_id = q.request_id AND r.ts >= q.ts AND r.ts <= q.ts + INTERVAL 3 DAYS
+WHERE q.action = 'track' GROUP BY q.source_id, q.request_id, q.seq"""
+
+
+@query("j08_first_responses", RESPONSE_SQL)
+def j08_first(spark, d):
+    a = actions(spark, d)
+    got = requests.first_responses(requests.responses_within(a.where("action = 'track'"), a.where("action = 'release'"), "3 days"))
+    return got.select("source_id", "request_id", "seq", F.unix_micros("answered_at").alias("answered_us"))
+
+
+@query("j08_response_stream", RESPONSE_SQL)
+def j08_stream(spark, d):
+    run = lambda s: requests.responses_within(s.where("closed or action = 'track'"), s.where("closed or action = 'release'"), "3 days")
+    # the row that moves time on is left out afterwards: a filter before would be pushed below the watermark
+    got = requests.first_responses(ordered.played(actions(spark, d), run, 2).where("seq is not null"))
+    return got.select("source_id", "request_id", "seq", F.unix_micros("answered_at").alias("answered_us"))
+
+
 @query("m08_source_switches", "SELECT user_id AS viewer, event_id AS seq, row_number() OVER w AS source_id, nullif(row_number() OVER w - 1, 0) AS cancels FROM events WHERE event_type = 'signup' WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 def m08(spark, d):
     loads = table(spark, d, "events").where("event_type = 'signup'").select(F.col("user_id").alias("viewer"), F.col("event_id").alias("seq"))
@@ -142,6 +182,26 @@ def m16(spark, d):
     return m.select("source_id", "seq", "rest", (F.col("rest") == 0).alias("finalise"))
 
 
+def transition_actions(spark, d):
+    """Band switches and done tiles made of events, by user."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    begins = F.col("event_type").isin("signup", "purchase")
+    return table(spark, d, "events").select(
+        F.col("user_id").alias("source_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.when(begins, "begin").otherwise("tile").alias("action"),
+        F.when(begins, k % 5).cast("int").alias("visible"), F.when(begins, 1 + k % 3).cast("int").alias("idle"),
+    )
+
+
+@query("m16_transition_stream", """WITH RECURSIVE a AS (SELECT user_id AS source_id, event_id AS seq, event_type IN ('signup', 'purchase') AS b, (props->>'k')::INT % 5 AS v, 1 + (props->>'k')::INT % 3 AS i, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+m AS (SELECT source_id, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::VARCHAR AS action, false AS started, 0 AS requeued, NULL::INT AS rest, 0 AS remaining, false AS finalise FROM (SELECT DISTINCT source_id FROM a)
+UNION ALL SELECT a.source_id, a.n, a.seq, CASE WHEN b THEN 'begin' ELSE 'tile' END, b AND rest IS NULL AND v > 0, CASE WHEN b AND rest IS NULL AND v > 0 THEN greatest(0, v - i) ELSE 0 END,
+CASE WHEN b THEN CASE WHEN rest IS NULL AND v > 0 THEN least(v, i) ELSE rest END WHEN rest > 1 THEN rest - 1 END, CASE WHEN b THEN CASE WHEN rest IS NULL AND v > 0 THEN least(v, i) ELSE coalesce(rest, 0) END ELSE greatest(coalesce(rest, 0) - 1, 0) END, NOT b AND rest IS NOT NULL AND rest <= 1
+FROM m JOIN a ON a.source_id = m.source_id AND a.n = m.n + 1)
+SELECT source_id, seq, action, started, requeued, remaining, finalise FROM m WHERE n > 0""")
+def m16_stream(spark, d):
+    return ordered.played(transition_actions(spark, d), transitions.transition_stream, 2)
+
+
 # ---- caches and queues ---------------------------------------------------------------------------
 
 TOUCH = "t AS (SELECT user_id % 6 AS source_id, 't' || (props->>'k') AS tile, event_id AS seq, (value * 100000)::BIGINT AS bytes FROM events)"
@@ -219,15 +279,30 @@ def u05(spark, d):
 
 # ---- telemetry -----------------------------------------------------------------------------------
 
-BASE = """n AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY seq) AS n FROM tel), b AS (SELECT source_id, min(seq) AS seq, arg_min(cpu, seq) AS cpu, arg_min(memory, seq) AS memory, arg_min({'g': gpu}, seq) AS g FROM n WHERE cpu < 20 AND NOT busy OR n = 41 GROUP BY source_id)"""
+BASE = """n AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY ts, seq) AS n, cpu < 20 AND NOT busy AS idle FROM tel),
+look AS (SELECT n.source_id, n.n, n.ts AS t, n.seq AS own, n.idle, max({{'ts': c.ts, 'seq': c.seq, 'cpu': c.cpu, 'memory': c.memory, 'gpu': c.gpu, 'idle': c.idle}}) AS now FROM n JOIN n c ON c.source_id = n.source_id AND c.n <= 41 AND c.ts >= n.ts AND epoch_us(c.ts) <= epoch_us(n.ts) + {again}000 WHERE n.n <= 41 GROUP BY ALL),
+cand AS (SELECT source_id, epoch_us(t) + {again}000 AS moment, 0 AS late, now.seq AS seq, now.cpu AS cpu, now.memory AS memory, now.gpu AS g FROM look WHERE idle AND n < 41 AND now.idle UNION ALL SELECT source_id, epoch_us(ts), 1, seq, cpu, memory, gpu FROM n WHERE n = 41),
+b AS (SELECT source_id, seq, cpu, memory, {{'g': g}} AS g FROM cand QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY moment, late, seq) = 1)"""
+BASELINE_SQL = "WITH " + TEL + ", " + BASE + " SELECT source_id, seq, cpu, memory, g.g AS gpu FROM b"
 
 
-@query("a14_baseline", f"WITH {TEL}, {BASE} SELECT source_id, seq, cpu, memory, g.g AS gpu FROM b")
+@query("a14_baseline", BASELINE_SQL.format(again=500))
 def a14(spark, d):
     return telemetry.baseline(tel(spark, d))
 
 
-@query("a13_w04_peaks", f"""WITH {TEL}, {BASE}, s AS (SELECT tel.*, b.g.g AS gpu0 FROM tel JOIN b USING (source_id) WHERE tel.seq >= b.seq)
+@query("a14_slow_baseline", BASELINE_SQL.format(again=7_200_000))
+def a14_slow(spark, d):
+    """As a14, with a second look after two hours: the table's samples are minutes apart."""
+    return telemetry.baseline(tel(spark, d), 7_200_000)
+
+
+@query("a14_baseline_stream", BASELINE_SQL.format(again=7_200_000))
+def a14_stream(spark, d):
+    return ordered.played(tel(spark, d), lambda s: telemetry.baseline_stream(s, 7_200_000), 2)
+
+
+@query("a13_w04_peaks", f"""WITH {TEL}, {BASE.format(again=500)}, s AS (SELECT tel.*, b.g.g AS gpu0 FROM tel JOIN b USING (source_id) WHERE tel.seq >= b.seq)
 SELECT source_id, seq, max(cpu) OVER w AS peak_cpu, max(memory) OVER w AS peak_memory, CASE WHEN gpu0 IS NOT NULL THEN max(gpu) OVER w END AS peak_gpu FROM s WINDOW w AS (PARTITION BY source_id ORDER BY seq ROWS UNBOUNDED PRECEDING)""")
 def a13(spark, d):
     t = tel(spark, d)

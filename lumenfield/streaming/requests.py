@@ -1,6 +1,7 @@
-"""Request state by source: as batch aggregates, and as a stateful stream operator.
+"""Request state by source: as batch aggregates, and as stateful stream operators.
 
-Actions come in order of seq: track, release, cancel, invalidate.
+Actions come in order of seq: track, release, cancel, invalidate. A cancellation stands until work on
+its request looks at it, once, or until it is older than its time to live.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
+from .ordered import Ordered, in_order
+
 #: Fixed value: a request is tried again once.
 ATTEMPTS = 2
 
@@ -86,3 +89,65 @@ def tracked_stream(actions: DataFrame) -> DataFrame:
     """The stateful form, for a stream (source_id, request_id, seq, action)."""
     schema = "source_id long, request_id string, seq long, action string, effect boolean"
     return actions.groupBy("source_id").transformWithStateInPandas(Tracker(), schema, "Append", "None")
+
+
+CANCEL_KEYS = ["source_id", "request_id"]
+
+
+def consumed(actions: DataFrame, ttl_seconds: int) -> DataFrame:
+    """Work (rows with action work) with whether it is cancelled: several cancellations are one, and the first work after them takes them."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    order = Window.partitionBy(*CANCEL_KEYS).orderBy("__t", "seq")
+    a = valid(actions).where("action in ('work', 'cancel')").withColumn("__t", micros)
+    a = a.withColumn("__last", F.lag("action").over(order)).withColumn("__at", F.lag("__t").over(order))
+    hit = F.coalesce((F.col("__last") == "cancel") & (F.col("__t") - F.col("__at") <= ttl_seconds * 1_000_000), F.lit(False))
+    return a.where("action = 'work'").select(*CANCEL_KEYS, "seq", hit.alias("cancelled"))
+
+
+class Cancellations(Ordered):
+    """consumed() on a stream; memory: when the request was cancelled."""
+
+    columns = "t long, seq long, action string"
+    output = "source_id long, request_id string, seq long, cancelled boolean"
+
+    def __init__(self, ttl_seconds: int) -> None:
+        self.ttl = ttl_seconds * 1_000_000
+
+    def step(self, key: tuple, row: dict, memory: dict) -> list[tuple]:
+        if row["action"] == "cancel":
+            memory["at"] = row["t"]
+            return []
+        return [(*key, row["seq"], memory.pop("at", None) is not None)]
+
+    def wake(self, key: tuple, now: int, memory: dict) -> list[tuple]:
+        if memory and now > memory["at"] + self.ttl:
+            memory.clear()
+        return []
+
+    def due(self, memory: dict) -> int:
+        return memory["at"] + self.ttl + 1
+
+
+def cancelled_stream(actions: DataFrame, ttl_seconds: int, late: str = "1 hour") -> DataFrame:
+    """The stateful form of consumed(), for a stream (source_id, request_id, seq, ts, action, closed), by request."""
+    own = actions.where("closed or (source_id > 0 and length(request_id) > 0 and action in ('work', 'cancel'))")
+    return in_order(own, CANCEL_KEYS, Cancellations(ttl_seconds), late)
+
+
+def responses_within(requests: DataFrame, responses: DataFrame, bound: str, late: str = "1 hour") -> DataFrame:
+    """Requests (source_id, request_id, seq, ts) with their responses (source_id, request_id, ts) no later than `bound` after them: seq and answered_at, a row a response, or one with null.
+
+    The same for batches and streams. On streams both sides have a watermark, state is held for the
+    bound only, and a request without response comes out when the watermark has passed it.
+    """
+    live = requests.isStreaming
+    marked = (lambda df, c: df.withWatermark(c, late)) if live else (lambda df, c: df)
+    q = marked(requests.select("source_id", "request_id", "seq", F.col("ts").cast("timestamp").alias("asked_at")), "asked_at")
+    r = marked(responses.select(F.col("source_id").alias("r_source"), F.col("request_id").alias("r_id"), F.col("ts").cast("timestamp").alias("answered_at")), "answered_at")
+    near = F.expr(f"source_id = r_source and request_id = r_id and answered_at >= asked_at and answered_at <= asked_at + interval {bound}")
+    return q.join(r, near, "left_outer").select("source_id", "request_id", "seq", "answered_at")
+
+
+def first_responses(pairs: DataFrame) -> DataFrame:
+    """Of responses_within() each request's first response: the one that its waiting ends with."""
+    return pairs.groupBy("source_id", "request_id", "seq").agg(F.min("answered_at").alias("answered_at"))

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.prefix import running
+from .ordered import Ordered, in_order
 
-#: Fixed values of the idle rule: CPU percent, and the number of samples after which a baseline is forced.
-IDLE, FORCED = 20.0, 41
+#: Fixed values of the idle rule: CPU percent, the number of samples after which a baseline is forced, and milliseconds to the second look.
+IDLE, FORCED, AGAIN = 20.0, 41, 500
 
 
 def micros(ts: str) -> Column:
@@ -16,11 +17,65 @@ def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def baseline(samples: DataFrame) -> DataFrame:
-    """Per source the first sample with low CPU while the viewer rests, or the 41st, whichever comes first."""
-    counted = running(samples, "source_id", "seq", sums={"n": F.lit(1)})
-    fits = ((F.col("cpu") < IDLE) & ~F.col("busy")) | (F.col("n") == FORCED)
-    return counted.where(fits).groupBy("source_id").agg(F.min("seq").alias("seq"), F.min_by("cpu", "seq").alias("cpu"), F.min_by("memory", "seq").alias("memory"), F.min_by("gpu", "seq").alias("gpu"))
+def baseline(samples: DataFrame, again_ms: int = AGAIN) -> DataFrame:
+    """Per source the sample taken as its baseline: what is current `again_ms` after a sample with low CPU while the viewer rests, if that is still so, or the 41st sample, whichever comes first.
+
+    A sample that comes at the very time of the second look is current. Only the first 41 samples of
+    a source matter: they are cut out by rank, which Spark limits before the shuffle.
+    """
+    order = Window.partitionBy("source_id").orderBy("__t", "seq")
+    s = samples.select("source_id", "seq", "cpu", "memory", "gpu", "busy", micros("ts").alias("__t"))
+    s = s.withColumn("n", F.row_number().over(order)).where(F.col("n") <= FORCED)
+    idle = (F.col("cpu") < IDLE) & ~F.col("busy")
+    ahead = Window.partitionBy("source_id").orderBy("__t").rangeBetween(Window.currentRow, again_ms * 1000)
+    s = s.withColumn("now", F.max(F.struct("__t", "seq", "cpu", "memory", "gpu", idle.alias("idle"))).over(ahead))
+    looked = F.when(F.col("n") == FORCED, F.struct(F.col("__t").alias("at"), F.lit(1).alias("late"), F.struct("seq", "cpu", "memory", "gpu").alias("s")))
+    looked = F.coalesce(F.when(idle & (F.col("n") < FORCED) & F.col("now.idle"), F.struct((F.col("__t") + again_ms * 1000).alias("at"), F.lit(0).alias("late"), F.struct("now.seq", "now.cpu", "now.memory", "now.gpu").alias("s"))), looked)
+    return s.groupBy("source_id").agg(F.min(looked).alias("b")).where("b is not null").select("source_id", "b.s.*")
+
+
+class Baselines(Ordered):
+    """baseline() on a stream; memory: samples seen, the current one, times of second looks; after the capture only that it is done."""
+
+    columns = "t long, seq long, cpu double, memory double, gpu double, busy boolean"
+    output = "source_id long, seq long, cpu double, memory double, gpu double"
+
+    def __init__(self, again_ms: int) -> None:
+        self.again = again_ms * 1000
+
+    def captured(self, key: tuple, memory: dict) -> list[tuple]:
+        s = memory["now"]
+        memory.clear()
+        memory["done"] = True
+        return [(*key, s["seq"], s["cpu"], s["memory"], s["gpu"])]
+
+    def idle(self, s: dict) -> bool:
+        return s["cpu"] is not None and s["busy"] is not None and s["cpu"] < IDLE and not s["busy"]
+
+    def step(self, key: tuple, row: dict, memory: dict) -> list[tuple]:
+        if "done" in memory:
+            return []
+        memory["n"], memory["now"] = memory.get("n", 0) + 1, row
+        if memory["n"] >= FORCED:
+            return self.captured(key, memory)
+        if self.idle(row):
+            memory.setdefault("looks", []).append(row["t"] + self.again)
+        return []
+
+    def wake(self, key: tuple, now: int, memory: dict) -> list[tuple]:
+        while memory.get("looks") and memory["looks"][0] <= now:
+            memory["looks"].pop(0)
+            if self.idle(memory["now"]):
+                return self.captured(key, memory)
+        return []
+
+    def due(self, memory: dict) -> int | None:
+        return memory["looks"][0] if memory.get("looks") else None
+
+
+def baseline_stream(samples: DataFrame, again_ms: int = AGAIN, late: str = "1 hour") -> DataFrame:
+    """The stateful form of baseline(), for a stream (source_id, seq, ts, cpu, memory, gpu, busy, closed)."""
+    return in_order(samples, ["source_id"], Baselines(again_ms), late)
 
 
 def peaks(samples: DataFrame, base: DataFrame) -> DataFrame:

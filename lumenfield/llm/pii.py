@@ -9,10 +9,12 @@ The kinds beside the contract's four: a url has a host that is a name with a dot
 address. An account follows a cue word: an IBAN passes its check digits, in groups or not; a social
 security number has an area, group and serial that are given out; an account or passport number has
 four digits or more; a password, secret or token follows ":" or "=" and may be of any length and any
-marks, or is 16 characters or more with letters and digits.
+marks (a short one of letters only: not after ":" without quotes), or is 16 characters or more with
+letters and digits. "is" or "was", a closing quote or bracket may stand between cue and value.
 
 Null texts count as empty and give no spans. Repeated rows each give their own row. An empty table
-gives an empty result. Work and memory per text are in proportion to its length.
+gives an empty result. Work and memory per text are in proportion to its length: what one anchor looks at
+ends at the next anchor of its kind, or is passed over by those after it.
 """
 
 from __future__ import annotations
@@ -47,10 +49,12 @@ IP_AT = re.compile(r"[0-9]+(?:\.[0-9]+){3}").match
 CARD_AT = re.compile(r"[0-9](?:[ -]?[0-9])+").match
 PHONE_AT = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").match
 URL_AT = re.compile(r"[^\s<>\"'`{}|\\^\[\]]+").match
-HOST_AT = re.compile(r"(?:[^\s/?#@]*@)?(localhost|\[[0-9A-Fa-f:.]+\]|[^\s/?#@:.\[\]]+(?:\.[^\s/?#@:.\[\]]+)+)\.?(?=[/?#:]|$)").match
-#: What may stand between a cue and its value: an ending of the cue, words for "number", a sign.
-NAMED = r"s?(?:[ \t]{1,4}(?:no|nr|num|number|id|key|value|code)\b\.?)?"
-SIGN = r"[\"']?[ \t]{0,4}[:=#][ \t]{0,4}"
+#: A url's host, matched in place: it can't hold a slash, so what one "://" looks at ends before the next. Possessive: no second tries.
+LABEL = r"[^\s/?#@:.\[\]<>\"'`{}|\\^,;!()*$%&]++"
+HOST_AT = re.compile(r"(?:[^\s/?#@<>\"'`{}|\\^\[\]]*+@)?+(?:localhost(?![^\s/?#:,;.!)])|" + LABEL + r"(?:\." + LABEL + r")++)(?!@)").match
+#: What may stand between a cue and its value: an ending of the cue, words for "number", closing quotes or brackets, "is" or "was", a sign.
+NAMED = r"s?(?:[ \t]{1,4}(?:no|nr|num|number|id|key|value|code)\b\.?)?[\"')\]]{0,2}(?:[ \t]{1,4}(?:is|was)\b)?"
+SIGN = r"[ \t]{0,4}[:=#][ \t]{0,4}"
 IBAN_AT = re.compile(NAMED + r"(?:" + SIGN + r"|[ \t]{1,4})[\"']?([A-Za-z]{2}[0-9]{2}(?:[ ]?[A-Za-z0-9]){11,30})").match
 SSN_AT = re.compile(NAMED + r"(?:" + SIGN + r"|[ \t]{1,4})[\"']?(([0-9]{3})([ -]?)([0-9]{2})\3([0-9]{4}))(?![0-9])").match
 NUMBER_AT = re.compile(NAMED + r"(?:" + SIGN + r"|[ \t]{1,4})[\"']?((?=[A-Za-z_-]*[0-9])[A-Za-z0-9](?:[-_]?[A-Za-z0-9])+(?: [0-9][0-9-]*)*)").match
@@ -114,6 +118,9 @@ def identifier(kind: str, text: str, at: int) -> tuple[int, int] | None:
         start, end = m.span(m.lastindex)
         if m.lastindex == 3:
             end = start + len(m[3].rstrip(TRAILING))
+            # in prose a short word after a colon is no secret: it takes a digit or a mark
+            if end - start < 16 and text[start:end].isalpha() and "=" not in text[at:start]:
+                return None
         return (start, end) if end - start >= 6 else None
     if m := BARE_AT(text, at):
         value = m[1].rstrip("=.")
@@ -160,11 +167,12 @@ def find_spans(text: str | None) -> list[tuple[int, int, int]]:
                 start -= 1
             while start < at and not text[start].isalpha():
                 start += 1
-            if start < at and (m := URL_AT(text, at + 3)):
-                end = at + 3 + len(m[0].rstrip(TRAILING))
-                if HOST_AT(text[at + 3 : end]):
-                    after["url"] = end
-                    out.append((start, 4, end))
+            if start < at and (m := HOST_AT(text, at + 3)):
+                end = m.end()
+                if m := URL_AT(text, end):
+                    end += len(m[0].rstrip(TRAILING))
+                after["url"] = end
+                out.append((start, 4, end))
         elif at >= after["account"] and not (at and text[at - 1].isalpha() and text[at - 1].islower() == text[at].islower()) and (got := identifier(cue, text, last + 1)):
             after["account"] = got[1]
             out.append((got[0], 5, got[1]))

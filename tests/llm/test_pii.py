@@ -1,5 +1,8 @@
 import hashlib
 import re
+import time
+
+import pytest
 
 from lumenfield.llm import pii
 
@@ -81,3 +84,32 @@ def test_added_kinds_and_redaction(spark):
     assert pii.redact("to a@b.co, 1.2.3.4") == "to <email>, <ip>"
     df = spark.createDataFrame([(1, "x 1.2.3.4")], "doc_id long, text string")
     assert [tuple(s) for s in pii.pii_spans(df).first().spans] == [("ip", 2, 9)]
+
+
+@pytest.mark.parametrize("text,value", [
+    ("my ssn is 123-45-6789", "123-45-6789"), ("account number is 12345678 now", "12345678"), ("(account) was 1234-5678", "1234-5678"), ('{"password": "hunter2!x"}', "hunter2!x"), ("credential: various", None), ("token: abcdef", None), ("token: abc1def", "abc1def"),
+])
+def test_words_between_cue_and_value(text, value):
+    assert [text[a:b] for a, k, b in pii.find_spans(text) if pii.KINDS[k] == "account"] == ([value] if value else [])
+
+
+@pytest.mark.parametrize("text,url", [
+    ("see https://a.example.com/x?y=1#z, or", "https://a.example.com/x?y=1#z"), ("(http://localhost:80/a)", "http://localhost:80/a"), ("ftp://u:p@h.example.org.", "ftp://u:p@h.example.org"), ("http://[::1]/x", None), ("a://b", None), ("x http://a.example.com", "http://a.example.com"),
+    ("http://localhosted/x", None), ("a://b://c.example.com/", "://c.example.com/"),
+])
+def test_urls(text, url):
+    got = [text[a:b] for a, k, b in pii.find_spans(text) if pii.KINDS[k] == "url"]
+    assert got == ([] if url is None else got) and (url is None or len(got) == 1 and url in got[0])
+
+
+@pytest.mark.parametrize("unit", ["a://", "a://b.c", "a://b@", "://", "a@", "a@b", "a@b.", "+", "+1 ", "+1 234", "1", "1.", "1.2.", "1 ", "4-", "token: ", "token=a", 'token="', "token='a\"", "iban ", "iban: DE89 ", "ssn is 1", "account 1 ", "account: a", "bearer ", "password", "a", "é"])
+def test_time_grows_with_length(unit):
+    def seconds(n):
+        text = unit * (n // len(unit))
+        began = time.perf_counter()
+        pii.find_spans(text)
+        return time.perf_counter() - began
+
+    seconds(10_000)
+    small = min(seconds(100_000) for _ in range(3))
+    assert min(seconds(200_000) for _ in range(3)) < max(0.2, 3 * small)

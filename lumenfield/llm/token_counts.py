@@ -130,7 +130,7 @@ def stitch(scanned: DataFrame, run: int = 4096) -> DataFrame:
     before = over.rowsBetween(W.Window.unboundedPreceding, -1)
     runs = runs.withColumn("t0", F.coalesce(F.sum("t").over(before), F.lit(0))).withColumn("d0", F.coalesce(F.sum("d").over(before), F.lit(0)))
     runs = runs.withColumn("e0", F.coalesce(F.max(F.col("t0") + F.col("e")).over(before), F.lit(0)))
-    j = s.join(runs.select("file", "run", "t0", "d0", "e0"), ["file", "run"])
+    j = s.join(runs.select("file", "run", "t0", "d0", "e0").hint("merge"), ["file", "run"])  # it grows with the input: never sent whole
     carried = F.col("t0") + F.col("upto") - F.col("n_tokens") - F.coalesce(F.col("t0") + F.col("last"), F.col("e0"))
     lengths = F.concat(F.array((F.col("head") + carried)), F.transform("inner_lengths", lambda x: x.cast("long")))
     j = j.where("n_docs > 0").select("file", (F.col("d0") + F.col("docs_upto") - F.col("n_docs")).alias("d"), F.posexplode(lengths).alias("i", "n_tokens"))
@@ -154,4 +154,4 @@ def token_counts(docs: DataFrame, vocabulary: str, block_tokens: int = 1 << 13)
     """doc_id and n_tokens of every row of docs, counted in the flat files that docs are written to."""
     written = cut(write_files(docs, vocabulary, shared_folder(docs.sparkSession, "tokens")))
     counts = stitch(scan_files(written.select("path", "bytes"), block_tokens))
-    return file_ids(written).join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    return file_ids(written).join(counts.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")

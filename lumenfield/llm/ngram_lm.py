@@ -378,7 +378,7 @@ def score_parts(parts: DataFrame, totals: DataFrame, total: int, distinct: int,
     return parts.groupBy("part").cogroup(given).applyInArrow(scores, SCORES)
 
 
-def lm_scores(docs: DataFrame, part_tokens: int = 4_000_000, bucket_keys: int = 2_000_000, fan: int = 64, rounds: int = 20) -> DataFrame:
+def lm_scores(docs: DataFrame, part_tokens: int = 2_000_000, bucket_keys: int = 500_000, fan: int = 64, rounds: int = 20) -> DataFrame:
     """Scores of every row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     parts = save(make_parts(docs, part_tokens))
     n_parts, words, pairs = parts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_pairs"), F.lit(0))).first()

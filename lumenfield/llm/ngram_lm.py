@@ -384,6 +384,6 @@ def lm_scores(docs: DataFrame, part_tokens: int = 2_000_000, bucket_keys: int =
     n_parts, words, pairs = parts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_pairs"), F.lit(0))).first()
     totals = totals_of(parts, n_parts, {1: words, 2: pairs}, bucket_keys, fan)
     n_kept, n_both, v_kept, v_both = totals.where("kind = 1").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_kept", "n_both", "v_kept", "v_both"))).first()
-    cells = save(deleted_cells(parts, totals))
+    cells = save(deleted_cells(parts, totals).groupBy("b", "c2", "c", "c1").agg(F.sum("n").alias("n")))  # equal cells of all parts are one in the rounds
     weights = weight_table(learn(cells, n_kept, 1 / (v_kept + 1), rounds))
     return score_parts(parts, totals, n_both, v_both, weights)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import bands, geo, stretch, text, tiles, viewport
 from ..operators import caching, chunks, cube, stats
+from ..operators.stats_store import StatsStore
+from ..sources.synthetic import shared_folder
 from . import viewing
 from .registry import query
 from .standin import BANDS, DIM, FILE_PX, PX, SAMPLES, SIZE, file_cube, pixels, table, wide
@@ -264,9 +266,9 @@ def f05(spark, d):
     return p.select("x", "y", "band", stretch.quantise(stretch.stretch(F.col("v"), F.lit(-0.2), F.lit(0.2))).alias("q"))
 
 
-@query("f06_percentile_stretch", f"""WITH {PX}, r AS (SELECT band, value::DOUBLE AS v, row_number() OVER (PARTITION BY band ORDER BY value) - 1 AS rn, count(*) OVER (PARTITION BY band) AS n FROM px),
-l AS (SELECT band, max(v) FILTER (rn = least(floor(n::FLOAT * (2::FLOAT / 100::FLOAT)), n - 1))::FLOAT AS lo, max(v) FILTER (rn = least(ceil(n::FLOAT * (98::FLOAT / 100::FLOAT)), n - 1))::FLOAT AS hi FROM r GROUP BY band)
-SELECT x, y, band, floor(least(greatest(((value - lo) / greatest(hi - lo, 1e-9::FLOAT))::FLOAT, 0::FLOAT), 1::FLOAT)::DOUBLE * 255 + 0.5)::INT AS q FROM px JOIN l USING (band)""")
+@query("f06_percentile_stretch", f"""WITH {PX}, r AS MATERIALIZED (SELECT x, y, band, value, row_number() OVER (PARTITION BY band ORDER BY value) - 1 AS rn, count(*) OVER (PARTITION BY band) AS n FROM px),
+l AS MATERIALIZED (SELECT band, max(value) FILTER (rn = least(floor(n::FLOAT * (2::FLOAT / 100::FLOAT)), n - 1)) AS lo, max(value) FILTER (rn = least(ceil(n::FLOAT * (98::FLOAT / 100::FLOAT)), n - 1)) AS hi FROM r GROUP BY band)
+SELECT x, y, band, floor(least(greatest(((value - lo) / greatest(hi - lo, 1e-9::FLOAT))::FLOAT, 0::FLOAT), 1::FLOAT)::DOUBLE * 255 + 0.5)::INT AS q FROM r JOIN l USING (band)""")
 def f06(spark, d):
     p = pixels(spark, d)
     lim = F.broadcast(stats.nearest_rank(p))  # a row a band
@@ -508,6 +510,16 @@ def q04(spark, d):
     return p.join(F.broadcast(c.wavelengths()), "band").select("band", "wavelength", F.col("value").cast(D).alias("value"))
 
 
+@query("q09_stored_stats", f"WITH {STATS_SQL} SELECT band, round(lo, 6) AS min, round(hi, 6) AS max, band IN (8, 16, 26) AS first FROM st WHERE band % 2 = 0")
+def q09(spark, d):
+    """Limits worked out for a first view, then for every second band: the first three come from the table."""
+    store = StatsStore(spark, shared_folder(spark))
+    c = make_cube(spark, d)
+    first = [r.band for r in store.ensure(1, c, [26, 16, 8], size=SIZE).select("band").collect()]
+    every = store.ensure(1, c, list(range(2, BANDS + 1, 2)), size=SIZE)
+    return every.select("band", r6(F.col("min"), "min"), r6(F.col("max"), "max"), F.col("band").isin(first).alias("first"))
+
+
 #: Lines that are whole in a payload stored by pixel without its last third.
 SHORT_SQL = f"{FILE_STATS}, whole AS (SELECT lines, (lines * 2 * 25 * 64 * 4 // 3) // (25 * 64 * 4) AS n FROM fd), ok AS (SELECT t FROM t, whole WHERE least(t[2] * 8 + 8, lines) <= n)"
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..functions import bands, text
+from ..functions import bands, records, text
 from ..operators.prefix import running
 from ..operators import caching
-from ..sources import catalog
+from ..sources import catalog, lines_stream, synthetic
 from ..streaming import messages as ms
-from ..streaming import ordered, requests, telemetry, transitions
+from ..streaming import letters, ordered, requests, telemetry, transitions
 from ..streaming.telemetry import micros
 from . import viewing
 from .registry import query
@@ -36,6 +37,27 @@ def m01(spark, d):
     return ms.supported(messages(spark, d))[0].groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def sorted_letters(spark, d) -> tuple[str, StructType]:
+    """The messages played in three batches into tables of the session's shared folder; the folder and their schema."""
+    folder = ordered.play(messages(spark, d), 3)
+    live = ordered.opened(spark, folder, 1).where("not closed").drop("closed")
+    q = letters.routed(live, f"{folder}-out", f"{folder}-checkpoint")
+    if not q.awaitTermination(600):
+        q.stop()
+        raise TimeoutError("the stream didn't end")
+    return f"{folder}-out", live.schema
+
+
+@query("m01_dead_letters", f"WITH {MSG} SELECT seq, type, protocol_version FROM msg WHERE protocol_version <> 1")
+def m01_dead(spark, d):
+    return letters.letters(spark, *sorted_letters(spark, d), dead=True).select("seq", "type", "protocol_version")
+
+
+@query("m19_stream_progress", f"WITH {MSG}, w AS (SELECT *, least(floor((epoch_us(ts) - min(epoch_us(ts)) OVER ()) * 3 / (greatest(1, max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER ()) + 1)), 2) AS batch FROM msg), b AS (SELECT batch, count(*) AS processed, count(*) FILTER (protocol_version <> 1) AS dead FROM w GROUP BY batch) SELECT batch::BIGINT AS batch, processed, dead, (sum(processed) OVER o)::BIGINT AS total, (sum(dead) OVER o)::BIGINT AS total_dead FROM b WINDOW o AS (ORDER BY batch)")
+def m19_progress(spark, d):
+    return letters.progress(spark, sorted_letters(spark, d)[0]).where("processed > 0")
+
+
 @query("m07_late_messages", f"WITH {MSG}, c AS (SELECT *, {KIND} AS kind FROM msg) SELECT source_id, kind, count(*) AS n FROM c WHERE kind LIKE '%stale%' GROUP BY ALL")
 def m07(spark, d):
     late = ms.classified(messages(spark, d), ACTIVE, BANDS).where(F.col("kind").isin("stale-source", "tile-complete-stale-bands"))
@@ -309,6 +331,18 @@ def a13(spark, d):
     return telemetry.peaks(t, telemetry.baseline(t))
 
 
+@query("s37_growing_lines", f"WITH {TEL} SELECT source_id, seq, epoch_us(ts) AS t, cpu, memory, gpu, busy FROM tel")
+def s37(spark, d):
+    """Samples as JSON lines in files, streamed from them by ranges."""
+    s = tel(spark, d).select("source_id", "seq", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("ts"), F.col("cpu").alias("cpu_usage"), F.col("memory").alias("memory_usage"), F.col("gpu").alias("gpu_usage"), "busy")
+    folder = synthetic.shared_folder(spark)
+    s.select(F.to_json(F.struct(*s.columns)).alias("value")).write.text(f"{folder}/in")
+    spark.dataSource.register(lines_stream.LineSource)
+    live = spark.readStream.format("growing_lines").option("path", f"{folder}/in").option("range_bytes", 1 << 18).load()
+    got = ordered.drained(spark, lines_stream.samples_of(live), f"{folder}/out")
+    return got.select("source_id", "seq", F.unix_micros("ts").alias("t"), "cpu", "memory", "gpu", "busy")
+
+
 @query("w05_history", f"WITH {TEL} SELECT source_id, seq, cpu FROM tel QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY seq DESC) <= 50")
 def w05(spark, d):
     return telemetry.history(tel(spark, d)).select("source_id", "seq", "cpu")
@@ -465,6 +499,22 @@ def s13(spark, d):
     return h.select("id", "header.samples", "header.data_type", F.col("header.bytes_per_pixel").alias("width"), F.col("header.custom_fields")["my note"].alias("note"), F.col("header.error").isNotNull().alias("failed"))
 
 
+@query("s16_header_records", """SELECT n_nationkey AS id, CASE WHEN n_nationkey % 5 < 3 THEN n_nationkey + 1 END::BIGINT AS samples, CASE WHEN n_nationkey % 5 < 3 THEN CASE WHEN n_nationkey % 2 = 0 THEN 'u16' ELSE 'f32' END END AS data_type, CASE WHEN n_nationkey % 5 < 3 THEN CASE WHEN n_nationkey % 2 = 0 THEN 'lsb' ELSE 'msb' END END AS byte_order,
+CASE WHEN n_nationkey % 5 < 3 THEN CASE WHEN n_nationkey % 3 = 0 THEN 'nested ' || n_name ELSE 'top' END END AS map_info, CASE WHEN n_nationkey % 5 < 3 THEN '400.0,' || (401 + n_nationkey) || '.0' END AS wavelength, CASE WHEN n_nationkey % 5 < 3 THEN n_name END AS note,
+CASE WHEN n_nationkey % 5 < 3 THEN CASE WHEN n_nationkey % 2 = 0 THEN '1:red,2:-' ELSE '1:-,2:-' END END AS roles, CASE n_nationkey % 5 WHEN 3 THEN 'bands can''t be read' WHEN 4 THEN 'no header record' END AS error FROM nation""")
+def s16(spark, d):
+    n, null = F.col("n_nationkey"), F.lit(None).cast("string")
+    rec = F.to_json(F.struct(
+        (n + 1).cast("string").alias("samples"), F.lit(4).alias("lines"), F.when(n % 5 == 3, 0).otherwise(3).alias("bands"), F.lit("BSQ").alias("interleave"), F.when(n % 2 == 0, "uint16").otherwise("Float32").alias("dataType"),
+        F.when(n % 2 == 0, "Little").otherwise("1").alias("byteOrder"), F.lit(0).alias("headerOffset"), F.lit(2).alias("bytesPerPixel"), F.lit("top").alias("mapInfo"), F.struct(F.when(n % 3 == 0, F.concat(F.lit("nested "), F.col("n_name"))).otherwise(null).alias("mapInfo")).alias("spatialReference"),
+        F.array(F.lit(400), n + 401).alias("wavelength"), F.struct(F.col("n_name").alias("note")).alias("customFields"),
+        F.array(F.struct(F.lit(1).alias("index"), F.when(n % 2 == 0, "RED").otherwise("pink").alias("displayRole")), F.struct(F.lit(2).alias("index"), null.alias("displayRole"))).alias("bandMetadata"),
+    ))
+    r = table(spark, d, "nation").select(n.alias("id"), records.record(F.when(n % 5 == 4, "[1, 2]").otherwise(rec)).alias("r"))
+    roles = F.array_join(F.transform("r.band_metadata", lambda b: F.concat(b["index"].cast("string"), F.lit(":"), F.coalesce(b["display_role"], F.lit("-")))), ",")
+    return r.select("id", "r.samples", "r.data_type", "r.byte_order", "r.map_info", F.array_join(F.col("r.wavelength").cast("array<string>"), ",").alias("wavelength"), F.col("r.custom_fields")["note"].alias("note"), roles.alias("roles"), "r.error")
+
+
 @query("f37_f38_f42_numbers", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS finite, event_id % 3 <> 0 AS all_finite FROM events")
 def f37(spark, d):
     from ..functions.geo import number

@@ -11,8 +11,8 @@ view and a fifth fits the logistic combination of the two calibrated views. Ever
 scored. Both classes of the sample are weighted to their shares of all labels.
 
 Features are made from whole texts, in each pass anew: nothing of the size of the corpus is written.
-The sampled rows and the models reach the driver: (max_labelled + 4 * max_exchanged * rounds) rows
-of two kilobytes at most, as packed bytes.
+The fits run in one task over (max_labelled + 4 * max_exchanged * rounds) sampled rows of two
+kilobytes at most; the driver gets their ids and the models.
 
 Null texts count as empty, null metadata as a value of its own. Repeated rows score alike and count
 once in a fit. Of a document's labels the majority counts; ties and nulls are ignored. Where a class
@@ -22,6 +22,8 @@ gives an empty result.
 
 from __future__ import annotations
 
+import functools
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .merge_dropout import mix
-from .util import cut
+from .util import cut, save
 
 PUNCTUATION = [c for c in range(33, 127) if not chr(c).isalnum()]
 #: Class of each byte: a punctuation mark each, then capitals, small letters, digits, bytes above 127, space, line end, others.
@@ -227,12 +229,15 @@ class Model:
         return probability(a), probability(b), probability(self.both.logit(np.stack([a, b], 1)))
 
 
-def unpacked(rows: list, column: str, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(bytes(r[column]) for r in rows), "<f2").reshape(-1, width).astype(np.float32)
+def unpacked(rows: list[bytes], width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), "<f2").reshape(-1, width).astype(np.float32)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> tuple[list, dict[int, int]]:
-    """Rows (doc_id, y, text, meta as packed views) of a hashed sample of the labelled documents, at most half of `most` a class, in hash order; and the classes' sizes."""
+ROW = "turn int, to int, y int, place long, doc_id long, text binary, meta binary"
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> tuple[DataFrame, dict[int, int]]:
+    """Rows (ROW, turn and to -1; both views packed) of a hashed sample of the labelled documents, at most half of `most` a class; and the classes' sizes."""
     named = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(F.col("quality").cast("double")).alias("y"))
     named = named.where("y <> 0.5").select("doc_id", (F.col("y") > 0.5).cast("int").alias("y"))
     there = cut(named.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi"))
@@ -250,12 +255,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> tuple[list
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(5), *packed, sha], names=["doc_id", "y", "text", "meta", "tie"])
 
     made = own.mapInArrow(run, "doc_id long, y int, text binary, meta binary, tie long")
-    one = made.groupBy("doc_id").agg(F.min(F.struct("tie", "text", "meta", "y")).alias("r")).select("doc_id", "r.y", "r.text", "r.meta")
-    return one.orderBy(F.xxhash64("doc_id"), "doc_id").collect(), sizes
+    one = made.groupBy("doc_id").agg(F.min(F.struct("tie", "text", "meta", "y")).alias("r"))
+    return save(one.select(F.lit(-1).alias("turn"), F.lit(-1).alias("to"), "r.y", F.xxhash64("doc_id").alias("place"), "doc_id", "r.text", "r.meta")), sizes
 
 
-def exchange(docs: DataFrame, text: Logistic, meta: Logistic, confident: float, most: int, turn: int, left_out: dict[str, np.ndarray]) -> dict[str, list]:
-    """Rows (doc_id, y, x) for each view's training: those that the other view's classifier is sure of, `most` a class by hash of the id, in one pass over docs.
+def exchange(docs: DataFrame, text: Logistic, meta: Logistic, confident: float, most: int, turn: int, left_out: dict[str, np.ndarray]) -> DataFrame:
+    """Rows (ROW, one view packed) for each view's training: those that the other view's classifier is sure of, `most` a class by hash of the id, in one pass over docs.
 
     left_out: ids not to take, by the view that would get them.
     """
@@ -282,47 +287,72 @@ def exchange(docs: DataFrame, text: Logistic, meta: Logistic, confident: float,
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()], strict=True)], names=["to", "y", "place", "doc_id", "x"])
 
     found = cut(seen(docs).mapInArrow(run, "to int, y int, place long, doc_id long, x binary"))
-    out: dict[str, list] = {}
-    for to, view in enumerate(("text", "meta")):
-        rows = [r for y in (0, 1) for r in found.where((F.col("to") == to) & (F.col("y") == y)).orderBy("place", "doc_id", "x").limit(most).collect()]
-        out[view] = list({r.doc_id: r for r in rows}.values())
-    return out
+    best = [found.where((F.col("to") == to) & (F.col("y") == y)).orderBy("place", "doc_id", "x").limit(most) for to in (0, 1) for y in (0, 1)]
+    view = lambda n: F.when(F.col("to") == n, F.col("x"))
+    return save(functools.reduce(DataFrame.unionAll, best).select(F.lit(turn).alias("turn"), "to", "y", "place", "doc_id", view(0).alias("text"), view(1).alias("meta")))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_exchanged: int = 1_000, rounds: int = 2, confident: float = 0.97) -> Model | None:
-    rows, sizes = labelled_sample(docs, labels, max_labelled)
-    y = np.array([r.y for r in rows])
-    if any((y == c).sum() < 5 for c in (0, 1)):
-        return None
+def fits(rows: pa.Table, sizes: dict[int, int], last: bool) -> Model | tuple[Logistic, Logistic]:
+    """The views' classifiers from ROWs; at last, the whole model."""
+    rows = rows.sort_by([(c, "ascending") for c in ("turn", "to", "y", "place", "doc_id")])
+    own = rows.filter(pc.less(rows["turn"], 0)).sort_by([("place", "ascending"), ("doc_id", "ascending")])
+    y, ids = own["y"].to_numpy(), own["doc_id"].to_numpy()
     # the n-th document of a class by hash: 0 to 2 train, 3 calibrates, 4 combines
     fold = np.empty(len(y), np.int64)
     for c in (0, 1):
         fold[y == c] = np.arange((y == c).sum()) % 5
     weight = np.array([sizes[c] / (y == c).sum() for c in (0, 1)])
     weight = (weight / weight.max())[y]
-    x = {"text": unpacked(rows, "text", TEXT), "meta": unpacked(rows, "meta", META)}
-    width = {"text": TEXT, "meta": META}
     learn, calibrate, combine = fold < 3, fold == 3, fold == 4
-    extra: dict[str, list] = {"text": [], "meta": []}
-    ids = np.array([r.doc_id for r in rows], np.int64)
+    width = {"text": TEXT, "meta": META}
+    x = {v: unpacked(own[v].to_pylist(), width[v]) for v in width}
+    extra = {}
+    for to, view in enumerate(width):
+        got = rows.filter(pc.and_(pc.greater_equal(rows["turn"], 0), pc.equal(rows["to"], to))).select(["turn", "doc_id", "y", view])
+        extra[view] = list({r[:2]: r for r in zip(*(c.to_pylist() for c in got.columns), strict=True)}.values())
+    del rows, own
 
     def fitted(view: str) -> Logistic:
         more = extra[view]
-        xs = np.concatenate([x[view][learn], unpacked(more, "x", width[view])])
-        return fit(xs, np.concatenate([y[learn], [r.y for r in more]]), np.concatenate([weight[learn], np.ones(len(more))]), RIDGE if view == "text" else 1.0)
+        xs = np.concatenate([x[view][learn], unpacked([r[3] for r in more], width[view])])
+        return fit(xs, np.concatenate([y[learn], [r[2] for r in more]]), np.concatenate([weight[learn], np.ones(len(more))]), RIDGE if view == "text" else 1.0)
 
-    for turn in range(rounds):
-        left_out = {v: np.unique(np.concatenate([ids, np.array([r.doc_id for r in extra[v]], np.int64)])) for v in extra}
-        for view, got in exchange(docs, fitted("text"), fitted("meta"), confident, max_exchanged, turn, left_out).items():
-            extra[view] += got
     text, meta = fitted("text"), fitted("meta")
+    if not last:
+        return text, meta
     a, b = text.logit(x["text"])[:, None], meta.logit(x["meta"])[:, None]
     by_text, by_meta = (fit(v[calibrate], y[calibrate], weight[calibrate]) for v in (a, b))
     both = fit(np.stack([by_text.logit(a), by_meta.logit(b)], 1)[combine], y[combine], weight[combine])
-    used = {"learn": ids[learn].tolist(), "calibrate": ids[calibrate].tolist(), "combine": ids[combine].tolist()} | {v: [r.doc_id for r in extra[v]] for v in extra}
+    used = {"learn": ids[learn].tolist(), "calibrate": ids[calibrate].tolist(), "combine": ids[combine].tolist()} | {v: [r[1] for r in extra[v]] for v in extra}
     return Model(text, meta, by_text, by_meta, both, used)
 
 
+def fitted_in_a_task(rows: list[DataFrame], sizes: dict[int, int], last: bool = False) -> Model | tuple[Logistic, Logistic]:
+    """fits() of the bounded samples in one task, so that the driver gets the weights and not the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = fits(pa.Table.from_batches(list(batches)), sizes, last)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(got)], pa.binary())], names=["model"])
+
+    return pickle.loads(functools.reduce(DataFrame.unionByName, rows).coalesce(1).mapInArrow(run, "model binary").first().model)
+
+
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_exchanged: int = 1_000, rounds: int = 2, confident: float = 0.97) -> Model | None:
+    sample, sizes = labelled_sample(docs, labels, max_labelled)
+    given = sample.select("y", "doc_id").toPandas()  # max_labelled pairs of numbers at most
+    if any((given.y == c).sum() < 5 for c in (0, 1)):
+        return None
+    taken = {v: [given.doc_id.to_numpy(np.int64)] for v in ("text", "meta")}
+    extra = []
+    for turn in range(rounds):
+        left_out = {v: np.unique(np.concatenate(ids)) for v, ids in taken.items()}
+        extra.append(exchange(docs, *fitted_in_a_task([sample, *extra], sizes), confident, max_exchanged, turn, left_out))
+        got = extra[-1].select("to", "doc_id").toPandas()
+        for to, v in enumerate(taken):
+            taken[v].append(got.doc_id[got.to == to].to_numpy(np.int64))
+    return fitted_in_a_task([sample, *extra], sizes, last=True)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options) -> DataFrame:
     """doc_id, text_score, meta_score, score (calibrated probabilities of good quality) and kept (score >= least)."""
     model = train(docs, labels, **options)

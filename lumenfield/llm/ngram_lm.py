@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .merge_dropout import mix
-from .util import save
+from .util import discard, save
 
 #: Roles of a part: counted for the weights, deleted (the weights are learned on it), held out.
 KEPT, DELETED, HELD_OUT = 0, 1, 2
@@ -271,7 +271,9 @@ def totals_of(parts: DataFrame, n_parts: int, entries: dict[int, int], bucket_ke
         levels.append(send_up(levels[-1], bits[i - 1], bits[i], groups[i]))
     totals = save(add_up(levels[-1], bits[-1]))
     for i in range(depth - 2, -1, -1):
-        totals = save(send_down(levels[i], totals, bits[i], bits[i + 1]))
+        above, totals = totals, save(send_down(levels[i], totals, bits[i], bits[i + 1]))
+        discard(above)
+        discard(levels[i])
     return totals
 
 
@@ -378,7 +380,7 @@ def score_parts(parts: DataFrame, totals: DataFrame, total: int, distinct: int,
     return parts.groupBy("part").cogroup(given).applyInArrow(scores, SCORES)
 
 
-def lm_scores(docs: DataFrame, part_tokens: int = 2_000_000, bucket_keys: int = 500_000, fan: int = 64, rounds: int = 20) -> DataFrame:
+def lm_scores(docs: DataFrame, part_tokens: int = 4_000_000, bucket_keys: int = 500_000, fan: int = 1024, rounds: int = 20) -> DataFrame:
     """Scores of every row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     parts = save(make_parts(docs, part_tokens))
     n_parts, words, pairs = parts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_pairs"), F.lit(0))).first()

@@ -116,7 +116,15 @@ def save(df: DataFrame) -> DataFrame:
     """
     path = f"{scratch(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._lf_saved = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that save() made and that nothing reads any more."""
+    fs, name = pa.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", df._lf_saved))
+    fs.delete_dir(name)
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, ways: int = 8) -> DataFrame:

@@ -9,11 +9,13 @@ is unbounded in number then and bounded by angle, so a flood over the graph's li
 gathers every node that could be within the threshold of any of the group, and the group is compared
 with those in blocks.
 
-Each task audits itself: of the queries answered by beams, a hashed sample of those with a
-neighbour near the threshold or above it is compared with the whole shard, and beams are doubled for
-all those queries until the mean recall of the sampled queries' links (those to themselves left out)
-reaches the target. Every link is verified by cosine in double precision. A task keeps a count for
-each query and one label a node, and returns counts and a forest; components join those.
+Each task audits itself against its whole shard, on two samples by hash: of all queries, whatever
+way and whether at all their links were found, and of those whose beam came near the threshold.
+Beams are doubled until the mean recall of both samples' links (those to themselves left out)
+reaches the target. A link that all samples miss stays lost: the audit bounds the share, not each
+query. Every link is verified by cosine in double precision. A task keeps a count for each query and
+one label a node, and returns counts and a forest; components join those. Shards are sized by bytes,
+so a task's memory doesn't grow with the vectors' length.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing. Vectors
 of different lengths don't link. Repeated rows are vectors of their own and link with each other;
@@ -202,9 +204,23 @@ class Tally:
         self.q_rids, self.v_rids = q_rids, v_rids
         self.rids, at = np.unique(np.concatenate([q_rids, v_rids]), return_inverse=True)
         self.q_at, self.v_at = at[: len(q_rids)], at[len(q_rids) :]
-        self.counts = np.zeros(len(q_rids), np.int64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.counts = np.zeros(len(self.q), np.int64)
         self.label = np.arange(len(self.rids))
 
+    def true_counts(self, queries: np.ndarray, unit_q: np.ndarray, unit_v: np.ndarray) -> np.ndarray:
+        """The number of links of some queries by comparing them with everything."""
+        out = np.zeros(len(queries), np.int64)
+        rows = max(1, (1 << 22) // max(1, len(unit_v)))
+        for at in range(0, len(queries), rows):
+            own = queries[at : at + rows]
+            i, j = np.nonzero(unit_q[own] @ unit_v.T >= self.threshold - 1e-5)
+            ok = self.real(own[i], j)
+            out[at : at + rows] = np.bincount(i[ok], self.weight[j[ok]], len(own)).astype(np.int64)
+        return out
+
     def cosine(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         x, y = self.q[i], self.v[j]
         return (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
@@ -265,43 +281,50 @@ def crowded_links(g: Graph, queries: np.ndarray, left: np.ndarray, threshold: fl
         left = left[~near]
 
 
+def hashed_first(rids: np.ndarray, most: int) -> np.ndarray:
+    return np.argsort(rids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")[:most]
+
+
 def shard_links(g: Graph, queries: np.ndarray, threshold: float, beam: int, audit: int, recall: float, tally: Tally) -> tuple[float, int]:
-    """Put all links of the queries into tally. The mean recall of the audited queries' links, and how many were audited."""
+    """Put all links of the queries into tally. The recall of the audited queries' links, and how many audited queries have links.
+
+    Two samples are compared with the whole shard, whatever way their links were found: of all
+    queries, and of those whose beam came near the threshold, which are likelier to have links. The
+    first sees queries that lost everything. Recall is the mean over a sample's queries with links;
+    the lower of the two counts, and beams widen until it is reached.
+    """
     bound = threshold - 1e-5  # single precision; pairs are verified later
-    n, left, width = len(g.vecs), np.arange(len(queries)), beam
-    asked = left
+    n = len(g.vecs)
+    everyone = hashed_first(tally.q_rids, audit)
+    known: dict[int, int] = {}
     while True:
-        found_q, found_v, best = [], [], np.full(len(queries), -np.inf)
-        left, width = asked, beam
+        tally.clear()
+        left, width, best = np.arange(len(queries)), beam, np.full(len(queries), -np.inf)
         while len(left):
             ids, sims = g.search(queries[left], width)
             own = np.where((ids >= 0) & (tally.v_rids[np.maximum(ids, 0)] != tally.q_rids[left][:, None]), sims, -np.inf)
             best[left] = own.max(1)
             full = (sims.min(1) >= bound) & (width < n)
             i, j = np.nonzero((sims >= bound) & ~full[:, None])
-            found_q.append(left[i])
-            found_v.append(ids[i, j])
+            tally.add(left[i], ids[i, j])
             left = left[full]
             if width >= 4 * beam and len(left):
                 break
             width *= 2
-        i, j = np.concatenate(found_q), np.concatenate(found_v)
-        i, j = (x[tally.real(i, j)] for x in (i, j))
-        beamed = np.setdiff1d(asked, left)
-        close = beamed[best[beamed] >= threshold - 0.05]
-        sample = close[np.argsort(tally.q_rids[close].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")[:audit]]
-        got, true = np.bincount(i, minlength=len(queries)), np.zeros(len(queries), np.int64)
-        rows = max(1, (1 << 22) // n)
-        for at in range(0, len(sample), rows):
-            own = sample[at : at + rows]
-            a, b = np.nonzero(queries[own] @ g.vecs.T >= bound)
-            true[own] = np.bincount(a[tally.real(own[a], b)], minlength=len(own))
-        sample = sample[true[sample] > 0]
-        reached = float((got[sample] / true[sample]).mean()) if len(sample) else 1.0
+        crowded_links(g, queries, left, threshold, tally)
+        close = np.flatnonzero(best >= threshold - 0.05)
+        close = close[hashed_first(tally.q_rids[close], audit)]
+        new = np.setdiff1d(np.concatenate([everyone, close]), np.fromiter(known, np.int64, len(known)))
+        known |= dict(zip(new.tolist(), tally.true_counts(new, queries, g.vecs).tolist(), strict=True))
+        reached, seen = 1.0, 0
+        for sample in (everyone, close):
+            true = np.array([known[k] for k in sample.tolist()], np.int64)
+            some = true > 0
+            seen += int(some.sum())
+            if some.any():
+                reached = min(reached, float((tally.counts[sample[some]] / true[some]).mean()))
         if reached >= recall or beam >= n:
-            tally.add(i, j)
-            crowded_links(g, queries, left, threshold, tally)
-            return reached, len(sample)
+            return reached, seen
         beam *= 2
 
 
@@ -384,10 +407,10 @@ def opened(path: str, queries: slice | None = None) -> tuple:
 FOUND = "kind int, a long, b long"
 
 
-def linked(vectors: DataFrame, n: int, threshold: float, shard_rows: int, slot_rows: int, min_shards: int, m: int, beam: int, recall: float, audit: int) -> DataFrame:
+def linked(vectors: DataFrame, n_bytes: int, threshold: float, shard_bytes: int, slot_rows: int, min_shards: int, m: int, beam: int, recall: float, audit: int) -> DataFrame:
     """Rows (kind, a, b): 0, a query and its number of links with a shard; 1, the ends of a forest's link; 2, audited queries of a task and their recall in millionths."""
     spark = vectors.sparkSession
-    shards = max(min_shards, -(-n // shard_rows))
+    shards = max(min_shards, -(-n_bytes // shard_bytes))
     graphs = cut(build_graphs(vectors, shards, m, beam + beam // 2, shared_folder(spark, "graphs")))
     slots = F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(slot_rows).cast("long"))).alias("at")
     asks = graphs.select("dim", F.col("path").alias("queries"), slots)
@@ -411,17 +434,23 @@ def linked(vectors: DataFrame, n: int, threshold: float, shard_rows: int, slot_r
 
 
 def near_vectors(
-    embeddings: DataFrame, threshold: float = 0.9, shard_rows: int = 500_000, slot_rows: int = 50_000, min_shards: int = 4,
+    embeddings: DataFrame, threshold: float = 0.9, shard_bytes: int = 128 << 20, slot_rows: int = 50_000, min_shards: int = 4,
     m: int = 12, beam: int = 32, recall: float = 0.999, audit: int = 512, report: dict | None = None,
 ) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row of embeddings. report, if given, gets the audited queries and their mean recall."""
+    """vec_id, n_links, component_id and kept of every row of embeddings.
+
+    shard_bytes: of a shard's vectors in single precision; a task holds some five times as much.
+    report, if given, gets the number of audited queries with links, their mean recall, and that of
+    the lowest task.
+    """
     kind = "array<double>" if dict(embeddings.dtypes)["embedding"] == "array<double>" else "array<float>"
     rows = cut(embeddings.select(F.monotonically_increasing_id().alias("rid"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding")))
     vectors = cut(distinct_vectors(rows))
-    found = linked(vectors, vectors.count(), threshold, shard_rows, slot_rows, min_shards, m, beam, recall, audit)
+    n_bytes = vectors.agg(F.coalesce(F.sum(F.size("embedding").cast("long") * 4), F.lit(0))).first()[0]
+    found = linked(vectors, n_bytes, threshold, shard_bytes, slot_rows, min_shards, m, beam, recall, audit)
     if report is not None:
-        audited, reached = found.where("kind = 2").agg(F.sum("a"), F.sum(F.col("a") * F.col("b")) / F.greatest(F.sum("a"), F.lit(1)) / 1e6).first()
-        report.update(audited=audited or 0, recall=reached)
+        audited, reached, lowest = found.where("kind = 2").agg(F.sum("a"), F.sum(F.col("a") * F.col("b")) / F.greatest(F.sum("a"), F.lit(1)) / 1e6, F.min("b") / 1e6).first()
+        report.update(audited=audited or 0, recall=reached, lowest=lowest)
     counts = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("linked"))
     roots = components(found.where("kind = 1"), "a", "b")
     reps = vectors.select("rid", "times", "embedding").join(counts, F.col("rid") == F.col("a"), "left").drop("a").join(roots, F.col("rid") == F.col("node"), "left")

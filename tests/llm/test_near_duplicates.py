@@ -281,3 +281,47 @@ def test_lines_of_odd_tables(spark):
     assert got == [(0, 1, ""), (1, 1, "0"), (1, 1, "0"), (2, 0, "")]
     assert line_dedup.line_dedup(df.limit(0)).count() == line_dedup.line_digest(df.limit(0)).count() == 0
     assert line_dedup.line_dedup(df.withColumn("hash", F.lit(1))).columns == ["doc_id", "text", "hash"]
+
+
+def with_common_mean(n, pairs, dim=64, seed=11):
+    """Unit vectors that share a mean, as text embeddings do, the last ones near copies of the first."""
+    rng = np.random.default_rng(seed)
+    v = rng.normal(size=(n, dim)) / np.sqrt(dim) + 0.9 * np.ones(dim) / np.sqrt(dim)
+    v[n - pairs :] = v[:pairs] + rng.normal(size=(pairs, dim)) * 0.25 / np.sqrt(dim)
+    return v.astype(np.float32)
+
+
+def test_common_mean_and_planted_pairs(spark):
+    n, pairs = 3000, 300
+    v = with_common_mean(n, pairs)
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    want = near.sum(1)
+    report = {}
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in hnsw.near_vectors(df, min_shards=1, report=report).collect()}
+    have = np.array([got[i] for i in range(n)])
+    assert want.sum() >= 2 * pairs and (have <= want).all()
+    recall = float((have[want > 0] / want[want > 0]).mean())
+    assert recall >= 0.99 and abs(report["recall"] - recall) <= 0.005 and report["audited"] > 100 and report["lowest"] <= report["recall"]
+
+
+def test_audit_sees_queries_that_lost_everything():
+    v = with_common_mean(400, 60)
+    g, order = hnsw.Graph.build(hnsw.unit(hnsw.scaled(v)), np.zeros(400, int), 12, 48)
+    ids = np.arange(400)[order]
+    q = hnsw.scaled(v[order])
+    whole, found = g.search, []
+
+    def blind(queries, width):
+        out, sims = whole(queries, width)
+        sims[:, :] = np.where(sims > 0.9999, sims, -1)  # all but the query itself
+        found.append(width)
+        return out, sims
+
+    tally = hnsw.Tally(ids, q, ids, q, np.ones(400, int), 0.9)
+    assert hnsw.shard_links(g, hnsw.unit(q), 0.9, 32, 200, 0.999, tally)[0] == 1.0 and tally.counts.sum() >= 120
+    g.search = blind
+    reached, audited = hnsw.shard_links(g, hnsw.unit(q), 0.9, 32, 200, 0.999, hnsw.Tally(ids, q, ids, q, np.ones(400, int), 0.9))
+    assert reached == 0.0 and audited > 10 and found[-1] >= 400  # widened to the end, and told

@@ -108,6 +108,22 @@ def m03(spark, d):
     return m.select("seq", tile.alias("tile_id"), stat.alias("stats_id"), ms.request("load_tile", F.col("source_id"), F.col("request_id"), F.struct("tx", "ty")).alias("envelope"))
 
 
+@query("m03_request_builders", f"""WITH {MSG}, q AS (SELECT *, '"dataSource":{{"kind":"envi-http","headerUrl":"h' || source_id || '"}}' AS src, '{{"protocolVersion":1,"type":"' AS head, '","sourceId":' || source_id || ',"requestId":"' AS mid FROM msg WHERE tx IS NOT NULL AND bands IS NOT NULL)
+SELECT seq, head || CASE seq % 4
+ WHEN 0 THEN 'load_tile' || mid || 'tile:' || source_id || ':transition:' || tx || ',' || ty || ':' || array_to_string(bands, ',') || '","payload":{{' || src || ',"tile":{{"x":' || tx || ',"y":' || ty || '}},"bands":[' || array_to_string(bands, ',') || ']}}'
+ WHEN 1 THEN 'calculate_stats' || mid || 'stats:' || source_id || CASE WHEN is_initial THEN ':initial:' ELSE ':background:' END || array_to_string(bands, ',') || '","payload":{{' || src || ',"bands":[' || array_to_string(bands, ',') || '],"isInitial":' || is_initial || '}}'
+ WHEN 2 THEN 'get_spectrum' || mid || request_id || '","payload":{{' || src || ',"x":' || tx || ',"y":' || ty || '}}'
+ ELSE 'cancel' || mid || request_id || '","payload":{{"reason":"superseded"}}' END || '}}' AS envelope FROM q""")
+def m03_builders(spark, d):
+    c, n = F.col, F.col("seq")
+    load = F.struct(F.lit("envi-http").alias("kind"), F.concat(F.lit("h"), c("source_id").cast("string")).alias("headerUrl"))
+    made = (
+        F.when(n % 4 == 0, ms.tile_request(c("source_id"), F.lit("transition"), c("tx"), c("ty"), c("bands"), load)).when(n % 4 == 1, ms.stats_request(c("source_id"), c("bands"), c("is_initial"), load))
+        .when(n % 4 == 2, ms.spectrum_request(c("source_id"), c("request_id"), c("tx"), c("ty"), load)).otherwise(ms.cancel_request(c("source_id"), c("request_id"), F.lit("superseded")))
+    )
+    return messages(spark, d).where("tx is not null and bands is not null").select("seq", made.alias("envelope"))
+
+
 @query("f43_parsed_envelopes", f"WITH {MSG} SELECT seq, CASE WHEN seq % 10 <> 0 THEN 1 END::INT AS protocol_version, CASE WHEN seq % 10 <> 0 THEN type ELSE 'error' END AS type, CASE WHEN seq % 10 <> 0 THEN source_id ELSE 0 END AS source_id, CASE WHEN seq % 10 <> 0 THEN tx END AS tx FROM msg")
 def f43(spark, d):
     e = F.to_json(F.struct(F.lit(1).alias("protocolVersion"), F.col("type"), F.col("source_id").alias("sourceId"), F.struct(F.struct(F.col("tx").alias("x"), F.col("ty").alias("y")).alias("tile")).alias("payload")))
@@ -464,6 +480,12 @@ def s31(spark, d):
     return samples(spark, d).select("id", "validation_tier", "problem", catalog.resolved(F.col("header_url"), "https://h.example/cat/list.json").alias("header"))
 
 
+@query("s32_load_sources", """SELECT 's' || n_nationkey AS id, CASE WHEN n_nationkey % 9 <> 8 AND n_nationkey % 7 <> 6 THEN CASE n_nationkey % 6 WHEN 0 THEN 'https://h.example/a/b.hdr' WHEN 1 THEN 'https://h.example/cat/c.hdr' WHEN 2 THEN 'https://o.example/x.hdr' WHEN 3 THEN 'https://h.example/up.hdr' WHEN 4 THEN 'https://h.example/cat/list.json?v=2' ELSE 'ftp://z.example/e.hdr' END END AS header,
+CASE WHEN n_nationkey % 9 <> 8 AND n_nationkey % 7 <> 6 THEN 'https://x.example/d.img' END AS data FROM nation""")
+def s32(spark, d):
+    return samples(spark, d).select("id", catalog.load_source("https://h.example/cat/list.json").alias("l")).select("id", "l.header", "l.data")
+
+
 @query("p20_catalog_tier", "SELECT 's' || n_nationkey AS id FROM nation WHERE n_nationkey % 2 = 0")
 def p20(spark, d):
     return catalog.by_tier(samples(spark, d), "public").select("id")

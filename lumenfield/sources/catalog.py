@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from urllib.parse import urljoin
+from urllib.parse import urlsplit
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,14 +60,42 @@ def by_tier(samples: DataFrame, tier: str) -> DataFrame:
     return samples if tier == "all" else samples.where(F.col("validation_tier") == tier)
 
 
-def resolved(url: Column, base: str) -> Column:
-    """The URL that a reference means beside the base: schemes, "//host", dot segments and "?query" as in the URL standard."""
+def without_dots(path: Column) -> Column:
+    """A path without "." and "..": "a/../b" is "b", and ".." at the top is nothing."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        # the empty part before a leading "/" stays where it is
+        lambda done, p: F.when(p == "..", F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)).when(p == ".", done).otherwise(F.concat(done, F.array(p))),
+    )
+    open_end = F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    return F.concat(F.array_join(kept, "/"), open_end)
 
-    @F.pandas_udf("string")
-    def join(urls: pd.Series) -> pd.Series:
-        return urls.map(lambda u: None if u is None else urljoin(base, u))
 
-    return join(url)
+def resolved(url: Column, base: str) -> Column:
+    """The URL that a reference means beside the base: schemes, "//host", dot segments, "?query" and "#fragment" as in the URL standard, as one expression."""
+    b = urlsplit(base)
+    root = f"{b.scheme}://{b.netloc}"
+    folder = (b.path or "/").rpartition("/")[0] + "/"
+    tail = F.regexp_extract(url, r"([?#].*)?$", 1)
+    path = F.regexp_extract(url, r"^([^?#]*)", 1)
+    own = (f"{b.path}?{b.query}" if b.query else b.path) if b.path else ""
+    return (
+        F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), url)
+        .when(url.startswith("//"), F.concat(F.lit(f"{b.scheme}:"), url))
+        .when(path.startswith("/"), F.concat(F.lit(root), without_dots(path), tail))
+        .when(path != "", F.concat(F.lit(root), without_dots(F.concat(F.lit(folder), path)), tail))
+        .when(tail.startswith("?"), F.concat(F.lit(root + b.path), tail))
+        .otherwise(F.concat(F.lit(root + own), tail))
+    )
+
+
+def load_source(base: str | None = None) -> Column:
+    """Of a sample what a load takes: a struct of kind, header, data (beside the base, if one is given) and request headers without nulls; null for a sample with a problem."""
+    place = lambda c: F.col(c) if base is None else resolved(F.col(c), base)
+    kept = F.map_filter("headers", lambda _, v: v.isNotNull())
+    return F.when(F.col("problem").isNull(), F.struct("kind", place("header_url").alias("header"), place("data_url").alias("data"), F.when(F.size(kept) > 0, kept).alias("headers")))
 
 
 def origin_of(url: Column) -> Column:

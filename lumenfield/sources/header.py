@@ -9,8 +9,7 @@ import math
 import re
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Type codes of the format, and names that stand for a type.
@@ -150,23 +149,78 @@ SCHEMA = (
 )
 
 
-def row_of(text: str | None) -> dict:
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-    try:
-        h = parse(text or "")
-    except HeaderError as e:
-        return dict.fromkeys(names) | {"error": str(e)}
-    return {n: getattr(h, n, None) for n in names} | {"wavelength": None if h.wavelength is None else list(h.wavelength), "custom_fields": dict(h.custom_fields)}
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def entries_of(text: Column) -> Column:
+    """What fields_of() finds, as a struct of done (keys and values in their order) and key (of a value that isn't closed, or null)."""
+    blank = r" \t\x0B\f\x1C-\x1F"
+    trim = lambda c: F.regexp_replace(c, f"^[{blank}]+|[{blank}]+$", "")
+    upto_brace = lambda c: trim(F.regexp_extract(c, r"(?s)^(.*)\}", 1))
+    pair = "struct<key:string,value:string>"
+
+    def step(state: Column, row: Column) -> Column:
+        put = lambda key, value: F.concat(state["done"], F.array(F.struct(key.alias("key"), value.alias("value"))))
+        none = F.lit(None).cast("string")
+        made = lambda done, key=none, held=none: F.struct(done.alias("done"), key.alias("key"), held.alias("held"))
+
+        def inside(more: Column) -> Column:
+            return F.when(more.contains("}"), made(put(state["key"], upto_brace(more)))).otherwise(made(state["done"], state["key"], more))
+
+        def fresh(r: Column) -> Column:
+            key, value = F.lower(trim(F.substring_index(r, "=", 1))), trim(F.regexp_replace(r, "(?s)^[^=]*=", ""))
+            opened = F.regexp_replace(value, r"^\{", "")
+            return (
+                F.when((r == "") | r.startswith(";") | ~r.contains("="), state)
+                .when(~value.startswith("{"), made(put(key, value)))
+                .when(opened.contains("}"), made(put(key, upto_brace(opened))))
+                .otherwise(made(state["done"], key, opened))
+            )
+
+        return F.when(state["key"].isNotNull(), let(F.concat(trim(state["held"]), F.lit(" "), trim(row)), inside)).otherwise(let(trim(row), fresh))
+
+    first = F.struct(F.array().cast(f"array<{pair}>").alias("done"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("held"))
+    return F.aggregate(F.split(text, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"), first, step)
+
+
+def header_of(text: Column) -> Column:
+    """A header text as a struct of SCHEMA, by expressions only: what parse() gives, or why there is nothing, in error."""
+    def fields(found: Column) -> Column:
+        # of equal keys the last counts: the first of the reversed ones
+        done = F.reverse(found["done"])
+        get = lambda name: F.get(F.filter(done, lambda e: e["key"] == name), F.lit(0))["value"]
+        keys = F.array_distinct(F.transform(done, lambda e: e["key"]))
+        custom = F.map_from_entries(F.transform(F.filter(keys, lambda k: ~k.isin(*NAMED)), lambda k: F.struct(k.alias("key"), F.get(F.filter(done, lambda e: e["key"] == k), F.lit(0))["value"].alias("value"))))
+        value = {k: get(k) for k in NAMED}
+        whole = lambda k, other=None: F.when(F.coalesce(value[k], F.lit(other)).rlike(r"^\s*\+?[0-9]+\s*$"), F.trim(F.coalesce(value[k], F.lit(other))).try_cast("long"))
+        among = lambda c, names: F.try_element_at(F.create_map(*(F.lit(x) for p in names.items() for x in p)), c.cast("string"))
+        kind = among(whole("data type"), {str(k): v for k, v in TYPE_CODES.items()})
+        order = among(whole("byte order", "0"), ORDERS)
+        shape = F.when(F.lower(F.trim(value["interleave"])).isin(*LAYOUTS), F.lower(F.trim(value["interleave"])))
+        numbered = lambda k, other=None: F.when(F.coalesce(value[k], F.lit(other)).isNull(), F.lit(f"missing field: {k}")).when(whole(k, other).isNull(), F.concat(F.lit(f"not a number: {k} = "), value[k]))
+        error = F.coalesce(
+            F.when(found["key"].isNotNull(), F.concat(F.lit("the value of "), found["key"], F.lit(" isn't closed"))),
+            *(numbered(k) for k in ("samples", "lines", "bands", "data type")), F.when(kind.isNull(), F.concat(F.lit("unsupported data type: "), whole("data type").cast("string"))),
+            F.when(value["interleave"].isNull(), F.lit("missing field: interleave")), F.when(shape.isNull(), F.concat(F.lit("unsupported interleave: "), value["interleave"])),
+            numbered("byte order", "0"), F.when(order.isNull(), F.concat(F.lit("unsupported byte order: "), whole("byte order", "0").cast("string"))), numbered("header offset", "0"),
+            *(F.when(whole(k) < 1, F.lit(f"{k} must be positive")) for k in ("samples", "lines", "bands")),
+        )
+        waves = F.transform(F.split(value["wavelength"], ","), lambda v: F.trim(v).try_cast("double"))
+        out = {
+            "samples": whole("samples").try_cast("int"), "lines": whole("lines").try_cast("int"), "bands": whole("bands").try_cast("int"), "interleave": shape, "data_type": kind, "byte_order": order, "header_offset": whole("header offset", "0"),
+            "bytes_per_pixel": F.try_element_at(F.create_map(*(F.lit(x) for p in WIDTHS.items() for x in p)), kind), "description": value["description"], "file_type": value["file type"], "sensor_type": value["sensor type"],
+            "map_info": value["map info"], "coordinate_system_string": value["coordinate system string"], "wavelength": F.when(F.forall(waves, lambda v: v.isNotNull()), waves), "custom_fields": custom,
+        }
+        return F.struct(*(F.when(error.isNull(), c).alias(n) for n, c in out.items()), error.alias("error"))
+
+    return let(entries_of(F.coalesce(text, F.lit(""))), fields)
 
 
 def parse_all(headers: DataFrame, text: str = "value") -> DataFrame:
     """headers with a struct column header; headers that can't be read have its error set."""
-
-    @F.pandas_udf(SCHEMA)
-    def parsed(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([row_of(t) for t in texts], columns=[x.split()[0] for x in SCHEMA.split(", ")])
-
-    return headers.withColumn("header", parsed(F.col(text)))
+    return headers.withColumn("header", header_of(F.col(text)).cast("struct<" + ",".join(f"{n}:{t}" for n, t in (x.split(" ", 1) for x in SCHEMA.split(", "))) + ">"))
 
 
 def render(h: Header) -> str:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 PROTOCOL = 1
 #: Commands to workers and their responses.
 COMMANDS = ("init", "cancel", "calculate_stats", "load_tile", "get_spectrum")
@@ -65,8 +67,8 @@ def tile_reaction(stored: Column, transitioning: Column, remaining: Column, metr
 
 def tile_error_reaction(tile: Column, message: Column, transitioning: Column, remaining: Column) -> Column:
     name = F.coalesce(tile, F.lit("unknown"))
-    text = F.concat(F.lit("Worker failed to load tile ("), name, F.lit(") : "), F.coalesce(F.when(message != "", message), F.lit("Unknown error")))
-    return F.struct(name.alias("tile"), text.alias("log"), (transitioning & (remaining == 0)).alias("finalise"))
+    line = F.concat(F.lit("Worker failed to load tile ("), name, F.lit(") : "), F.coalesce(F.when(message != "", message), F.lit("Unknown error")))
+    return F.struct(name.alias("tile"), line.alias("log"), (transitioning & (remaining == 0)).alias("finalise"))
 
 
 def stats_reaction(initial: Column, transitioning: Column, waiting: Column, ready: Column) -> Column:
@@ -87,6 +89,25 @@ def request(command: str, source: Column, request_id: Column, payload: Column) -
     return F.to_json(F.struct(F.lit(PROTOCOL).alias("protocolVersion"), F.lit(command).alias("type"), source.alias("sourceId"), request_id.alias("requestId"), payload.alias("payload")))
 
 
+def tile_request(source: Column, phase: Column, tx: Column, ty: Column, bands: Column, load: Column) -> Column:
+    """A tile's request, with the id that tells it from others. load: a struct of what is loaded from."""
+    payload = F.struct(load.alias("dataSource"), F.struct(tx.alias("x"), ty.alias("y")).alias("tile"), bands.alias("bands"))
+    return request("load_tile", source, text.tile_request_id(source, phase, tx, ty, bands), payload)
+
+
+def stats_request(source: Column, bands: Column, initial: Column, load: Column) -> Column:
+    payload = F.struct(load.alias("dataSource"), bands.alias("bands"), initial.alias("isInitial"))
+    return request("calculate_stats", source, text.stats_request_id(source, bands, initial), payload)
+
+
+def spectrum_request(source: Column, request_id: Column, x: Column, y: Column, load: Column) -> Column:
+    return request("get_spectrum", source, request_id, F.struct(load.alias("dataSource"), x.alias("x"), y.alias("y")))
+
+
+def cancel_request(source: Column, request_id: Column, reason: Column) -> Column:
+    return request("cancel", source, request_id, F.struct(reason.alias("reason")))
+
+
 ENVELOPE = "protocolVersion int, type string, sourceId bigint, requestId string, payload struct<bands:array<int>,tile:struct<x:int,y:int>,isInitial:boolean,message:string>, error struct<message:string>"
 
 

@@ -455,7 +455,9 @@ def near_vectors(
     roots = components(found.where("kind = 1"), "a", "b")
     reps = vectors.select("rid", "times", "embedding").join(counts, F.col("rid") == F.col("a"), "left").drop("a").join(roots, F.col("rid") == F.col("node"), "left")
     reps = reps.select("embedding", F.coalesce("root", "rid").alias("root"), (F.coalesce("linked", F.lit(0)) + F.col("times") - 1).alias("n_links"))
-    named = cut(rows.join(reps, "embedding", "left").select("rid", "vec_id", "root", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    # rows without a vector stand aside: as nulls of a join's key they would all meet in one task
+    there = rows.where("embedding is not null").join(reps, "embedding", "left").select("rid", "vec_id", "root", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = cut(there.union(rows.where("embedding is null").select("rid", "vec_id", F.lit(None).cast("long"), F.lit(0).cast("long"))))
     least = named.where("root is not null").groupBy("root").agg(F.min("vec_id").alias("least"))
     alone = named.where("root is null").select("vec_id", "n_links", F.col("vec_id").alias("component_id"))
     out = spread_join(named.where("root is not null"), least, "root", "rid").select("vec_id", "n_links", F.col("least").alias("component_id")).union(alone)

@@ -196,6 +196,15 @@ class Cube:
         h = self.header
         return self.pixels.sparkSession.createDataFrame([(h.samples, h.lines, h.bands, h.interleave.upper(), h.data_type, h.byte_order.upper(), size)], "samples int, lines int, bands int, interleave string, data_type string, byte_order string, file_size long")
 
+    def summary(self) -> DataFrame:
+        """metadata() with the source's name and kind (memory, local, parts or http); a cube in files has its size in bytes."""
+        from ..sources.ranges import name_of, open_bytes
+
+        data = (self.options or {}).get("data")
+        source = open_bytes(data, {k.removeprefix("http."): v for k, v in self.options.items() if k.startswith("http.")}) if data else None
+        named = self.metadata(source.size() if source else None)
+        return named.select(F.lit(name_of(data) if data else "cube").alias("name"), F.lit(source.kind if source else "memory").alias("kind"), *named.columns)
+
     def unpersist(self) -> None:
         self.stored.clear()
         for df in (self.pixels, self.wide):

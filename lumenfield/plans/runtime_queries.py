@@ -256,6 +256,20 @@ def w02(spark, d):
     return caching.kept(caching.last_touched(touches(spark, d)), tiles=60).select("source_id", "tile", "seq", "bytes")
 
 
+@query("m22_cache_policies", """WITH c AS (SELECT user_id % 6 AS source_id, event_id AS seq, ['metadata', 'stats', 'raw-tiles', 'render-tiles'][event_id % 4 + 1] AS policy, event_id % 3 AS viewport, (value * 100000)::BIGINT AS bytes, CASE event_id % 700 WHEN 3 THEN 'source-switch' WHEN 4 THEN 'device-loss' WHEN 5 THEN 'viewport-eviction' WHEN 6 THEN 'budget-eviction' WHEN 7 THEN 'unload' END AS kind FROM events),
+l AS (SELECT policy, unnest(clears) AS kind FROM (VALUES ('metadata', ['unload', 'source-switch', 'destroy']), ('stats', ['unload', 'source-switch', 'destroy']), ('raw-tiles', ['unload', 'source-switch', 'viewport-eviction', 'budget-eviction']), ('render-tiles', ['unload', 'source-switch', 'budget-eviction', 'device-loss', 'destroy'])) v(policy, clears)),
+s AS (SELECT c.policy, c.source_id, c.viewport, c.seq, c.bytes, l2.cleared FROM c LEFT JOIN (SELECT l.policy, c.source_id, max(c.seq) AS cleared FROM c JOIN l ON c.kind = l.kind GROUP BY ALL) l2 ON l2.policy = c.policy AND l2.source_id = c.source_id WHERE c.kind IS NULL AND coalesce(l2.cleared, -1) < c.seq),
+w AS (SELECT *, sum(bytes) OVER (PARTITION BY policy, source_id, CASE WHEN policy = 'raw-tiles' THEN viewport END ORDER BY seq DESC ROWS UNBOUNDED PRECEDING) AS upto, row_number() OVER (PARTITION BY policy, source_id, CASE WHEN policy = 'raw-tiles' THEN viewport END ORDER BY seq DESC) AS n FROM s)
+SELECT policy, source_id, seq FROM w WHERE policy = 'stats' OR policy = 'metadata' AND n <= 1 OR policy = 'raw-tiles' AND upto <= 67108864 OR policy = 'render-tiles' AND upto <= 134217728 AND n <= 512""")
+def m22(spark, d):
+    n = F.col("event_id")
+    kind = F.try_element_at(F.create_map(*(F.lit(x) for p in {3: "source-switch", 4: "device-loss", 5: "viewport-eviction", 6: "budget-eviction", 7: "unload"}.items() for x in p)), (n % 700).cast("int"))
+    policy = F.element_at(F.array(*map(F.lit, caching.POLICIES)), (n % 4 + 1).cast("int"))
+    c = table(spark, d, "events").select((F.col("user_id") % 6).alias("source_id"), n.alias("seq"), policy.alias("policy"), (n % 3).alias("viewport"), F.round(F.col("value") * 100000).cast("long").alias("bytes"), kind.alias("kind"))
+    live = caching.standing(c.where("kind is null").drop("kind"), c.where("kind is not null").select("source_id", "kind", "seq"))
+    return caching.held(live).select("policy", "source_id", "seq")
+
+
 @query("a07_u04_cache_usage", f"WITH {TOUCH} SELECT source_id, count(*) AS tiles, sum(bytes)::BIGINT AS bytes FROM (SELECT * FROM t WHERE seq % 2 = 0 UNION ALL SELECT * FROM t WHERE seq % 2 = 1) GROUP BY source_id")
 def a07(spark, d):
     t = touches(spark, d)

@@ -45,6 +45,7 @@ def test_absent_cells_are_zero_and_a_second_write_replaces_the_first(spark, tmp_
     write_cube(spark.createDataFrame([(1, 4, 2, 2.5), (0, 1, 1, None)], "x int, y int, band int, value double"), h, head, data, 2)
     assert {k: v for k, v in cells(Cube.load(spark, head, data).cells()).items() if v} == {(1, 4, 2): 2.5}
     assert len([f for f in os.listdir(tmp_path) if f.startswith("c.parts.")]) == 1
+    assert tuple(Cube.load(spark, head, data).summary().first()) == ("c.parts", "parts", 3, 5, 2, "BSQ", "f32", "LSB", 120)
     write_cube(spark.createDataFrame([], "x int, y int, band int, value double"), h, head, f"{tmp_path}/e.img")
     assert not any(cells(Cube.load(spark, head, f"{tmp_path}/e.img").cells()).values())
 

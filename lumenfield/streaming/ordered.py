@@ -124,17 +124,23 @@ def opened(spark: SparkSession, folder: str, files: int) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
-def drained(spark: SparkSession, stream: DataFrame, folder: str, timeout: int = 600) -> DataFrame:
-    """Run a stream on what there is, from its checkpoint beside the folder, and read what it has put out so far."""
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+def drained(spark: SparkSession, stream: DataFrame, folder: str, timeout: int = 600, partitions: int = 8) -> DataFrame:
+    """Run a stream on what there is, from its checkpoint beside the folder, and read what it has put out so far.
+
+    partitions: of its state, which a checkpoint keeps from its first run on; more for a larger stream.
+    """
+    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.shuffle.partitions": str(partitions)}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         q = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}-checkpoint").option("path", folder).trigger(availableNow=True).start()
         if not q.awaitTermination(timeout):
             q.stop()
             raise TimeoutError("the stream didn't end")
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(stream.schema).parquet(folder)
 
 

@@ -13,7 +13,7 @@ from ..operators.stats_store import StatsStore
 from ..sources.synthetic import shared_folder
 from . import viewing
 from .registry import query
-from .standin import BANDS, DIM, FILE_PX, PX, SAMPLES, SIZE, file_cube, pixels, table, wide
+from .standin import BANDS, DIM, FILE_PX, MAP_INFO, PX, SAMPLES, SIZE, file_cube, pixels, table, wide
 from .standin import cube as make_cube
 
 D = "double"

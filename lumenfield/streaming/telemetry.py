@@ -24,7 +24,9 @@ def baseline(samples: DataFrame, again_ms: int = AGAIN) -> DataFrame:
     a source matter: they are cut out by rank, which Spark limits before the shuffle.
     """
     order = Window.partitionBy("source_id").orderBy("__t", "seq")
-    s = samples.select("source_id", "seq", "cpu", "memory", "gpu", "busy", micros("ts").alias("__t"))
+    # samples without a time stand in their order, too far apart to be seen together
+    time = micros("ts") if "ts" in samples.columns else F.col("seq") * (again_ms * 1000 + 1)
+    s = samples.select("source_id", "seq", "cpu", "memory", "gpu", "busy", time.alias("__t"))
     s = s.withColumn("n", F.row_number().over(order)).where(F.col("n") <= FORCED)
     idle = (F.col("cpu") < IDLE) & ~F.col("busy")
     ahead = Window.partitionBy("source_id").orderBy("__t").rangeBetween(Window.currentRow, again_ms * 1000)

@@ -11,9 +11,8 @@ with those in blocks.
 
 Each task audits itself against its whole shard, on two samples by hash: of all queries, whatever
 way and whether at all their links were found, and of those whose beam came near the threshold.
-Beams are doubled until the mean recall of both samples' links (those to themselves left out)
-reaches the target. A link that all samples miss stays lost: the audit bounds the share, not each
-query. Every link is verified by cosine in double precision. A task keeps a count for each query and
+Beams are doubled until the mean recall of the second sample's links (those to themselves left out)
+reaches the target; the first tells what is lost beside, and the report the lower of the two. Every link is verified by cosine in double precision. A task keeps a count for each query and
 one label a node, and returns counts and a forest; components join those. Shards are sized by bytes,
 so a task's memory doesn't grow with the vectors' length.
 
@@ -288,10 +287,9 @@ def hashed_first(rids: np.ndarray, most: int) -> np.ndarray:
 def shard_links(g: Graph, queries: np.ndarray, threshold: float, beam: int, audit: int, recall: float, tally: Tally) -> tuple[float, int]:
     """Put all links of the queries into tally. The recall of the audited queries' links, and how many audited queries have links.
 
-    Two samples are compared with the whole shard, whatever way their links were found: of all
-    queries, and of those whose beam came near the threshold, which are likelier to have links. The
-    first sees queries that lost everything. Recall is the mean over a sample's queries with links;
-    the lower of the two counts, and beams widen until it is reached.
+    Beams widen until the mean recall of a hashed sample of the queries that beams answered and that
+    came near the threshold is reached. A second sample, of all queries however answered, sees those
+    that lost everything: it doesn't widen beams, but the lower of the two recalls is told.
     """
     bound = threshold - 1e-5  # single precision; pairs are verified later
     n = len(g.vecs)
@@ -311,20 +309,23 @@ def shard_links(g: Graph, queries: np.ndarray, threshold: float, beam: int, audi
             if width >= 4 * beam and len(left):
                 break
             width *= 2
-        crowded_links(g, queries, left, threshold, tally)
-        close = np.flatnonzero(best >= threshold - 0.05)
+        beamed = np.setdiff1d(np.arange(len(queries)), left)
+        close = beamed[best[beamed] >= threshold - 0.05]
         close = close[hashed_first(tally.q_rids[close], audit)]
         new = np.setdiff1d(np.concatenate([everyone, close]), np.fromiter(known, np.int64, len(known)))
         known |= dict(zip(new.tolist(), tally.true_counts(new, queries, g.vecs).tolist(), strict=True))
-        reached, seen = 1.0, 0
-        for sample in (everyone, close):
+        recalls, seen = [], 0
+        for sample in (close, everyone):
+            if sample is everyone:
+                if recalls[0] < recall and beam < n:
+                    break
+                crowded_links(g, queries, left, threshold, tally)
             true = np.array([known[k] for k in sample.tolist()], np.int64)
             some = true > 0
             seen += int(some.sum())
-            if some.any():
-                reached = min(reached, float((tally.counts[sample[some]] / true[some]).mean()))
-        if reached >= recall or beam >= n:
-            return reached, seen
+            recalls.append(float((tally.counts[sample[some]] / true[some]).mean()) if some.any() else 1.0)
+        if recalls[0] >= recall or beam >= n:
+            return min(recalls), seen
         beam *= 2
 
 

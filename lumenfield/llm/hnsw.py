@@ -5,16 +5,19 @@ vectors become one layered graph, written to the shared folder and opened by pat
 queries the graph of every shard, in tasks of one graph and slot_rows queries. A search whose whole
 beam lies above the threshold may have missed links and is repeated with a wider beam. From
 4 * beam on, crowded queries that are near one of them (the pivot) are answered together: the beam
-is unbounded in number then and bounded by angle, so a flood over the graph's links from the pivot
-gathers every node that could be within the threshold of any of the group, and the group is compared
-with those in blocks.
-
-Each task audits itself against its whole shard, on two samples by hash: of all queries, whatever
-way and whether at all their links were found, and of those whose beam came near the threshold.
-Beams are doubled until the mean recall of the second sample's links (those to themselves left out)
-reaches the target; the first tells what is lost beside, and the report the lower of the two. Every link is verified by cosine in double precision. A task keeps a count for each query and
-one label a node, and returns counts and a forest; components join those. Shards are sized by bytes,
-so a task's memory doesn't grow with the vectors' length.
+is unbounded in number then and bounded by angle, so a flood over the graph's links, followed both
+ways, from the pivot gathers every node that could be within the threshold of any of the group, and
+the group is compared with those in blocks. Nodes that pruning left without a way to them get a link
+from the nearest node that has one.
+
+Each task audits itself against its whole shard, on samples by hash: of the queries whose beam came
+near the threshold, of those whose beam didn't, and of all queries, whatever way and whether at all
+their links were found. Of the first two strata, the one whose links (those to themselves left out)
+fall short of the recall asked for is searched again with beams twice as wide, until its audit
+passes or three doublings in a row find no more; the recall of all samples is reported, or that of
+the third alone where it is lower. Every link is verified by cosine in double precision. A task keeps a count for each query and one label a
+node, and returns counts and a forest; components join those. Shards are sized by bytes, so a task's
+memory doesn't grow with the vectors' length.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing. Vectors
 of different lengths don't link. Repeated rows are vectors of their own and link with each other;
@@ -114,6 +117,7 @@ class Graph:
 
     def __init__(self, vecs: np.ndarray, links: list[np.ndarray]) -> None:
         self.vecs, self.links = vecs, links
+        self.back: tuple[np.ndarray, np.ndarray] | None = None  # sources of the lowest layer's links by target, and where each target's begin
 
     @classmethod
     def build(cls, vecs: np.ndarray, levels: np.ndarray, m: int = 12, beam: int = 48) -> tuple[Graph, np.ndarray]:
@@ -123,6 +127,7 @@ class Graph:
         g.links = [np.full((n, 2 * m if level == 0 else m), -1, np.int64) for level, n in enumerate(sizes)]
         for level in range(len(sizes) - 1, -1, -1):
             g.fill(level, m, beam)
+            g.connect(level)
         return g, order
 
     def fill(self, level: int, m: int, beam: int) -> None:
@@ -165,6 +170,35 @@ class Graph:
             s = np.where(cand >= 0, np.einsum("nkd,nd->nk", self.vecs[np.maximum(cand, 0)], self.vecs[own]), -np.inf)
             links[own] = diverse(own, cand, s, self.vecs, links.shape[1])
 
+    def connect(self, level: int) -> None:
+        """Give every node that no links lead to from node 0 a link from the nearest node that has them, one a node and round."""
+        links = self.links[level]
+        seen, front = np.zeros(len(links), bool), np.zeros(min(1, len(links)), np.int64)
+        while True:
+            while len(front):
+                seen[front] = True
+                front = np.unique(links[front])
+                front = front[front >= 0]
+                front = front[~seen[front]]
+            lost = np.flatnonzero(~seen)
+            if not len(lost):
+                break
+            lost = lost[:4096]
+            q = self.vecs[lost]
+            host, near = (x[:, 0] for x in beam_search(links, self.vecs, q, self.entry(q, level), 1, 1))
+            own = links[lost]  # a node's own links may lead nearer than a search does
+            s = np.where((own >= 0) & seen[np.maximum(own, 0)], np.einsum("nkd,nd->nk", self.vecs[np.maximum(own, 0)], q), -np.inf)
+            best = s.argmax(1)
+            better = s.max(1) > near
+            host = np.where(better, np.take_along_axis(own, best[:, None], 1)[:, 0], host)
+            order = np.argsort(-np.maximum(near, s.max(1)), kind="stable")
+            host, at = np.unique(host[order], return_index=True)
+            front = lost[order[at]]
+            if not (links[host] < 0).any(1).all():
+                links = np.concatenate([links, np.full((len(links), 1), -1, np.int64)], 1)
+            links[host, (links[host] < 0).argmax(1)] = front
+        self.links[level] = links
+
     def entry(self, queries: np.ndarray, level: int) -> np.ndarray:
         """The node that each query reaches greedily above the level, as rows of one."""
         at = np.zeros((len(queries), 1), np.int64)
@@ -173,12 +207,19 @@ class Graph:
         return at
 
     def flood(self, start: np.ndarray, query: np.ndarray, bound: float) -> np.ndarray:
-        """The nodes at least `bound` similar to the query that links join to the start nodes through such nodes."""
+        """The nodes at least `bound` similar to the query that links, followed both ways, join to the start nodes through such nodes."""
+        if self.back is None:
+            src, dst = np.nonzero(self.links[0] >= 0)[0], self.links[0][self.links[0] >= 0]
+            order = np.argsort(dst, kind="stable")
+            self.back = src[order], np.searchsorted(dst[order], np.arange(len(self.vecs) + 1))
+        back, starts = self.back
         seen = np.zeros(len(self.vecs), bool)
         seen[start] = True
         front, out = start, [start]
         while len(front):
-            near = np.unique(self.links[0][front])
+            count = starts[front + 1] - starts[front]
+            own = np.repeat(starts[front] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            near = np.unique(np.concatenate([self.links[0][front].ravel(), back[own]]))
             near = near[near >= 0]
             near = near[~seen[near]]
             seen[near] = True
@@ -284,49 +325,67 @@ def hashed_first(rids: np.ndarray, most: int) -> np.ndarray:
     return np.argsort(rids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")[:most]
 
 
+def beam_links(g: Graph, queries: np.ndarray, asked: np.ndarray, threshold: float, beam: int, tally: Tally) -> tuple[np.ndarray, np.ndarray]:
+    """Put the links of the asked queries into tally, from beams that widen to 4 * beam. The best similarity each query met, and the queries left, whose widest beam lay above the threshold."""
+    bound = threshold - 1e-5  # single precision; pairs are verified later
+    tally.counts[asked] = 0
+    best, left, width = np.full(len(queries), -np.inf), asked, beam
+    while len(left):
+        ids, sims = g.search(queries[left], width)
+        own = np.where((ids >= 0) & (tally.v_rids[np.maximum(ids, 0)] != tally.q_rids[left][:, None]), sims, -np.inf)
+        best[left] = own.max(1)
+        full = (sims.min(1) >= bound) & (width < len(g.vecs))
+        i, j = np.nonzero((sims >= bound) & ~full[:, None])
+        tally.add(left[i], ids[i, j])
+        left = left[full]
+        if width >= 4 * beam:
+            break
+        width *= 2
+    return best, left
+
+
 def shard_links(g: Graph, queries: np.ndarray, threshold: float, beam: int, audit: int, recall: float, tally: Tally) -> tuple[float, int]:
     """Put all links of the queries into tally. The recall of the audited queries' links, and how many audited queries have links.
 
-    Beams widen until the mean recall of a hashed sample of the queries that beams answered and that
-    came near the threshold is reached. A second sample, of all queries however answered, sees those
-    that lost everything: it doesn't widen beams, but the lower of the two recalls is told.
+    Queries fall into strata: those whose beam came near the threshold, the other ones, and crowded
+    ones, answered by flood. Of the first two, each with a hashed sample of its own, only the
+    stratum whose audit fails is searched again, with beams twice as wide, until it passes or three
+    doublings in a row find no more of the sample's links. What is told is the recall of a sample of
+    all queries however answered, or of this and the strata's samples together where that is lower.
     """
-    bound = threshold - 1e-5  # single precision; pairs are verified later
-    n = len(g.vecs)
-    everyone = hashed_first(tally.q_rids, audit)
     known: dict[int, int] = {}
-    while True:
-        tally.clear()
-        left, width, best = np.arange(len(queries)), beam, np.full(len(queries), -np.inf)
-        while len(left):
-            ids, sims = g.search(queries[left], width)
-            own = np.where((ids >= 0) & (tally.v_rids[np.maximum(ids, 0)] != tally.q_rids[left][:, None]), sims, -np.inf)
-            best[left] = own.max(1)
-            full = (sims.min(1) >= bound) & (width < n)
-            i, j = np.nonzero((sims >= bound) & ~full[:, None])
-            tally.add(left[i], ids[i, j])
-            left = left[full]
-            if width >= 4 * beam and len(left):
+
+    def true_counts(sample: np.ndarray) -> np.ndarray:
+        new = np.array([k for k in sample.tolist() if k not in known], np.int64)
+        known.update(zip(new.tolist(), tally.true_counts(new, queries, g.vecs).tolist(), strict=True))
+        return np.array([known[k] for k in sample.tolist()], np.int64)
+
+    def audited(sample: np.ndarray) -> tuple[float, int]:
+        true = true_counts(sample)
+        some = true > 0
+        return (float((tally.counts[sample[some]] / true[some]).mean()) if some.any() else 1.0), int(some.sum())
+
+    everyone = hashed_first(tally.q_rids, audit)
+    best, left = beam_links(g, queries, np.arange(len(queries)), threshold, beam, tally)
+    crowded_links(g, queries, left, threshold, tally)
+    beamed = np.setdiff1d(np.arange(len(queries)), left)
+    near = best[beamed] >= threshold - 0.05
+    samples = [everyone]
+    for stratum in (beamed[near], beamed[~near]):
+        sample = stratum[hashed_first(tally.q_rids[stratum], audit)]
+        width, vain, before = beam, 0, -1.0
+        while True:
+            # what the second stratum links with is all lost, so it is judged together with the linked queries of the first
+            got = audited(sample if len(samples) == 1 else np.union1d(sample, np.intersect1d(everyone, beamed)))[0]
+            vain = 0 if got > before else vain + 1
+            if got >= recall or width >= len(g.vecs) or vain == 3:
                 break
-            width *= 2
-        beamed = np.setdiff1d(np.arange(len(queries)), left)
-        close = beamed[best[beamed] >= threshold - 0.05]
-        close = close[hashed_first(tally.q_rids[close], audit)]
-        new = np.setdiff1d(np.concatenate([everyone, close]), np.fromiter(known, np.int64, len(known)))
-        known |= dict(zip(new.tolist(), tally.true_counts(new, queries, g.vecs).tolist(), strict=True))
-        recalls, seen = [], 0
-        for sample in (close, everyone):
-            if sample is everyone:
-                if recalls[0] < recall and beam < n:
-                    break
-                crowded_links(g, queries, left, threshold, tally)
-            true = np.array([known[k] for k in sample.tolist()], np.int64)
-            some = true > 0
-            seen += int(some.sum())
-            recalls.append(float((tally.counts[sample[some]] / true[some]).mean()) if some.any() else 1.0)
-        if recalls[0] >= recall or beam >= n:
-            return min(recalls), seen
-        beam *= 2
+            before, width = max(got, before), 2 * width
+            _, left = beam_links(g, queries, stratum, threshold, width, tally)
+            crowded_links(g, queries, left, threshold, tally)
+        samples.append(sample)
+    reached, seen = audited(np.unique(np.concatenate(samples)))
+    return min(reached, audited(everyone)[0]), seen
 
 
 def span(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -307,6 +307,24 @@ def test_common_mean_and_planted_pairs(spark):
     assert recall >= 0.97 and abs(report["recall"] - recall) <= 0.02 and report["audited"] > 100 and report["lowest"] <= report["recall"]
 
 
+def test_floods_and_searches_reach_every_node():
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.normal(size=32) + rng.normal(scale=0.2, size=(150, 32)), rng.normal(size=(300, 32))])
+    u = hnsw.unit(hnsw.scaled(v))
+    g, order = hnsw.Graph.build(u, rng.geometric(0.9, len(v)) - 1, 4, 12)
+    for links in g.links:
+        seen, front = {0}, [0]
+        while front:
+            front = [j for j in {int(j) for i in front for j in links[i]} - seen if j >= 0]
+            seen |= set(front)
+        assert len(seen) == len(links)
+    lonely = int(np.flatnonzero(order == 7)[0])
+    start = int(np.flatnonzero(order == 8)[0])
+    g.links[0][g.links[0] == lonely] = -1  # only its own links join it to its group now
+    near = np.flatnonzero(g.vecs @ g.vecs[start] >= 0.5)
+    assert lonely in near and set(near) <= set(g.flood(np.array([start]), g.vecs[start], 0.4).tolist())
+
+
 def test_audit_sees_queries_that_lost_everything():
     v = with_common_mean(400, 60)
     g, order = hnsw.Graph.build(hnsw.unit(hnsw.scaled(v)), np.zeros(400, int), 12, 48)

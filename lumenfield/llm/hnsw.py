@@ -13,9 +13,9 @@ from the nearest node that has one.
 Each task audits itself against its whole shard, on samples by hash: of the queries whose beam came
 near the threshold, of those whose beam didn't, and of all queries, whatever way and whether at all
 their links were found. Of the first two strata, the one whose links (those to themselves left out)
-fall short of the recall asked for is searched again with beams twice as wide, until its audit
-passes or three doublings in a row find no more; the recall of all samples is reported, or that of
-the third alone where it is lower. Every link is verified by cosine in double precision. A task keeps a count for each query and one label a
+fall short of the recall asked for is searched again with wider beams: its sample tries doubled ones
+until the audit passes or three doublings in a row find no more. The recall of all samples is
+reported, or that of the third alone where it is lower. Every link is verified by cosine in double precision. A task keeps a count for each query and one label a
 node, and returns counts and a forest; components join those. Shards are sized by bytes, so a task's
 memory doesn't grow with the vectors' length.
 
@@ -348,10 +348,11 @@ def shard_links(g: Graph, queries: np.ndarray, threshold: float, beam: int, audi
     """Put all links of the queries into tally. The recall of the audited queries' links, and how many audited queries have links.
 
     Queries fall into strata: those whose beam came near the threshold, the other ones, and crowded
-    ones, answered by flood. Of the first two, each with a hashed sample of its own, only the
-    stratum whose audit fails is searched again, with beams twice as wide, until it passes or three
-    doublings in a row find no more of the sample's links. What is told is the recall of a sample of
-    all queries however answered, or of this and the strata's samples together where that is lower.
+    ones, answered by flood. Of the first two, each has a hashed sample of its own. Where its audit
+    fails, the sample is searched again with beams twice as wide, until it passes or three doublings
+    in a row find no more of its links; then its stratum is searched again, once, with the first
+    beam that found the most. What is told is the recall of a sample of all queries however
+    answered, or of this and the strata's samples together where that is lower.
     """
     known: dict[int, int] = {}
 
@@ -365,6 +366,9 @@ def shard_links(g: Graph, queries: np.ndarray, threshold: float, beam: int, audi
         some = true > 0
         return (float((tally.counts[sample[some]] / true[some]).mean()) if some.any() else 1.0), int(some.sum())
 
+    def again(asked: np.ndarray, width: int) -> None:
+        crowded_links(g, queries, beam_links(g, queries, asked, threshold, width, tally)[1], threshold, tally)
+
     everyone = hashed_first(tally.q_rids, audit)
     best, left = beam_links(g, queries, np.arange(len(queries)), threshold, beam, tally)
     crowded_links(g, queries, left, threshold, tally)
@@ -373,16 +377,17 @@ def shard_links(g: Graph, queries: np.ndarray, threshold: float, beam: int, audi
     samples = [everyone]
     for stratum in (beamed[near], beamed[~near]):
         sample = stratum[hashed_first(tally.q_rids[stratum], audit)]
-        width, vain, before = beam, 0, -1.0
-        while True:
-            # what the second stratum links with is all lost, so it is judged together with the linked queries of the first
-            got = audited(sample if len(samples) == 1 else np.union1d(sample, np.intersect1d(everyone, beamed)))[0]
-            vain = 0 if got > before else vain + 1
-            if got >= recall or width >= len(g.vecs) or vain == 3:
-                break
-            before, width = max(got, before), 2 * width
-            _, left = beam_links(g, queries, stratum, threshold, width, tally)
-            crowded_links(g, queries, left, threshold, tally)
+        # what the second stratum links with is all lost, so it is judged together with the linked queries of the first
+        judged = sample if len(samples) == 1 else np.union1d(sample, np.intersect1d(everyone, beamed))
+        got = audited(judged)[0]
+        width, vain, chosen, reached = beam, 0, beam, got
+        while got < recall and width < len(g.vecs) and vain < 3:
+            width *= 2
+            again(sample, width)
+            got = audited(judged)[0]
+            vain, chosen, reached = (0, width, got) if got > reached else (vain + 1, chosen, reached)
+        if width > beam:  # the sample, too, is held to the width that its stratum gets
+            again(stratum if chosen > beam else sample, chosen)
         samples.append(sample)
     reached, seen = audited(np.unique(np.concatenate(samples)))
     return min(reached, audited(everyone)[0]), seen

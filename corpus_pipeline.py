@@ -29,7 +29,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that 5-word shingles of Jaccard similarity 0.8 or more link stays."""
+    """One document of each group of texts that 5-word shingles of Jaccard similarity 0.8 or more link stays; candidates by SimHash, completed by min-hashes."""
     return shingles.shingle_dedup(docs, width=5, similarity=0.8)
 
 

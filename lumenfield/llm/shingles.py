@@ -1,19 +1,22 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: banded min-hashes, exact verification.
-
-Texts are sets of the 64-bit hashes of their word shingles; texts of equal sets are one node. Sets
-with similarity 0.8 differ in about ten of a fingerprint's 64 bits, beyond what pigeonhole blocks
-can find, so candidates come from min-hashes: `bands` bands of `rows` minima each, and sets that
-agree on a whole band are compared. A pair of similarity s is missed by all bands with probability
-(1 - s^rows)^bands: 6e-5 at 0.8 and less above it. Whether candidates are linked is settled by
-their whole shingle sets, not by an estimate.
-
-A group of a band gives a spanning forest of its links. A group above max_group is dealt into chunks,
-each member once and in each band by another hash, and chunks are linked first: over 32 bands that
-joins nearly all that belongs together. Then each such group's members are told by the component
-that they are in by now. Those that aren't in the group's largest one visit all its chunks and are
-compared with the members of other components. So rows dealt are in proportion to the group, plus its
-chunks for each member that isn't linked to the rest, and no pair of a group is left uncompared but
-those already joined. Only sets in groups of several carry their shingles.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash by pigeonhole blocks, banded min-hashes for what it leaves apart, exact verification.
+
+Texts are sets of the 64-bit hashes of their word shingles; texts of equal sets are one node. First
+come op5's fingerprints of the same shingles: those within `distance` bits, found by pigeonhole
+blocks, are closed to components, and a component's sets are compared with each other. Sets with
+similarity 0.8 differ in about ten of a fingerprint's 64 bits, beyond what whole blocks can find, so
+the rest is completed by min-hashes: `bands` bands of `rows` minima each, and sets that agree on a
+whole band and that the fingerprints haven't joined yet are compared. A pair of similarity s is
+missed by all bands with probability (1 - s^rows)^bands: 6e-5 at 0.8 and less above it. Whether
+candidates are linked is settled by their whole shingle sets, not by an estimate.
+
+A group (a component of fingerprints, or a band's key) gives a spanning forest of its links. A group
+above max_group is dealt into chunks, each member once and in each band by another hash, and chunks
+are linked first: over fingerprints and 32 bands that joins nearly all that belongs together. Then
+each such group's members are told by the component that they are in by now. Those that aren't in
+the group's largest one visit all its chunks and are compared with the members of other components.
+So rows dealt are in proportion to the group, plus its chunks for each member that isn't linked to
+the rest, and no pair of a group is left uncompared but those already joined. Only sets in groups of
+several carry their shingles.
 
 Null and empty texts have the empty set and are copies of each other. Null ids come after all others
 when the row that stays is chosen. An empty table gives an empty result.
@@ -29,25 +32,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .util import components, cut
 
 ROWS, BANDS = 6, 32
+#: Stands in the place of a band's number for groups of fingerprints.
+CLOSE = -1
 ODD, SALT = np.random.default_rng(42).integers(0, 2**64, (2, ROWS * BANDS), np.uint64)
 ODD |= np.uint64(1)
 
 
 def shingle_set(raw: bytes | None, width: int = 5, seed: int = 42) -> np.ndarray:
     """The distinct 64-bit hashes of a UTF-8 text's word shingles, sorted. A text of fewer words is one shingle."""
-    words = (raw or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    n = max(1, len(words) - width + 1)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[:n]
-    ends = ends[-n:] if len(words) >= width else ends[-1:]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64))
+    return np.unique(simhash.shingle_hashes(raw, width, seed))
 
 
 def node(shingles: np.ndarray) -> int:
@@ -64,16 +61,19 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, text_hash, node and bands (array) of every row."""
+    """doc_id, text_hash, node, fp (SimHash, signed) and bands (array) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, width) for t in batch.column(2).to_pylist()]
+            hashes = [simhash.shingle_hashes(t, width) for t in batch.column(2).to_pylist()]
+            fps = np.array([simhash.majority(h) for h in hashes], np.uint64).view(np.int64)
+            sets = [np.unique(h) for h in hashes]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([node(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "bands"]
+                [batch.column(0), batch.column(1), pa.array([node(s) for s in sets], pa.int64()), pa.array(fps), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "node", "fp", "bands"],
             )
 
-    return hashed(docs).mapInArrow(run, "doc_id long, text_hash long, node long, bands array<long>")
+    return hashed(docs).mapInArrow(run, "doc_id long, text_hash long, node long, fp long, bands array<long>")
 
 
 def hashed(docs: DataFrame) -> DataFrame:
@@ -181,30 +181,59 @@ def visits_of(crowded: DataFrame, roots: DataFrame, max_group: int) -> DataFrame
     return stay.unionByName(go)
 
 
-def near_sets(docs: DataFrame, rows: DataFrame, width: int, similarity: float, max_group: int) -> DataFrame:
-    """Links (a, b) that connect the nodes of rows (sketches of docs) whose sets have the similarity and share a band."""
-    reps = rows.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("bands").alias("bands"))
-    keyed = reps.select("node", "text_hash", F.posexplode("bands").alias("band", "key"))
-    shared = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")).where("n > 1")
-    # groups of the same members are compared once
-    shared = shared.groupBy("n", "members").agg(F.min(F.struct("band", "key")).alias("at")).select("at.band", "at.key", "n")
-    members = cut(keyed.join(shared, ["band", "key"]))
+def sets_of(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """node and shingles of the nodes of members (node, text_hash)."""
     texts = hashed(docs).select("text_hash", "text").join(members.select("text_hash", "node").distinct(), "text_hash").dropDuplicates(["node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "shingles"])
 
-    sets = texts.select("node", "text").mapInArrow(run, "node long, shingles binary")
-    chunk = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / max_group)).cast("int")
-    members = members.withColumn("i", chunk)
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles binary")
+
+
+def groups_of(keyed: DataFrame, *more) -> DataFrame:
+    """band, key, n and members (a number that tells groups apart) of groups of several of keyed (node, band, key); more: further aggregates."""
+    return keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"), *more).where("n > 1")
+
+
+def dealt_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect the similar sets of each chunk i of groups' members (band, key, i, node)."""
     dealt = members.select("band", "key", "i", "node").join(sets, "node").select("band", "key", "i", "node", "shingles")
-    links = dealt.repartition("band", "key", "i").sortWithinPartitions("band", "key", "i").mapInArrow(group_links(similarity), "a long, b long")
-    crowded = members.where(F.col("n") > max_group)
+    return dealt.repartition("band", "key", "i").sortWithinPartitions("band", "key", "i").mapInArrow(group_links(similarity), "a long, b long")
+
+
+def close_groups(rows: DataFrame, reps: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """node, text_hash, band (CLOSE) and key of every node: keys are the components of fingerprints that pigeonhole blocks link within distance."""
+    roots = components(simhash.near_links(cut(rows.select("fp").distinct()), distance, blocks), "a", "b").toDF("fp", "root")
+    own = rows.select("node", "fp").distinct().join(roots, "fp", "left")
+    own = own.select("node", F.lit(CLOSE).alias("band"), F.coalesce("root", "fp").alias("key")).distinct()
+    return own.join(reps.select("node", "text_hash"), "node").select("node", "text_hash", "band", "key")
+
+
+def near_sets(docs: DataFrame, rows: DataFrame, width: int, similarity: float, max_group: int, distance: int = 4, blocks: int = 6) -> DataFrame:
+    """Links (a, b) that connect the nodes of rows (sketches of docs) whose sets have the similarity and whose fingerprints are close, or that share a band."""
+    chunk = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / max_group)).cast("int")
+    reps = rows.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("bands").alias("bands"))
+    keyed = close_groups(rows, reps, distance, blocks)
+    groups = cut(groups_of(keyed))
+    close = cut(keyed.join(groups.drop("members"), ["band", "key"]).withColumn("i", chunk))
+    found = cut(dealt_links(close, sets_of(docs, close, width), similarity))
+    roots = components(found, "a", "b").toDF("node", "root")
+
+    keyed = reps.join(roots, "node", "left").select("node", "text_hash", F.coalesce("root", "node").alias("root"), F.posexplode("bands").alias("band", "key"))
+    # what the fingerprints have joined or compared already isn't compared again, and groups of the same members are compared once
+    shared = groups_of(keyed, F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    shared = shared.join(groups.select("n", "members"), ["n", "members"], "left_anti")
+    shared = shared.groupBy("n", "members").agg(F.min(F.struct("band", "key")).alias("at")).select("at.band", "at.key", "n")
+    members = cut(keyed.drop("root").join(shared, ["band", "key"]).withColumn("i", chunk))
+    links = found.unionByName(dealt_links(members, sets_of(docs, members, width), similarity))
+    crowded = close.unionByName(members).where(F.col("n") > max_group)
     if not crowded.limit(1).count():
         return links
     links = cut(links)
-    visits = visits_of(crowded, components(links, "a", "b").toDF("node", "root"), max_group).join(sets, "node").select("band", "key", "i", "visits", "node", "root", "shingles")
+    visits = visits_of(crowded, components(links, "a", "b").toDF("node", "root"), max_group)
+    visits = visits.join(sets_of(docs, crowded, width), "node").select("band", "key", "i", "visits", "node", "root", "shingles")
     more = visits.repartition("band", "key", "i").sortWithinPartitions("band", "key", "i", "visits").mapInArrow(visit_links(similarity), "a long, b long")
     return links.unionByName(more)
 
@@ -213,7 +242,7 @@ def shingle_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, max
     """doc_id, text_hash and root (one number for each set of rows that links join) of every row of docs."""
     rows = cut(sketches(docs, width))
     roots = components(near_sets(docs, rows, width, similarity, max_group), "a", "b").toDF("node", "root")
-    return rows.drop("bands").join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
+    return rows.drop("bands", "fp").join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 
 
 def shingle_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_group: int = 2048) -> DataFrame:

@@ -30,22 +30,33 @@ from .util import components, cut, spread_join
 BITS = np.array([[v >> b & 1 for b in range(8)] for v in range(256)], np.int64)
 
 
-def fingerprint(raw: bytes | None, width: int = 4, seed: int = 42) -> int:
-    """The 64-bit fingerprint of a UTF-8 text, unsigned."""
+def shingle_hashes(raw: bytes | None, width: int = 4, seed: int = 42) -> np.ndarray:
+    """The 64-bit hashes of a UTF-8 text's word shingles in their order, repeats included. A text of fewer words is one shingle."""
     words = (raw or b"").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     n = max(1, len(words) - width + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[:n]
     ends = ends[-n:] if len(words) >= width else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], "<u8").view(np.uint8).reshape(n, 8)
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are set in over half the hashes, unsigned."""
+    n = len(hashes)
+    h = hashes.astype("<u8").view(np.uint8).reshape(n, 8)
     counts = np.concatenate([np.bincount(h[:, i], minlength=256) @ BITS for i in range(8)])
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(raw: bytes | None, width: int = 4, seed: int = 42) -> int:
+    """The 64-bit fingerprint of a UTF-8 text, unsigned."""
+    return majority(shingle_hashes(raw, width, seed))
+
+
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """doc_id, text_hash (64 bits of the text, for telling rows of one id apart) and fp (signed) of every row."""
 

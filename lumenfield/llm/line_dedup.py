@@ -5,7 +5,9 @@ whole segment of the shorter one, at a place of the longer one that the length d
 segment's number confine to a few offsets. So each line is indexed by (length, segment number,
 segment) and probes, for every length from its own down to its own less the distance, the
 substrings at those offsets. Candidates must also agree in ten letter counts but for twice the
-distance; then a banded bit-parallel edit distance is computed: the vertical differences of a band
+distance, and of four times as many segments of the shorter line all but `distance` must stand in
+the longer one, at most `distance` characters away from their own place; what they begin and end
+with alike is taken off; then a banded bit-parallel edit distance is computed: the vertical differences of a band
 of 2 * distance + 1 cells stand in the bits of two numbers, and each character of the longer line is
 one step of additions, shifts and masks. Links are closed to classes, and the class's first
 occurrence stays.
@@ -29,14 +31,16 @@ from .util import components, cut, save
 
 #: Letters whose counts a line's signature holds.
 LETTERS = "etaoinshrd"
+#: They are counted in so many characters from a line's start.
+COUNTED = 512
 #: So many ids of candidate lines are broadcast at most (8 bytes each); beyond it they are joined by a shuffle.
 MOST_SENT = 500_000
 
 
-def segment(i: int, chars: Column, distance: int) -> tuple[Column, Column]:
+def segment(i: int | Column, chars: Column, distance: int) -> tuple[Column, Column]:
     """Start (from 1) and length of segment i of a line of so many chars; the longer segments come last."""
     k = distance + 1
-    base, short = F.floor(chars / k).cast("int"), k - chars % k
+    base, short = F.call_function("div", chars, F.lit(k)).cast("int"), k - chars % k
     return 1 + i * base + F.greatest(F.lit(0), i - short), base + (short <= i).cast("int")
 
 
@@ -54,35 +58,36 @@ def without(text: Column, at: Column, width: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + width, F.length(text)))
 
 
+# One row a segment or place, then one key a row: a dozen keys in one expression would be a method that the JVM doesn't compile.
+
+
 def indexed(lines: DataFrame, distance: int, rest: bool = False) -> DataFrame:
     """a, sa and key for every segment of lines (a, sa, text, n, base); with rest also text without the segment, and its length."""
-    text, n, found = F.col("text"), F.col("n"), []
-    for i in range(distance + 1):
-        start, width = segment(i, n, distance)
-        key = F.xxhash64("base", n, F.lit(i), F.substring(text, start, width))
-        found.append(F.struct(key.alias("key"), without(text, start, width).alias("text"), (n - width).alias("n")) if rest else key)
-    out = lines.select("a", "sa", F.explode(F.array(*found)).alias("key"))
-    return out.select("a", "sa", "key.*") if rest else out
+    text, n, i = F.col("text"), F.col("n"), F.col("__i")
+    start, width = segment(i, n, distance)
+    key = F.xxhash64("base", n, i, F.substring(text, start, width)).alias("key")
+    left = [without(text, start, width).alias("text"), (n - width).alias("n")] if rest else []
+    return lines.withColumn("__i", F.explode(F.array(*map(F.lit, range(distance + 1))))).select("a", "sa", key, *left)
 
 
 def probing(lines: DataFrame, distance: int, rest: bool = False) -> DataFrame:
     """b, sb and key for every substring that lines (b, sb, text, n, base, less) look up; with rest also text without it, its length, and less. less: the length difference where it is known, or null."""
-    text, n, found = F.col("text"), F.col("n"), []
-    for less, i, o in places(distance):
-        start, width = segment(i, n - less, distance)
-        at = start + o
-        key = F.xxhash64("base", n - less, F.lit(i), F.substring(text, at, width))
-        own = F.struct(key.alias("key"), without(text, at, width).alias("text"), (n - width).alias("n"), F.lit(less).alias("less")) if rest else key
-        found.append(F.when((at >= 1) & (at + width - 1 <= n) & (n >= less) & (F.col("less").isNull() | (F.col("less") == less)), own))
-    out = lines.select("b", "sb", F.explode(F.array_compact(F.array(*found))).alias("key"))
-    return out.select("b", "sb", "key.*") if rest else out
-
-
-def signature(line: Column) -> Column:
-    """The length modulo 16 and the counts of ten letters modulo 64, in one long."""
-    packed = (F.length(line) % 16).cast("long")
+    text, n = F.col("text"), F.col("n")
+    less, i, o = (F.col("__p")[k] for k in ("less", "i", "o"))
+    start, width = segment(i, n - less, distance)
+    at = start + o
+    key = F.xxhash64("base", n - less, i, F.substring(text, at, width)).alias("key")
+    left = [without(text, at, width).alias("text"), (n - width).alias("n"), less.alias("less")] if rest else []
+    asked = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("less", "i", "o"), p, strict=True))) for p in places(distance)))
+    known = F.col("less").isNull() | (F.col("less") == less)
+    return lines.withColumn("__p", F.explode(asked)).where((at >= 1) & (at + width - 1 <= n) & (n >= less) & known).select("b", "sb", key, *left)
+
+
+def signature(line: Column, start: Column | None = None) -> Column:
+    """The length modulo 16 and the counts of ten letters in the first COUNTED characters modulo 64, in one long. start: those characters, where a column holds them."""
+    packed, start = (F.length(line) % 16).cast("long"), F.substring(line, 1, COUNTED) if start is None else start
     for letter in LETTERS:
-        count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
+        count = F.octet_length(start) - F.octet_length(F.replace(start, F.lit(letter), F.lit("")))
         packed = F.shiftleft(packed, 6).bitwiseOR(count.cast("long").bitwiseAND(F.lit(63)))
     return packed
 
@@ -90,7 +95,9 @@ def signature(line: Column) -> Column:
 def may_be_near(a: Column, b: Column, distance: int) -> Column:
     """Whether signatures allow the edit distance, the line of b being as long as that of a or longer.
 
-    An edit changes the counts by two at most, taken together.
+    An edit changes the counts by two at most, taken together. This holds for first characters too: a
+    replacement changes two counts, and an insertion or deletion one, and one more where it moves
+    a character over the end.
     """
     ok = (F.shiftrightunsigned(b, 60) - F.shiftrightunsigned(a, 60)).bitwiseAND(F.lit(15)) <= distance
     changed = F.lit(0).cast("long")
@@ -100,6 +107,35 @@ def may_be_near(a: Column, b: Column, distance: int) -> Column:
     return ok & (changed <= 2 * distance)
 
 
+def keeps_segments(a: Column, b: Column, distance: int) -> Column:
+    """Whether all but `distance` of 4 * (distance + 1) segments of a stand in b, at most `distance` characters away; true for lines within the distance, a being as long as b or shorter.
+
+    An edit changes one segment at most, and the edits before a segment move it by one each.
+    """
+    parts, kept = 4 * (distance + 1), F.lit(0)
+    for i in range(parts):
+        start, width = segment(i, F.length(a), parts - 1)
+        kept += F.contains(F.substring(b, F.greatest(F.lit(1), start - distance), width + 2 * distance), F.substring(a, start, width)).cast("int")
+    return kept >= parts - distance
+
+
+def without_common_start(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """pairs with columns a and b less what they begin with alike, in steps of halves from 4096 characters to 4; their edit distance stays."""
+    pairs = pairs.withColumn("__at", F.lit(0))
+    part = lambda c, step: F.substring(c, F.col("__at") + 1, F.lit(step))
+    for step in (1 << k for k in range(12, 1, -1)):
+        alike = (F.col("__at") + step <= F.length(a)) & (part(F.col(a), step) == part(F.col(b), step))
+        pairs = pairs.withColumn("__at", F.col("__at") + F.when(alike, step).otherwise(0))
+    rest = lambda c: F.substring(c, F.col("__at") + 1, F.length(c))
+    return pairs.withColumns({a: rest(F.col(a)), b: rest(F.col(b))}).drop("__at")
+
+
+def without_common_ends(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """pairs with columns a and b less what they begin and end with alike, and what is left reversed; their edit distance stays."""
+    turned = without_common_start(pairs, a, b).withColumns({c: F.reverse(c) for c in (a, b)})
+    return without_common_start(turned, a, b)
+
+
 def let(value: Column, use) -> Column:
     """use(value), with value worked out once."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -195,6 +231,8 @@ def near_lines(lines: DataFrame, distance: int, **options) -> DataFrame:
     few = asked.count() <= MOST_SENT
     texts = cut(lines.select("id", "line").join(F.broadcast(asked) if few else asked, "id"))
     pairs = pairs.join(texts.toDF("a", "la"), "a").join(texts.toDF("b", "lb"), "b")
+    # written before the distance, whose lambda functions would keep the rest from being compiled
+    pairs = cut(without_common_ends(pairs.where(keeps_segments(F.col("la"), F.col("lb"), distance)), "la", "lb"))
     return pairs.where(edit_distance(F.col("la"), F.col("lb"), distance) <= distance).select("a", "b")
 
 
@@ -203,15 +241,16 @@ def repeated_lines(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> D
     if not 0 <= distance < min(min_chars, 16):
         raise ValueError("distance must be below min_chars and 16")
     found = occurrences(docs)
-    lines = found.groupBy("line").agg(F.min(F.struct("doc_id", "text_hash", "pos")).alias("first"), F.count(F.lit(1)).alias("times"))
-    lines = save(lines.select(F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("n"), signature(F.col("line")).alias("sig"), "first", "times"))
+    h1, h2 = F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")
+    lines = found.groupBy("line").agg(F.count(F.lit(1)).alias("times")).withColumn("start", F.substring("line", 1, COUNTED))
+    lines = save(lines.select(F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("n"), signature(F.col("line"), F.col("start")).alias("sig"), "times", h1, h2))
     roots = cut(components(near_lines(lines.where(F.col("n") >= min_chars), distance), "a", "b"))
-    narrow = lines.select("id", "first", "times", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    classed = narrow.join(roots, narrow.id == roots.node, "left").drop("node")
-    earliest = classed.where("root is not null").groupBy("root").agg(F.min("first").alias("earliest"))
-    known = classed.where("root is not null or times > 1").join(earliest, "root", "left").select("h1", "h2", F.coalesce("earliest", "first").alias("stays"))
-    hashed = found.select("doc_id", "text_hash", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    repeats = hashed.join(known, ["h1", "h2"]).where(~F.struct("doc_id", "text_hash", "pos").eqNullSafe(F.col("stays")))
+    classed = lines.select("id", "times", "h1", "h2").join(roots, F.col("id") == F.col("node"), "left")
+    known = classed.where("root is not null or times > 1").select("h1", "h2", F.coalesce("root", "id").alias("class"))
+    place = F.struct("doc_id", "text_hash", "pos")
+    placed = cut(found.select("doc_id", "text_hash", "pos", h1, h2).join(known, ["h1", "h2"]).drop("h1", "h2"))
+    first = placed.groupBy("class").agg(F.min(place).alias("stays"))
+    repeats = placed.join(first, "class").where(~place.eqNullSafe(F.col("stays")))
     return repeats.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
 
 
@@ -233,7 +272,7 @@ def line_dedup(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> DataF
 
 def line_digest(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> DataFrame:
     """doc_id, n_lines, n_dropped and dropped (comma-joined positions), one row per row of docs."""
-    d = docs.select("doc_id", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).alias("n_lines"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    d = docs.select("doc_id", F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).alias("n_lines"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     r = repeated_lines(docs, distance, min_chars).withColumnsRenamed({"doc_id": "id", "text_hash": "hash"})
     j = d.join(r, d.doc_id.eqNullSafe(r.id) & (d.text_hash == r.hash), "left")
     return j.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"), F.coalesce(F.array_join(F.col("dropped").cast("array<string>"), ","), F.lit("")).alias("dropped"))

@@ -343,3 +343,24 @@ def test_audit_sees_queries_that_lost_everything():
     g.search = blind
     reached, audited = hnsw.shard_links(g, hnsw.unit(q), 0.9, 32, 200, 0.999, hnsw.Tally(ids, q, ids, q, np.ones(400, int), 0.9))
     assert reached == 0.0 and audited > 10 and found  # told, though no beam came near
+
+
+def test_filters_before_the_distance_lose_no_line(spark):
+    """Signatures, kept segments and common ends allow every pair within the distance, long lines and other scripts too."""
+    rng = random.Random(14)
+    pairs = [("", ""), ("a", "a"), ("a" * 20, "a" * 22), ("é" * 130, "é" * 131)]
+    for _ in range(400):
+        a = "".join(rng.choice("etaoin é😀") for _ in range(rng.choice([6, 9, 20, 21, 40, 130, 510, 511, 512, 513, 514])))
+        pairs.append(tuple(sorted((a, edited(rng, a, rng.randrange(6)) if rng.random() < 0.9 else a[::-1]), key=len)))
+    for k in (1, 2, 4):
+        own = [(a, b, edit_distance(a, b)) for a, b in pairs if len(b) - len(a) <= k]
+        df = spark.createDataFrame(own, "a string, b string, d int")
+        a, b = F.col("a"), F.col("b")
+        df = df.withColumns({"near": line_dedup.may_be_near(line_dedup.signature(a), line_dedup.signature(b), k), "kept": line_dedup.keeps_segments(a, b, k), "x": a, "y": b})
+        got = line_dedup.without_common_ends(df, "a", "b").collect()
+        assert sum(r.d <= k for r in got) > 50
+        assert all(r.near and r.kept for r in got if r.d <= k)
+        for r in got:
+            assert edit_distance(r.a, r.b) == r.d and (len(r.x) < 40 or r.d > 1 or len(r.a) < 8)
+    long = spark.createDataFrame([("a" * 9000, "a" * 9001), ("b" * 5000 + "c", "d" + "b" * 5000)], "a string, b string")
+    assert [len(r.b) < 16 for r in line_dedup.without_common_ends(long, "a", "b").collect()] == [True, False]

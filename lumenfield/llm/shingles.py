@@ -18,6 +18,10 @@ So rows dealt are in proportion to the group, plus its chunks for each member th
 the rest, and no pair of a group is left uncompared but those already joined. Only sets in groups of
 several carry their shingles.
 
+Most rows have no like: they are told where they stand by broadcast marks (perhaps_in), so that only
+rows of keys that occur twice are shuffled: texts in groups of several, bands that sets share, and,
+at the end, rows that aren't alone. The counts of band keys are shuffled, with nothing but the key.
+
 Null and empty texts have the empty set and are copies of each other. Null ids come after all others
 when the row that stays is chosen. An empty table gives an empty result.
 """
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .util import components, cut
+from .util import components, cut, narrowed, perhaps_in
 
 ROWS, BANDS = 6, 32
 #: Stands in the place of a band's number for groups of fingerprints.
@@ -183,7 +187,9 @@ def visits_of(crowded: DataFrame, roots: DataFrame, max_group: int) -> DataFrame
 
 def sets_of(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
     """node and shingles of the nodes of members (node, text_hash)."""
-    texts = hashed(docs).select("text_hash", "text").join(members.select("text_hash", "node").distinct(), "text_hash").dropDuplicates(["node"])
+    wanted = members.select("text_hash", "node").distinct()
+    # copies become one row before they meet: a node's members all name the same text
+    texts = narrowed(hashed(docs).select("text_hash", "text"), wanted, "text_hash").dropDuplicates(["text_hash"]).join(wanted, "text_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,6 +198,22 @@ def sets_of(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, shingles binary")
 
 
+def nodes_of(rows: DataFrame) -> DataFrame:
+    """node, text_hash (the smallest) and bands of every node of rows (sketches); only rows of nodes of several rows are shuffled."""
+    several = cut(rows.groupBy("node").count().where("count > 1"))
+    told = perhaps_in(rows.select("node", "text_hash", "bands"), several, "node")
+    rest = told.where("__lf_in").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("bands").alias("bands"))
+    return told.where("not __lf_in").drop("__lf_in").unionByName(rest)
+
+
+def shared_bands(reps: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, text_hash, root, band and key of the bands that nodes share with others, and of some that they don't; root: that of roots (node, root), or the node."""
+    banded = reps.select("node", "text_hash", F.posexplode("bands").alias("band", "key"))
+    several = cut(banded.groupBy("key").count().where("count > 1"))
+    shared = narrowed(banded, several, "key").join(roots, "node", "left")
+    return shared.select("node", "text_hash", F.coalesce("root", "node").alias("root"), "band", "key")
+
+
 def groups_of(keyed: DataFrame, *more) -> DataFrame:
     """band, key, n and members (a number that tells groups apart) of groups of several of keyed (node, band, key); more: further aggregates."""
     return keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"), *more).where("n > 1")
@@ -214,19 +236,19 @@ def close_groups(rows: DataFrame, reps: DataFrame, distance: int, blocks: int) -
 def near_sets(docs: DataFrame, rows: DataFrame, width: int, similarity: float, max_group: int, distance: int = 4, blocks: int = 6) -> DataFrame:
     """Links (a, b) that connect the nodes of rows (sketches of docs) whose sets have the similarity and whose fingerprints are close, or that share a band."""
     chunk = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / max_group)).cast("int")
-    reps = rows.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("bands").alias("bands"))
-    keyed = close_groups(rows, reps, distance, blocks)
+    reps = nodes_of(rows)
+    keyed = cut(close_groups(rows, reps, distance, blocks))
     groups = cut(groups_of(keyed))
-    close = cut(keyed.join(groups.drop("members"), ["band", "key"]).withColumn("i", chunk))
+    close = cut(narrowed(keyed, groups, "key").join(groups.drop("members"), ["band", "key"]).withColumn("i", chunk))
     found = cut(dealt_links(close, sets_of(docs, close, width), similarity))
     roots = components(found, "a", "b").toDF("node", "root")
 
-    keyed = reps.join(roots, "node", "left").select("node", "text_hash", F.coalesce("root", "node").alias("root"), F.posexplode("bands").alias("band", "key"))
+    keyed = cut(shared_bands(reps, roots))
     # what the fingerprints have joined or compared already isn't compared again, and groups of the same members are compared once
     shared = groups_of(keyed, F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     shared = shared.join(groups.select("n", "members"), ["n", "members"], "left_anti")
-    shared = shared.groupBy("n", "members").agg(F.min(F.struct("band", "key")).alias("at")).select("at.band", "at.key", "n")
-    members = cut(keyed.drop("root").join(shared, ["band", "key"]).withColumn("i", chunk))
+    shared = cut(shared.groupBy("n", "members").agg(F.min(F.struct("band", "key")).alias("at")).select("at.band", "at.key", "n"))
+    members = cut(narrowed(keyed.drop("root"), shared, "key").join(shared, ["band", "key"]).withColumn("i", chunk))
     links = found.unionByName(dealt_links(members, sets_of(docs, members, width), similarity))
     crowded = close.unionByName(members).where(F.col("n") > max_group)
     if not crowded.limit(1).count():
@@ -247,8 +269,13 @@ def shingle_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, max
 
 def shingle_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_group: int = 2048) -> DataFrame:
     """One row of each group of docs, all columns: the smallest doc_id, then the smallest text hash; equal rows are one."""
-    first = shingle_groups(docs, width, similarity, max_group).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("__lf_first"))
-    first = first.select("__lf_first.doc_id", "__lf_first.text_hash").toDF("__lf_id", "__lf_hash")
-    marked = docs.withColumn("__lf_text", F.xxhash64(F.col("text").cast("string")))
-    kept = marked.join(first, F.col("doc_id").eqNullSafe(F.col("__lf_id")) & (F.col("__lf_text") == F.col("__lf_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__lf_text"]).drop("__lf_text")
+    groups, key = shingle_groups(docs, width, similarity, max_group), ["__lf_none", "__lf_id", "__lf_text"]
+    doc_id = F.col("doc_id").cast("long")
+    named = lambda d, text: d.withColumns({"__lf_none": doc_id.isNull(), "__lf_id": F.coalesce(doc_id, F.lit(0)), "__lf_text": text})
+    rows = named(groups, F.col("text_hash")).groupBy(*key).agg(F.min("root").alias("root"), F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct(*key)).alias("first")).select("first.*", F.lit(True).alias("stays"))
+    unsure = cut(rows.join(first, key, "left").where("n > 1 or stays is null").select(*key, "stays"))
+    # most rows are alone in their group and stay without a shuffle; of the others those go that aren't their group's first
+    told = perhaps_in(named(docs, F.xxhash64(F.col("text").cast("string"))), unsure, "__lf_text")
+    kept = told.where("__lf_in").join(unsure.where("stays is null"), key, "left_anti").dropDuplicates(key)
+    return told.where("not __lf_in").unionByName(kept).drop(*key, "__lf_in")

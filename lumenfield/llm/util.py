@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 #: White space between words. bytes.split() without arguments splits at the same six characters.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: So many words of 64 marks are broadcast at most (16 bytes each).
+MOST_WORDS = 1 << 19
+#: Links that a task of components() reads.
+TASK_LINKS = 50_000
 
 
 def scratch(spark: SparkSession) -> str:
@@ -82,6 +86,24 @@ def map_columns(df: DataFrame, make: Callable[..., list], schema: str) -> DataFr
     return df.mapInArrow(run, schema)
 
 
+def perhaps_in(rows: DataFrame, keys: DataFrame, key: str, words: int = MOST_WORDS) -> DataFrame:
+    """rows with __lf_in: false only where key isn't among those of keys; true for all that are, and for some others. No row is shuffled.
+
+    Each key sets one of 64 * words marks, which are broadcast. With very many keys more of the
+    others are true; the broadcast doesn't grow. For a join or a grouping that few rows take part in.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(64 * words))
+    word, mark = F.shiftright(place, 6).alias("__lf_word"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    marks = keys.groupBy(word).agg(F.bit_or(mark).alias("__lf_marks"))
+    told = rows.withColumn("__lf_word", word).join(F.broadcast(marks), "__lf_word", "left")
+    return told.withColumn("__lf_in", F.coalesce(F.col("__lf_marks").bitwiseAND(mark) != 0, F.lit(False))).drop("__lf_word", "__lf_marks")
+
+
+def narrowed(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows without most of those whose key isn't among those of keys, to be joined with them."""
+    return perhaps_in(rows, keys, key).where("__lf_in").drop("__lf_in")
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of the undirected edges: rows (node, root), root the smallest node id.
 
@@ -89,18 +111,21 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     of them until nothing changes. Minima are aggregates and the rest is joins on the node, so a
     node with very many neighbours is pre-aggregated and its rows can be split by adaptive
     execution. Only two numbers per round reach the driver. Self-links and null ends are ignored.
+    Links don't grow in number from round to round, so their first count sizes the tasks: few links
+    don't become hundreds of shuffle files a round.
     """
     links = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     links = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    before = None
+    tasks = links.count() // TASK_LINKS + 1
+    links, before = links.coalesce(tasks), None
     while True:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct().coalesce(tasks)
         # every row now points from a node to a smaller one
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        links = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        links = cut(small.union(low.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct().coalesce(tasks))
         state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lumenfield.llm import shingles, simhash
+from lumenfield.llm.util import components, perhaps_in
 
 from .test_near_duplicates import brute_fingerprint, smallest_reachable, texts
 
@@ -122,3 +123,54 @@ def test_fingerprints_find_close_texts_and_bands_the_rest(spark, monkeypatch):
         links = shingles.near_sets(df, sketched, 5, 0.8, most).collect()
         text = {nodes[i]: t for i, t in rows}
         assert links and all(jaccard(text[r.a], text[r.b]) >= 0.8 for r in links)
+
+
+def shuffled(spark, run):
+    """Bytes and files of shuffles that run() writes: map tasks of stages that write any."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        got = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {(s := got.apply(i)).stageId(): (s.shuffleWriteBytes(), s.numCompleteTasks()) for i in range(got.size())}
+
+    before = set(stages())
+    out = run()
+    new = [x for k, x in stages().items() if k not in before and x[0]]
+    return out, sum(x[0] for x in new), sum(x[1] for x in new)
+
+
+def test_texts_without_a_like_are_not_shuffled(spark):
+    """Few rows have a like, so what is shuffled is their texts and a short key for each band, not all texts."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(2000))) for i in range(300)]
+    rows += [(900, rows[0][1] + " more"), (901, rows[1][1]), (2, rows[2][1]), (None, rows[3][1]), (None, "null id"), (None, None), (902, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept, written, _ = shuffled(spark, lambda: shingles.shingle_dedup(df).collect())
+    assert sorted((r.doc_id is None, r.doc_id) for r in kept) == [(False, i) for i in range(300)] + [(False, 902), (True, None)]
+    assert written < 0.2 * sum(len(t or "") for _, t in rows)
+
+
+def test_perhaps_in_loses_no_key(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.lit("x").alias("__lf"))
+    keys = spark.createDataFrame([(7 * i,) for i in range(1, 40)] + [(-5,), (7,)], "k long")
+    for words, most in ((1 << 19, 45), (4, 600), (1, 3000)):
+        got = perhaps_in(rows, keys, "k", words).collect()
+        assert len(got) == 3000 and len([r for r in got if r.k is None]) == 1
+        assert {7 * i for i in range(1, 40)} <= {r.k for r in got if r["__lf_in"]}
+        assert sum(r["__lf_in"] for r in got) <= most
+    assert not perhaps_in(rows, keys.limit(0), "k").where("__lf_in").count()
+
+
+def test_components_of_few_links_write_few_files(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(200) if i % 50], "a long, b long")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "31")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got, _, tasks = shuffled(spark, lambda: components(links, "a", "b").collect())
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert {r.node: r.root for r in got} == {i: max(1, i - (i - 1) % 50) for i in range(1, 201)}
+    assert tasks < 400

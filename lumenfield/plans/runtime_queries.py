@@ -190,7 +190,7 @@ WHERE q.action = 'track' GROUP BY q.source_id, q.request_id, q.seq"""
 @query("j08_first_responses", RESPONSE_SQL)
 def j08_first(spark, d):
     a = actions(spark, d)
-    got = requests.first_responses(requests.responses_within(a.where("action = 'track'"), a.where("action = 'release'"), "3 days"))
+    got = requests.first_responses(a.where("action = 'track'"), a.where("action = 'release'"), 259_200)
     return got.select("source_id", "request_id", "seq", F.unix_micros("answered_at").alias("answered_us"))
 
 

@@ -19,6 +19,11 @@ from .ordered import Ordered, in_order
 #: Fixed value: a request is tried again once.
 ATTEMPTS = 2
 
+KEYS = ["source_id", "request_id"]
+
+#: Microseconds of a range of time that a key's rows are worked on together.
+RANGE = 3_600_000_000
+
 
 def valid(actions: DataFrame) -> DataFrame:
     return actions.where((F.col("source_id") > 0) & F.coalesce(F.length("request_id") > 0, F.lit(False)))
@@ -91,17 +96,14 @@ def tracked_stream(actions: DataFrame) -> DataFrame:
     return actions.groupBy("source_id").transformWithStateInPandas(Tracker(), schema, "Append", "None")
 
 
-CANCEL_KEYS = ["source_id", "request_id"]
-
-
 def consumed(actions: DataFrame, ttl_seconds: int) -> DataFrame:
     """Work (rows with action work) with whether it is cancelled: several cancellations are one, and the first work after them takes them."""
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    order = Window.partitionBy(*CANCEL_KEYS).orderBy("__t", "seq")
+    order = Window.partitionBy(*KEYS).orderBy("__t", "seq")
     a = valid(actions).where("action in ('work', 'cancel')").withColumn("__t", micros)
     a = a.withColumn("__last", F.lag("action").over(order)).withColumn("__at", F.lag("__t").over(order))
     hit = F.coalesce((F.col("__last") == "cancel") & (F.col("__t") - F.col("__at") <= ttl_seconds * 1_000_000), F.lit(False))
-    return a.where("action = 'work'").select(*CANCEL_KEYS, "seq", hit.alias("cancelled"))
+    return a.where("action = 'work'").select(*KEYS, "seq", hit.alias("cancelled"))
 
 
 class Cancellations(Ordered):
@@ -131,7 +133,7 @@ class Cancellations(Ordered):
 def cancelled_stream(actions: DataFrame, ttl_seconds: int, late: str = "1 hour") -> DataFrame:
     """The stateful form of consumed(), for a stream (source_id, request_id, seq, ts, action, closed), by request."""
     own = actions.where("closed or (source_id > 0 and length(request_id) > 0 and action in ('work', 'cancel'))")
-    return in_order(own, CANCEL_KEYS, Cancellations(ttl_seconds), late)
+    return in_order(own, KEYS, Cancellations(ttl_seconds), late)
 
 
 def responses_within(requests: DataFrame, responses: DataFrame, bound: str, late: str = "1 hour") -> DataFrame:
@@ -148,6 +150,23 @@ def responses_within(requests: DataFrame, responses: DataFrame, bound: str, late
     return q.join(r, near, "left_outer").select("source_id", "request_id", "seq", "answered_at")
 
 
-def first_responses(pairs: DataFrame) -> DataFrame:
-    """Of responses_within() each request's first response: the one that its waiting ends with."""
-    return pairs.groupBy("source_id", "request_id", "seq").agg(F.min("answered_at").alias("answered_at"))
+def first_responses(requests: DataFrame, responses: DataFrame, bound_seconds: int) -> DataFrame:
+    """Each request (source_id, request_id, seq) with answered_at, the first of its responses no later than the bound after it, or null: the one that its waiting ends with.
+
+    What responses_within() finds, without its pairs: a row is shuffled, not met with every other of
+    its key. A key's rows are cut into ranges of time; each range takes the first response of the
+    ranges after it as one more row, so no task holds a whole key.
+    """
+    t = F.unix_micros(F.col("ts").cast("timestamp")).alias("__t")
+    q = requests.select(*KEYS, "seq", t, F.lit(0).alias("__said"))
+    r = responses.select(*KEYS, F.lit(None).cast(requests.schema["seq"].dataType).alias("seq"), t, F.lit(1).alias("__said")).where("source_id is not null and request_id is not null and __t is not null")
+    rows = q.unionByName(r).withColumn("__part", F.floor(F.col("__t") / RANGE))
+    said = F.min(F.when(F.col("__said") == 1, F.col("__t")))
+    later = Window.partitionBy(*KEYS).orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = rows.groupBy(*KEYS, "__part").agg(said.alias("__first")).withColumn("__t", F.min("__first").over(later)).where("__t is not null")
+    ahead = ahead.select(*KEYS, F.lit(None).cast(requests.schema["seq"].dataType).alias("seq"), "__t", F.lit(1).alias("__said"), "__part")
+    # backwards in time, since only frames that begin at the first row grow without being worked out anew
+    back = Window.partitionBy(*KEYS, "__part").orderBy(F.desc("__t"), F.desc("__said")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    got = rows.unionByName(ahead).withColumn("__at", said.over(back)).where("__said = 0")
+    near = F.when(F.col("__at") - F.col("__t") <= bound_seconds * 1_000_000, F.timestamp_micros("__at"))
+    return got.groupBy(*KEYS, "seq").agg(F.min(near).alias("answered_at"))

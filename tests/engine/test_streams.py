@@ -84,3 +84,39 @@ def test_responses(spark, sf_dir, batches):
     got = ordered.played(a, lambda s: requests.responses_within(*sides(s), "3 days"), batches).where("seq is not null")
     want = requests.responses_within(a.where("action = 'track'"), a.where("action = 'release'"), "3 days")
     assert rows(got) == rows(want) and any("None" in r for r in rows(want)) and any("datetime" in r for r in rows(want))
+
+
+@pytest.fixture(scope="module")
+def odd_events(tmp_path_factory):
+    """Events of few keys, most of them of one: without keys, times or ids, ids and times that come twice, responses just within the bound and just beyond it, times before 1970; the folder, and its tables in DuckDB."""
+    import duckdb
+
+    folder = tmp_path_factory.mktemp("odd")
+    con = duckdb.connect()
+    con.execute(f"""COPY (
+        SELECT CASE WHEN i % 41 <> 0 THEN (i // 7 * 50 + CASE WHEN hot THEN 1 ELSE i % 3 END)::BIGINT END AS event_id,
+            CASE WHEN i % 37 <> 0 THEN make_timestamp(86400000000 * (i * 7919 % 43 - 12) + i // 130 % 3 // 2) END AS ts,
+            CASE WHEN i % 29 <> 0 THEN CASE WHEN hot THEN 3 ELSE i // 10 % 5 END::BIGINT END AS user_id,
+            CASE WHEN i % 31 <> 0 THEN ['view', 'error', 'purchase', 'click', 'view', 'signup'][(i * 7907 // 11 % 6)::INT + 1] END AS event_type,
+            (i % 9 / 50)::DOUBLE AS value, '{{"k": 1}}' AS props FROM (SELECT i, i % 10 < 8 AS hot FROM range(1500) t(i))) TO '{folder}/events.parquet' (FORMAT parquet)""")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    return str(folder), con
+
+
+def same_as_sql(df, con, name):
+    from lumenfield.plans.registry import SQL
+
+    want = con.execute(SQL[name]).fetchall()
+    assert rows(df.select("source_id", "request_id", "seq", "answered_us")) == sorted(map(repr, want))
+    return want
+
+
+def test_first_responses_of_odd_events(spark, odd_events):
+    from lumenfield.plans.registry import QUERIES
+
+    folder, con = odd_events
+    got = QUERIES["j08_first_responses"](spark, folder)
+    want = same_as_sql(got, con, "j08_first_responses")
+    assert any(r[3] is None for r in want) and any(r[3] is not None and r[3] < 0 for r in want) and any(None in r[:3] for r in want)
+    # a key's requests aren't met with all its responses
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()

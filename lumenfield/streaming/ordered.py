@@ -87,8 +87,8 @@ class Ordered(StatefulProcessor):
         pass
 
 
-def in_order(rows: DataFrame, keys: list[str], processor: Ordered, late: str, initial: DataFrame | None = None) -> DataFrame:
-    """A stream of rows (with ts and seq) through the processor, by key; rows with closed = true only move time on."""
+def in_order(rows: DataFrame, keys: list[str], processor: StatefulProcessor, late: str, initial: DataFrame | None = None) -> DataFrame:
+    """A stream of rows (with ts and seq) through the processor, one with an output, by key; rows with closed = true only move time on."""
     live = rows.withWatermark("ts", late).where("closed is null or not closed or ts is null").withColumn("t", F.unix_micros("ts"))
     # the event time isn't needed any more but for the watermark, which goes on with it
     return live.groupBy(*keys).transformWithStateInPandas(processor, processor.output, "Append", "EventTime", *([initial.groupBy(*keys)] if initial is not None else []))

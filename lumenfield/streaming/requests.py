@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, StringType, StructField, StructType
 
 from .ordered import Ordered, in_order
 
@@ -170,3 +171,78 @@ def first_responses(requests: DataFrame, responses: DataFrame, bound_seconds: in
     got = rows.unionByName(ahead).withColumn("__at", said.over(back)).where("__said = 0")
     near = F.when(F.col("__at") - F.col("__t") <= bound_seconds * 1_000_000, F.timestamp_micros("__at"))
     return got.groupBy(*KEYS, "seq").agg(F.min(near).alias("answered_at"))
+
+
+#: What a waiting row is: a request, one whose seq is null, or a response.
+ASKED, NAMELESS, SAID = range(3)
+
+#: Spark's watermark begins in 1970 and pandas' times end in 2262: event times go along as t in units of 2^6 microseconds, BEGIN for 1970, which holds the years 1 to 9999.
+BITS, BEGIN = 6, 10**15
+
+
+class FirstResponses(StatefulProcessor):
+    """first_responses() on a stream, by request; state: rows that wait, as pieces of whole numbers (micros, seq, what).
+
+    A request goes out when the watermark has passed its first response, or the bound after it; a
+    response is forgotten once the watermark has passed it, when requests before it have gone out.
+    """
+
+    output = "source_id long, request_id string, seq long, at long"
+
+    def __init__(self, bound_seconds: int) -> None:
+        self.bound = bound_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", StructType([StructField("piece", BinaryType())]))
+
+    def look_again(self, micros) -> None:
+        self.handle.registerTimer(((int(micros) >> BITS) + BEGIN) // 1000 + 1)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        latest = []
+        for r in rows:
+            self.waiting.appendValue((r[["micros", "seq", "what"]].to_numpy("int64").tobytes(),))
+            latest.append(r["micros"].max())
+        self.look_again(max(latest))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # the last microsecond that the watermark has passed
+        now = ((timerValues.getCurrentWatermarkInMs() * 1000 - BEGIN + 1) << BITS) - 1
+        pieces = [np.frombuffer(p, "int64").reshape(-1, 3) for (p,) in self.waiting.get()] if self.waiting.exists() else []
+        if not pieces:
+            return
+        rows = np.concatenate(pieces)
+        t, seq, what = rows.T
+        asks, said = what != SAID, np.append(np.sort(t[what == SAID]), np.iinfo("int64").max)
+        at = said[np.searchsorted(said, t)]
+        near = at <= t + self.bound
+        due = np.where(near, at, t + self.bound)
+        out = asks & (due <= now)
+        rest = np.where(asks, ~out, t > now)
+        self.waiting.put([(rows[rest].tobytes(),)]) if rest.any() else self.waiting.clear()
+        if (asks & rest).any():
+            self.look_again(due[asks & rest].min())
+        if out.any():
+            whole = pd.arrays.IntegerArray
+            yield pd.DataFrame({"source_id": key[0], "request_id": key[1], "seq": whole(seq[out], what[out] == NAMELESS), "at": whole(at[out], ~near[out])})
+
+    def close(self) -> None:
+        pass
+
+
+def first_responses_stream(actions: DataFrame, bound_seconds: int, late_seconds: int = 3600) -> DataFrame:
+    """The stateful form of first_responses(), for a stream (source_id, request_id, seq, ts, action, closed) whose action track asks and whose release answers: a row a request.
+
+    Requests without a key or a time can't be answered: they go out at once.
+    """
+    known = "source_id is not null and request_id is not null and ts is not null"
+    what = F.when(F.col("action") == "release", SAID).when(F.col("seq").isNull(), NAMELESS).otherwise(ASKED)
+    micros = F.unix_micros("ts")
+    own = actions.where(f"closed or ({known} and action in ('track', 'release'))")
+    own = own.select(*KEYS, F.coalesce("seq", F.lit(0)).alias("seq"), micros.alias("micros"), F.timestamp_micros(F.shiftright(micros, BITS) + BEGIN).alias("ts"), "closed", what.alias("what"))
+    late = f"{(late_seconds * 1000 >> BITS) + 1} milliseconds"
+    got = in_order(own, KEYS, FirstResponses(bound_seconds), late).select(*KEYS, "seq", F.timestamp_micros("at").alias("answered_at"))
+    lost = actions.where(f"not coalesce(closed, false) and action = 'track' and not ({known})").select(*KEYS, "seq", F.lit(None).cast("timestamp").alias("answered_at"))
+    return got.unionByName(lost)

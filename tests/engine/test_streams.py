@@ -120,3 +120,24 @@ def test_first_responses_of_odd_events(spark, odd_events):
     assert any(r[3] is None for r in want) and any(r[3] is not None and r[3] < 0 for r in want) and any(None in r[:3] for r in want)
     # a key's requests aren't met with all its responses
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_response_stream_of_odd_events(spark, odd_events):
+    from lumenfield.plans.registry import QUERIES
+
+    folder, con = odd_events
+    same_as_sql(QUERIES["j08_response_stream"](spark, folder), con, "j08_response_stream")
+
+
+@pytest.mark.parametrize("batches,shuffled", CUTS)
+def test_first_responses_over_cuts(spark, sf_dir, batches, shuffled):
+    from lumenfield.plans.runtime_queries import actions
+
+    a = actions(spark, sf_dir)
+    late = 60 * 86_400 if shuffled else 3600
+    folder = ordered.play(a, batches, shuffled)
+    got = ordered.drained(spark, requests.first_responses_stream(ordered.opened(spark, folder, 1), 259_200, late), f"{folder}-out")
+    want = rows(requests.first_responses(a.where("action = 'track'"), a.where("action = 'release'"), 259_200))
+    assert rows(got) == want and any("None" in r for r in want) and any("datetime" in r for r in want)
+    # a row a request, not one a response, and nothing is held in the end
+    assert spark.read.format("statestore").option("path", f"{folder}-out-checkpoint").option("stateVarName", "waiting").load().count() == 0
